@@ -4,8 +4,10 @@ Every document is cut into anchor *segments*: an anchor k-gram with as much
 context on both sides as a window of the wanted length that holds it can need.
 Two equal windows hold the same anchor, so only segments whose anchor occurs in
 another document (or earlier in the same one) can matter. A segment equal to an
-earlier one is settled at once: all its windows repeat. What is left, anchors
-with differing segments, goes to the operator's own index.
+earlier one is settled at once: all its windows repeat. Of the others, a window
+that repeats reaches at least half of the remaining length to one side of its
+anchor, so segments stay in question only if another shares that half, left or
+right. What is left goes to the operator's own index.
 
 Rows that share a segment are folded inside each map task first, so a passage
 held by a third of all documents sends one row per task, not one per document.
@@ -25,8 +27,8 @@ from tessera.llm import _hashing as H
 #: Text bytes a map task folds together before it sends rows on.
 FOLD_BYTES = 32 << 20
 
-ANCHOR_SCHEMA = "g long, sh long, doc_id long, settled boolean"
-_ARROW = pa.schema([("g", pa.int64()), ("sh", pa.int64()), ("doc_id", pa.int64()), ("settled", pa.bool_())])
+ANCHOR_SCHEMA = "g long, sh long, core long, doc_id long, settled boolean"
+_ARROW = pa.schema([("g", pa.int64()), ("sh", pa.int64()), ("core", pa.int64()), ("doc_id", pa.int64()), ("settled", pa.bool_())])
 
 
 class Shape:
@@ -38,22 +40,29 @@ class Shape:
         self.window, self.gram, self.items = window, gram, items
         self.span = window - gram + 1
 
-    def anchors(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Positions, anchor hashes, segment hashes, segment starts and ends."""
+    def anchors(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Positions, anchor hashes, segment hashes, segment starts and ends, hashes of both halves."""
         grams = H.windows(h, self.gram)
         at = H.anchors(grams, self.span)
         n = len(h)
         lo = np.maximum(at - (self.span - 1), 0)
         hi = np.minimum(at + self.window, n)
-        up, down = H._power(1, n) if n else (None, None)
-        if len(at):
-            total = np.zeros(n + 1, dtype=np.uint64)
-            np.cumsum(H.mix64(h ^ np.uint64(0x1234567)) * down, out=total[1:])
-            # The anchor's offset is part of it: only segments that align in full are equal.
-            seg = H.mix64(H.mix64((total[hi] - total[lo]) * up[lo]) ^ ((at - lo).astype(np.uint64) << np.uint64(32)) ^ (hi - lo).astype(np.uint64))
-        else:
-            seg = np.empty(0, dtype=np.uint64)
-        return at, grams[at] if len(at) else np.empty(0, dtype=np.uint64), seg, lo, hi
+        if not len(at):
+            none = np.empty(0, dtype=np.uint64)
+            return at, none, none, lo, hi, none
+        up, down = H._power(1, n)
+        total = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(H.mix64(h ^ np.uint64(0x1234567)) * down, out=total[1:])
+        part = lambda a, b: H.mix64((total[b] - total[a]) * up[a])
+        # The anchor's offset is part of it: only segments that align in full are equal.
+        seg = H.mix64(part(lo, hi) ^ ((at - lo).astype(np.uint64) << np.uint64(32)) ^ (hi - lo).astype(np.uint64))
+        half = self.span // 2
+        left, right = at - half, at + self.gram + half
+        own = seg & np.uint64(0xFFFFFFFF)
+        # Where the text ends sooner no window reaches that far: such a half is like no other.
+        cl = np.where(left >= 0, part(np.maximum(left, 0), at + self.gram) & np.uint64(0xFFFFFFFF), own)
+        cr = np.where(right <= n, part(at, np.minimum(right, n)) & np.uint64(0xFFFFFFFF), own)
+        return at, grams[at], seg, lo, hi, (cl << np.uint64(32)) | cr
 
 
 def segment_rows(docs: DataFrame, shape: Shape) -> DataFrame:
@@ -65,13 +74,14 @@ def segment_rows(docs: DataFrame, shape: Shape) -> DataFrame:
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gs: list[np.ndarray] = []
         ss: list[np.ndarray] = []
+        cs: list[np.ndarray] = []
         ds: list[np.ndarray] = []
         size = 0
 
         def flush():
-            g, s, d = np.concatenate(gs), np.concatenate(ss), np.concatenate(ds)
+            g, s, c, d = np.concatenate(gs), np.concatenate(ss), np.concatenate(cs), np.concatenate(ds)
             order = np.lexsort((d, s, g))
-            g, s, d = g[order], s[order], d[order]
+            g, s, c, d = g[order], s[order], c[order], d[order]
             same = np.zeros(len(g), dtype=bool)
             same[1:] = (g[1:] == g[:-1]) & (s[1:] == s[:-1])
             again = same.copy()
@@ -82,37 +92,29 @@ def segment_rows(docs: DataFrame, shape: Shape) -> DataFrame:
             head = d[first][np.cumsum(~same) - 1]
             settled &= d > head
             keep = ~same | settled
-            yield pa.RecordBatch.from_arrays([pa.array(H.signed(g[keep])), pa.array(H.signed(s[keep])), pa.array(d[keep]), pa.array(settled[keep])], schema=_ARROW)
+            yield pa.RecordBatch.from_arrays([pa.array(H.signed(g[keep])), pa.array(H.signed(s[keep])), pa.array(H.signed(c[keep])), pa.array(d[keep]), pa.array(settled[keep])], schema=_ARROW)
 
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 text = text.as_py()
                 if doc is None or not text:
                     continue
-                _, g, s, _, _ = shape.anchors(shape.items(text))
+                _, g, s, _, _, c = shape.anchors(shape.items(text))
                 if len(g):
-                    pair = _distinct(g, s)
-                    gs.append(pair[0])
-                    ss.append(pair[1])
-                    ds.append(np.full(pair.shape[1], doc, dtype=np.int64))
+                    gs.append(g)
+                    ss.append(s)
+                    cs.append(c)
+                    ds.append(np.full(len(g), doc, dtype=np.int64))
                 size += len(text)
                 if size >= FOLD_BYTES and gs:
                     yield from flush()
-                    gs, ss, ds, size = [], [], [], 0
+                    gs, ss, cs, ds, size = [], [], [], [], 0
         if gs:
             yield from flush()
 
     return docs.select("doc_id", "text").mapInArrow(fold, ANCHOR_SCHEMA)
 
 
-def _distinct(g: np.ndarray, s: np.ndarray) -> np.ndarray:
-    order = np.lexsort((s, g))
-    g, s = g[order], s[order]
-    keep = np.ones(len(g), dtype=bool)
-    keep[1:] = (g[1:] != g[:-1]) | (s[1:] != s[:-1])
-    return np.stack((g[keep], s[keep]))
-
-
 def flag_segments(rows: DataFrame, hot: int | None = None, history: DataFrame | None = None) -> DataFrame:
     """(doc_id, id, kind): 0 settled, 1 to compare, 2 to compare and more than ``hot`` such segments.
 
@@ -126,14 +128,20 @@ def flag_segments(rows: DataFrame, hot: int | None = None, history: DataFrame |
     if history is not None:
         keys = fresh.select("g").distinct()
         fresh = fresh.unionByName(history.hint("merge").join(keys, "g", "left_semi").withColumn("settled", F.lit(False)).withColumn("fresh", F.lit(False)))
-    by_anchor, by_segment = Window.partitionBy("g"), Window.partitionBy("g", "sh")
+    span = lambda c: (F.min("sh").over(Window.partitionBy("g", c)) < F.max("sh").over(Window.partitionBy("g", c))).alias(c)
+    by_anchor = Window.partitionBy("g")
     seen = (
         fresh.withColumn("lo", F.min("sh").over(by_anchor))
         .withColumn("hi", F.max("sh").over(by_anchor))
         .withColumn("n", F.count("*").over(by_anchor))
         .withColumn("any_fresh", F.max("fresh").over(by_anchor))
-        .withColumn("head", F.min("doc_id").over(by_segment))
-        .where("any_fresh and (lo < hi or head < doc_id)")
+        .where("any_fresh and n > 1")
+        .withColumn("head", F.min("doc_id").over(Window.partitionBy("g", "sh")))
+        .where("lo < hi or head < doc_id")
+        .withColumn("left", F.shiftright("core", 32))
+        .withColumn("right", F.col("core").bitwiseAND(0xFFFFFFFF))
+        .select("g", "sh", "doc_id", "head", "n", "left", "right", span("left").alias("left_met"), span("right").alias("right_met"))
+        .where("head < doc_id or left_met or right_met")
     )
     kind = F.when(F.col("head") < F.col("doc_id"), 0).when(F.col("n") > F.lit(hot if hot else 1 << 62), 2).otherwise(1)
     return seen.select("doc_id", F.when(F.col("head") < F.col("doc_id"), F.col("sh")).otherwise(F.col("g")).alias("id"), kind.alias("kind")).unionByName(settled)

@@ -5,13 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import _work as W
-from tessera.llm import substring
+from tessera.llm import packing, secrets, substring, suffix, urls, warc
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(W.pages(spark, sf_dir))
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(W.documents(spark, sf_dir)).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup,)}
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.dedup(W.documents(spark, sf_dir), keep=False).drop("kept")
+
+
+def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(W.documents(spark, sf_dir, "doc_id", "text")))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(W.pages(spark, sf_dir))
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(W.documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_substring_dedup, op5_suffix_array_dedup, op7_secret_scans, op8_warc, op10_best_fit_packing)}
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op1_url_filters": urls.ORACLE_SQL, "op8_warc": warc.ORACLE_SQL}

@@ -30,7 +30,7 @@ from tessera.llm import _work as W
 
 WINDOW, GRAM = 50, 20
 
-RUN_SCHEMA = "g long, sh long, doc_id long"
+RUN_SCHEMA = "g long, sh long, core long, doc_id long"
 
 
 def _items(text: str | None) -> np.ndarray:
@@ -60,7 +60,7 @@ class FingerprintIndex:
         return self.spark.read.schema(RUN_SCHEMA).parquet(*runs) if runs else None
 
     def _write(self, rows: DataFrame, name: str) -> None:
-        rows.select("g", "sh", "doc_id").repartitionByRange(W.shuffle_width(self.spark), "g").sortWithinPartitions("g", "sh", "doc_id").write.option("compression", "zstd").parquet(f"{self.path}/{name}")
+        rows.select("g", "sh", "core", "doc_id").repartitionByRange(W.shuffle_width(self.spark), "g").sortWithinPartitions("g", "sh", "doc_id").write.option("compression", "zstd").parquet(f"{self.path}/{name}")
 
     def ingest(self, batch: DataFrame) -> DataFrame:
         """Merge-join the batch with all runs, add it as a run; returns flagged anchors."""
@@ -78,7 +78,7 @@ class FingerprintIndex:
         if len(old) < 2:
             return
         number = int(old[-1].rsplit("-", 1)[1]) + 1
-        self._write(self.read().groupBy("g", "sh").agg(F.min("doc_id").alias("doc_id")), f"run-{number:06d}")
+        self._write(self.read().groupBy("g", "sh", "core").agg(F.min("doc_id").alias("doc_id")), f"run-{number:06d}")
         for run in old:
             W.drop_path(self.spark, run)
 
@@ -137,7 +137,7 @@ def _stage(batches: Iterator[pa.RecordBatch], shape: S.Shape) -> Iterator[pa.Rec
                 out.append((*_result(doc, words, None), None, None, None))
                 continue
             h = H.word_hashes(words)
-            at, g, seg, lo, hi = shape.anchors(h)
+            at, g, seg, lo, hi, _ = shape.anchors(h)
             n, k = len(words), shape.window
             settled = _flagged(seg, full)
             gone = H.cover(n, lo[settled], hi[settled] - lo[settled])
