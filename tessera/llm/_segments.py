@@ -116,14 +116,15 @@ def segment_rows(docs: DataFrame, shape: Shape) -> DataFrame:
 
 
 def flag_segments(rows: DataFrame, hot: int | None = None, history: DataFrame | None = None) -> DataFrame:
-    """(doc_id, id, kind): 0 settled, 1 to compare, 2 to compare and more than ``hot`` such segments.
+    """(doc_id, id, route, kind): 0 settled, 1 to compare, 2 to compare and more than ``hot`` such segments.
 
-    ``id`` is the segment's hash where settled, else the anchor's.
+    ``id`` is the segment's hash where settled, else the anchor's; ``route`` is
+    the smallest document of the anchor's group.
 
     ``history`` holds unsettled rows of earlier batches; groups without a row of
     ``rows`` are not flagged again.
     """
-    settled = rows.where("settled").select("doc_id", F.col("sh").alias("id"), F.lit(0).alias("kind"))
+    settled = rows.where("settled").select("doc_id", F.col("sh").alias("id"), F.col("doc_id").alias("route"), F.lit(0).alias("kind"))
     fresh = rows.where(~F.col("settled")).withColumn("fresh", F.lit(True))
     if history is not None:
         keys = fresh.select("g").distinct()
@@ -134,20 +135,21 @@ def flag_segments(rows: DataFrame, hot: int | None = None, history: DataFrame |
         fresh.withColumn("lo", F.min("sh").over(by_anchor))
         .withColumn("hi", F.max("sh").over(by_anchor))
         .withColumn("n", F.count("*").over(by_anchor))
+        .withColumn("route", F.min("doc_id").over(by_anchor))
         .withColumn("any_fresh", F.max("fresh").over(by_anchor))
         .where("any_fresh and n > 1")
         .withColumn("head", F.min("doc_id").over(Window.partitionBy("g", "sh")))
         .where("lo < hi or head < doc_id")
         .withColumn("left", F.shiftright("core", 32))
         .withColumn("right", F.col("core").bitwiseAND(0xFFFFFFFF))
-        .select("g", "sh", "doc_id", "head", "n", "left", "right", span("left").alias("left_met"), span("right").alias("right_met"))
+        .select("g", "sh", "doc_id", "head", "route", "n", "left", "right", span("left").alias("left_met"), span("right").alias("right_met"))
         .where("head < doc_id or left_met or right_met")
     )
     kind = F.when(F.col("head") < F.col("doc_id"), 0).when(F.col("n") > F.lit(hot if hot else 1 << 62), 2).otherwise(1)
-    return seen.select("doc_id", F.when(F.col("head") < F.col("doc_id"), F.col("sh")).otherwise(F.col("g")).alias("id"), kind.alias("kind")).unionByName(settled)
+    return seen.select("doc_id", F.when(F.col("head") < F.col("doc_id"), F.col("sh")).otherwise(F.col("g")).alias("id"), "route", kind.alias("kind")).unionByName(settled)
 
 
 def by_document(flags: DataFrame) -> DataFrame:
     """What is flagged in each document, one array per kind; never more than the document has anchors."""
     pick = lambda k: F.collect_list(F.when(F.col("kind") == k, F.col("id")))
-    return flags.groupBy(F.col("doc_id").alias("flag_doc")).agg(pick(0).alias("whole"), pick(1).alias("part"), pick(2).alias("hot"))
+    return flags.groupBy(F.col("doc_id").alias("flag_doc")).agg(pick(0).alias("whole"), pick(1).alias("part"), F.collect_list(F.when(F.col("kind") == 1, F.col("route"))).alias("route"), pick(2).alias("hot"))

@@ -16,17 +16,46 @@ import numpy as np
 END = 0xFF
 
 
+class Alphabet:
+    """Ranks of the ``stride``-byte strings that occur, so that each is one 16-bit symbol.
+
+    The stride is the largest of ``tried`` whose strings have at most 65,536 kinds.
+    """
+
+    def __init__(self, code: np.ndarray, depth: int, tried: tuple[int, ...] = (5, 4, 2, 1)):
+        for self.stride in tried:
+            if depth % self.stride:
+                continue
+            kinds = np.unique(packed(code, self.stride))
+            if len(kinds) <= 1 << 16:
+                self.kinds = kinds
+                return
+        raise ValueError(f"no stride of {tried} fits")
+
+    def ranks(self, code: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.kinds, packed(code, self.stride)).astype(np.uint16)
+
+
+def packed(code: np.ndarray, stride: int) -> np.ndarray:
+    """The ``stride`` bytes from each position, as one number; the end wraps around."""
+    key = code.astype(np.uint64)
+    for i in range(1, stride):
+        key = (key << np.uint64(8)) | np.roll(code, -i)
+    return key
+
+
 class Shard:
     """Sorted rotations of some segments, and the symbols before them."""
 
-    def __init__(self, segments: list[bytes], depth: int, stride: int):
-        raw = b"".join(s + bytes([END]) for s in segments)
-        self.code = np.frombuffer(raw, dtype=np.uint8)
-        self.order = sort_rotations(self.code, depth)
-        if stride == 1:
-            self.bwt = self.code[self.order - 1]
-        else:
-            self.bwt = (self.code[self.order - 2].astype(np.uint16) << np.uint16(8)) | self.code[self.order - 1]
+    def __init__(self, code: np.ndarray, alphabet: Alphabet | None, depth: int):
+        self.code = code
+        self.order = sort_rotations(code, depth)
+        self.bwt = None
+        if alphabet is not None:
+            self.transform(alphabet)
+
+    def transform(self, alphabet: Alphabet) -> None:
+        self.bwt = alphabet.ranks(self.code)[self.order - alphabet.stride]
 
 
 def sort_rotations(code: np.ndarray, depth: int) -> np.ndarray:
@@ -34,10 +63,7 @@ def sort_rotations(code: np.ndarray, depth: int) -> np.ndarray:
     n = len(code)
     if n == 0:
         return np.empty(0, dtype=np.int64)
-    key = np.zeros(n, dtype=np.uint64)
-    for i in range(8):
-        key = (key << np.uint64(8)) | np.roll(code, -i)
-    done = 8
+    key, done = packed(code, 8), 8
     while True:
         order = np.argsort(key, kind="stable")
         ranked = key[order]
@@ -81,19 +107,21 @@ def merge(shards: list[Shard], depth: int, stride: int) -> tuple[np.ndarray, np.
     return merged, lcp
 
 
-def repeats(segments: list[bytes], docs: np.ndarray, starts: np.ndarray, length: int, shards: int = 2, stride: int = 1) -> tuple[np.ndarray, np.ndarray]:
+def repeats(segments: list[bytes], docs: np.ndarray, starts: np.ndarray, length: int, shards: int = 2, tried: tuple[int, ...] = (5, 4, 2, 1)) -> tuple[np.ndarray, np.ndarray]:
     """(doc, start) of each ``length``-byte string that also starts earlier in these segments.
 
     Earlier is a smaller doc, or a smaller start in the same one.
     """
-    if length % stride:
-        raise ValueError("the stride must divide the length")
     sizes = np.array([len(s) for s in segments], dtype=np.int64)
     total = int(sizes.sum()) + len(segments)
-    near = np.searchsorted(np.cumsum(sizes), np.linspace(0, sizes.sum(), shards + 1)[1:-1])
-    cuts = [0, *near.tolist(), len(segments)]
-    parts = [segments[a:b] for a, b in zip(cuts, cuts[1:]) if b > a]
-    order, lcp = merge([Shard(p, length, stride) for p in parts], length, stride)
+    code = np.frombuffer(b"".join(s + bytes([END]) for s in segments), dtype=np.uint8)
+    ends = np.cumsum(sizes + 1)
+    near = ends[np.searchsorted(ends, np.linspace(0, total, shards + 1)[1:-1])]
+    cuts = sorted({0, *near.tolist(), total})
+    parts = [code[a:b] for a, b in zip(cuts, cuts[1:])]
+    # A string that wraps around a shard's end holds its closing byte; so does one across segments.
+    alphabet = Alphabet(np.concatenate([np.concatenate((p, p[:8])) for p in parts]), length, tried)
+    order, lcp = merge([Shard(p, alphabet, length) for p in parts], length, alphabet.stride)
     owner = np.repeat(np.arange(len(segments)), sizes + 1)
     at = np.arange(total) - np.repeat(np.cumsum(sizes + 1) - (sizes + 1), sizes + 1)
     _, rank = np.unique(docs, return_inverse=True)

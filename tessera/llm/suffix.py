@@ -5,9 +5,12 @@ that occur with different surroundings; each bucket of them is cut into shards,
 transformed, and merged by interleave refinement (``bwt``). The intervals of
 rows with a common prefix of ``length`` bytes are the repeated strings.
 
-An anchor with more than ``HOT`` differing stretches (a short line that a third
-of all documents hold) is not gathered in one bucket: its windows are reduced
-to the earliest of each distinct string by a distributed minimum.
+Stretches meet where the smallest document of their anchor sends them, so that
+neighbouring anchors of one copy travel as one stretch; a document to which
+more than ``CROWD`` anchors lead sends each anchor to a place of its own
+instead. An anchor with more than ``HOT`` differing stretches (a short line
+that a third of all documents hold) is not gathered at all: its windows are
+reduced to the earliest of each distinct string by a distributed minimum.
 
 Defined results: a null or empty text has no bytes and loses none; matches
 never cross documents; of equal strings the first (smallest ``doc_id``, then
@@ -34,7 +37,9 @@ from tessera.llm.substring import _batch, _flagged
 
 LENGTH, GRAM = 100, 28
 #: Differing stretches of one anchor that one bucket takes; bytes of a bucket.
-HOT, BUCKET = 4096, 1 << 20
+HOT, BUCKET = 4096, 1 << 18
+#: Open anchors that may meet at one document.
+CROWD = 16_384
 
 
 def _raw(text: str | None) -> bytes:
@@ -74,7 +79,7 @@ def _stage(batches: Iterator[pa.RecordBatch], shape: S.Shape, keep: bool) -> Ite
     k = shape.window
     for batch in batches:
         out, held = [], 0
-        whole, part, hot = (batch.column(c) for c in ("whole", "part", "hot"))
+        whole, part, route, hot = (batch.column(c) for c in ("whole", "part", "route", "hot"))
         for i, (doc, text) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("text"))):
             text = text.as_py()
             raw = _raw(text)
@@ -88,7 +93,7 @@ def _stage(batches: Iterator[pa.RecordBatch], shape: S.Shape, keep: bool) -> Ite
             if not some.any() and not many.any():
                 out.append((*_result(doc, raw, spans, keep), None, None, None, None))
             else:
-                segs = [{"g": x, "lo": a, "raw": raw[a:b]} for x, a, b in zip(H.signed(g[some]).tolist(), lo[some].tolist(), hi[some].tolist())]
+                segs = _stretches(raw, g[some], lo[some], hi[some], part[i].as_py() or [], route[i].as_py() or [])
                 wins = []
                 if many.any():
                     starts = np.flatnonzero(H.cover(len(raw), lo[many], hi[many] - lo[many] - k + 1)[: len(raw) - k + 1])
@@ -102,6 +107,22 @@ def _stage(batches: Iterator[pa.RecordBatch], shape: S.Shape, keep: bool) -> Ite
         yield _batch(out, _STAGE_ARROW)
 
 
+def _stretches(raw: bytes, g: np.ndarray, lo: np.ndarray, hi: np.ndarray, part: list[int], route: list[int]) -> list[dict]:
+    """The bytes around open anchors, those with one destination joined where they meet."""
+    if not len(g):
+        return []
+    to = dict(zip(part, route))
+    there = np.array([to[x] for x in H.signed(g).tolist()], dtype=np.int64)
+    out = []
+    for r in np.unique(there).tolist():
+        mine = there == r
+        a, b = lo[mine], np.maximum.accumulate(hi[mine])
+        heads = np.flatnonzero(np.concatenate(([True], a[1:] > b[:-1])))
+        for x, y in zip(a[heads].tolist(), b[np.append(heads[1:], len(a)) - 1].tolist()):
+            out.append({"g": r, "lo": x, "raw": raw[x:y]})
+    return out
+
+
 def _merge(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by anchor; whole anchors are put together into buckets."""
     segs: list[bytes] = []
@@ -110,7 +131,7 @@ def _merge(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
     size, last = 0, None
 
     def flush() -> pa.RecordBatch:
-        d, at = bwt.repeats(segs, np.array(docs, dtype=np.int64), np.array(starts, dtype=np.int64), length, stride=2 if length % 2 == 0 else 1)
+        d, at = bwt.repeats(segs, np.array(docs, dtype=np.int64), np.array(starts, dtype=np.int64), length)
         order = np.lexsort((at, d))
         d, at = d[order], at[order]
         first = np.ones(len(d), dtype=bool)
@@ -146,13 +167,15 @@ def _close(batches: Iterator[pa.RecordBatch], keep: bool) -> Iterator[pa.RecordB
         yield _batch(out, _DONE_ARROW)
 
 
-def dedup(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, keep: bool = True) -> DataFrame:
+def dedup(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, crowd: int = CROWD, keep: bool = True) -> DataFrame:
     """Remove every byte in a ``length``-byte string that also starts earlier; ``keep`` adds what is left."""
     shape = S.Shape(length, min(gram, length), _items)
     docs = documents.select("doc_id", "text")
     flags = W.store(S.flag_segments(S.segment_rows(docs, shape), hot=hot), "flags")
+    crowded = flags.where("kind = 1").groupBy("route").count().where(F.col("count") > crowd).select(F.col("route").alias("crowded"))
+    flags = flags.join(crowded, (F.col("route") == F.col("crowded")) & (F.col("kind") == 1), "left").withColumn("route", F.when(F.col("crowded").isNull(), F.col("route")).otherwise(F.col("id")))
     staged = W.store(
-        docs.join(S.by_document(flags), F.col("doc_id") == F.col("flag_doc"), "left").select("doc_id", "text", "whole", "part", "hot").mapInArrow(lambda it: _stage(it, shape, keep), _STAGE_SCHEMA),
+        docs.join(S.by_document(flags), F.col("doc_id") == F.col("flag_doc"), "left").select("doc_id", "text", "whole", "part", "route", "hot").mapInArrow(lambda it: _stage(it, shape, keep), _STAGE_SCHEMA),
         "staged",
     )
     done = staged.where("text is null").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
