@@ -67,6 +67,13 @@ class Block:
         return self.linked / self.words if self.words else 0.0
 
 
+def _names_around(name: str, in_text: bool) -> bool:
+    words = re.findall(r"[a-z]+", name)
+    if words and words[0] in ("no", "has", "with", "without"):
+        return False
+    return any(w in AROUND_WORDS and not (in_text and w == "header") for w in words)
+
+
 def _marks_around(tag: str, attrs: str, in_text: bool) -> bool:
     if tag in AROUND or tag == "header" and not in_text:
         return True
@@ -74,7 +81,7 @@ def _marks_around(tag: str, attrs: str, in_text: bool) -> bool:
         return False
     for name, a, b, c in _ATTR.findall(attrs):
         name, value = name.lower(), (a or b or c).lower()
-        if name in ("class", "id") and any(w in AROUND_WORDS for w in re.findall(r"[a-z]+", value)):
+        if name in ("class", "id") and any(_names_around(x, in_text) for x in value.split()):
             return True
         if name == "role" and value in AROUND_ROLES:
             return True
@@ -196,6 +203,16 @@ LABELLED = (
     (3, 0.0, 2, 1.0, 4, 0.5, 0, 0, 0, 0, 0), (6, 0.5, 3, 1.0, 2, 1.0, 0, 0, 0, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0, 0, 0), (2, 1.0, 3, 1.0, 60, 0.0, 0, 0, 0, 0, 0),
     (20, 0.9, 30, 0.8, 20, 0.9, 0, 0, 0, 0, 0), (5, 0.8, 60, 0.0, 4, 1.0, 0, 0, 0, 0, 0), (9, 0.0, 4, 0.0, 3, 1.0, 0, 0, 0, 0, 0), (30, 0.6, 50, 0.0, 20, 0.7, 0, 0, 0, 0, 0),
     (4, 0.0, 3, 1.0, 5, 0.0, 0, 0, 0, 0, 0), (8, 0.1, 3, 0.9, 0, 0.0, 0, 0, 0, 0, 0), (3, 0.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0, 0), (16, 0.0, 0, 0.0, 70, 0.0, 0, 0, 0, 0, 1),
+    (1, 0.0, 2, 0.0, 12, 0.0, 0, 1, 1, 0, 1), (1, 0.0, 90, 0.0, 0, 0.0, 0, 1, 1, 0, 1), (3, 0.0, 40, 0.0, 9, 0.0, 0, 1, 1, 0, 1), (7, 0.0, 5, 0.0, 4, 0.0, 0, 1, 1, 1, 1),
+    (90, 0.0, 7, 0.0, 12, 0.0, 0, 1, 1, 0, 1), (150, 0.0, 30, 0.0, 6, 0.5, 0, 1, 1, 0, 1), (400, 0.0, 12, 0.0, 0, 0.0, 0, 1, 1, 0, 1), (35, 0.0, 9, 0.0, 3, 1.0, 0, 1, 1, 0, 1),
+    (10, 0.0, 9, 0.0, 10, 0.0, 0, 1, 1, 0, 1), (2, 0.5, 20, 0.0, 2, 0.5, 0, 1, 1, 0, 1), (18, 0.0, 6, 1.0, 1, 0.0, 0, 1, 1, 0, 1), (75, 0.1, 1, 0.0, 1, 0.0, 0, 1, 1, 0, 1),
+    (5, 1.0, 6, 0.0, 70, 0.0, 1, 0, 1, 0, 0), (6, 0.0, 1, 1.0, 12, 0.0, 1, 0, 1, 0, 0), (100, 0.0, 80, 0.0, 90, 0.0, 1, 0, 1, 0, 0), (14, 0.0, 120, 0.0, 0, 0.0, 1, 0, 1, 0, 0),
+    (10, 0.1, 2, 1.0, 10, 0.0, 1, 0, 0, 0, 0), (22, 0.0, 30, 0.0, 25, 0.0, 1, 1, 1, 0, 0), (110, 0.0, 30, 0.0, 25, 0.0, 1, 1, 1, 0, 0), (3, 0.0, 100, 0.0, 60, 0.0, 1, 1, 1, 1, 0),
+    (35, 0.0, 60, 0.0, 0, 0.0, 1, 0, 0, 0, 0), (70, 0.0, 35, 0.0, 9, 0.0, 1, 0, 0, 0, 0), (5, 0.0, 90, 0.0, 20, 0.0, 1, 0, 0, 1, 0), (300, 0.0, 200, 0.0, 90, 0.0, 1, 1, 1, 0, 0),
+    (25, 0.0, 90, 0.0, 8, 0.0, 0, 0, 1, 0, 0), (70, 0.0, 9, 0.0, 90, 0.0, 0, 0, 1, 0, 0), (5, 0.0, 30, 0.0, 40, 0.0, 0, 0, 1, 1, 0), (150, 0.0, 90, 0.0, 3, 1.0, 0, 0, 1, 0, 0),
+    (70, 0.0, 7, 0.0, 2, 0.0, 0, 0, 0, 0, 1), (45, 0.0, 12, 0.0, 8, 0.0, 0, 0, 0, 0, 1), (30, 0.0, 4, 0.0, 5, 1.0, 0, 0, 0, 0, 1), (220, 0.05, 3, 1.0, 12, 0.0, 0, 0, 0, 0, 1),
+    (14, 0.0, 5, 0.0, 4, 0.0, 0, 0, 0, 0, 1), (12, 0.0, 40, 0.0, 3, 0.0, 0, 0, 0, 0, 1), (3, 0.0, 14, 0.0, 2, 0.0, 0, 0, 0, 0, 1), (2, 0.0, 14, 0.0, 2, 0.0, 0, 0, 0, 0, 1),
+    (2, 0.0, 2, 0.0, 14, 0.0, 0, 0, 0, 1, 1), (3, 0.0, 0, 0.0, 14, 0.0, 0, 0, 0, 1, 1), (5, 0.0, 1, 0.0, 14, 0.0, 0, 0, 0, 0, 1), (3, 0.0, 1, 1.0, 12, 0.0, 0, 0, 0, 1, 1),
 )
 
 
