@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import importlib
 
-from pyspark.sql import DataFrame, SparkSession
+from tessera.plans.registry import Builder
+from tessera.plans.scoring_queries import flagship
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_ORACLES: dict[str, str] = {}
+__all__ = ["flagship", "oracles", "queries"]
 
+MODULES = ("scoring_queries", "metric_queries", "policy_queries", "geometry_queries")
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _QUERIES
+
+def _registries():
+    return [importlib.import_module(f"tessera.plans.{m}").registry for m in MODULES]
+
+
+def queries() -> dict[str, Builder]:
+    return {name: f for r in _registries() for name, f in r.queries.items()}
 
 
 def oracles() -> dict[str, str]:
-    return _ORACLES
+    return {name: sql for r in _registries() for name, sql in r.oracles.items()}
