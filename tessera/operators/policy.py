@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.pinned import pin
+
 EPSILON = 1e-4
 
 
@@ -178,7 +180,7 @@ def _numbered(rows: DataFrame, *order: Column | str) -> DataFrame:
     the partitions only, and rows are numbered inside theirs, so no task holds
     the whole table.
     """
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    ranged = pin(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     inside = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     sizes = ranged.groupBy("_part").count()
     before = sizes.withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
@@ -235,7 +237,7 @@ def weighted_sample(rows: DataFrame, key: str, weight: str, k: int, alpha: float
 def weighted_draws(rows: DataFrame, key: str, weight: str, k: int, seed: int = 0) -> DataFrame:
     """k draws with replacement: each draw finds its row in the running sum of weights."""
     clean = rows.withColumn("_w", F.greatest(F.col(weight).cast("double"), F.lit(0.0)))
-    ranged = clean.repartitionByRange(key).withColumn("_part", F.spark_partition_id())
+    ranged = pin(clean.repartitionByRange(key).withColumn("_part", F.spark_partition_id()))
     inside = ranged.withColumn("_in", F.sum("_w").over(Window.partitionBy("_part").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)))
     parts = ranged.groupBy("_part").agg(F.sum("_w").alias("_sum")).withColumn("_end", F.sum("_sum").over(Window.orderBy("_part")))
     draws = rows.sparkSession.range(k).withColumn("u", draw(seed, "id"))
