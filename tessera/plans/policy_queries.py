@@ -132,9 +132,9 @@ def r_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@registry.query("SELECT event_id, round(CASE WHEN event_id < 1000 THEN 0 WHEN event_id > 5000 THEN 1 ELSE 0.175::DOUBLE * (event_id - 1000) / 4000.0::DOUBLE END, 6) AS target FROM events")
+@registry.query("SELECT event_id, round(CASE WHEN event_id < 1000 THEN 0 WHEN event_id > 5000 THEN 1 ELSE 0.175::DOUBLE * (event_id - 1000) / 4000.0::DOUBLE END, 8) AS target FROM events")
 def f_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", F.round(P.curriculum(F.col("event_id"), 1000, 5000, 0.175), 6).alias("target"))
+    return table(spark, sf_dir, "events").select("event_id", F.round(P.curriculum(F.col("event_id"), 1000, 5000, 0.175), 8).alias("target"))
 
 
 @registry.query("""
