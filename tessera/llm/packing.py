@@ -18,6 +18,7 @@ an empty result; other columns are ignored.
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -44,42 +45,106 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordIds(dict):
-    """Ids of a word as little-endian bytes; words between ASCII white space are tokenised on their own."""
+#: Texts of plain characters only, and the pieces that the tokenizer's own pattern cuts from them once lower-cased.
+_PLAIN = re.compile("[\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[!-/:-@\\[-`{-~]+")
+_LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+#: Text that is cut and looked up at a time; cached pieces.
+CHUNK, CACHED = 2 << 20, 600_000
 
-    def __init__(self, path: str, most: int = 400_000):
-        from tokenizers import Tokenizer
 
-        super().__init__()
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+class PieceIds:
+    """Ids of whole texts as little-endian bytes, from a cache of pieces.
+
+    White space always ends a piece. Plain texts are cut into the tokenizer's
+    pieces here; unseen pieces of letters are tokenised together, and the token
+    that closes a piece tells them apart again. Other texts are cut at ASCII
+    white space only, and each word is tokenised on its own.
+    """
 
-    def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(self) >= self.most:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
+    def __init__(self, path: str, most: int = CACHED):
+        from tokenizers import Tokenizer
 
-    def text(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        return b"".join(map(self.__getitem__, text.encode("utf-8", "replace").split()))
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.pieces: dict[str, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.closing = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        for token, i in vocabulary.items():
+            self.closing[i] = token.endswith("</w>")
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _learn(self, unseen: set[str]) -> None:
+        letters = []
+        for piece in unseen:
+            if _LETTERS.fullmatch(piece):
+                letters.append(piece)
+            else:
+                self.pieces[piece] = self.encode(piece)
+        for at in range(0, len(letters), 4096):
+            some = letters[at : at + 4096]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
+            ends = (4 * np.flatnonzero(self.closing[ids]) + 4).tolist()
+            if len(ends) != len(some):
+                raise ValueError("this tokenizer does not close pieces of letters")
+            raw = ids.tobytes()
+            self.pieces.update(zip(some, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends))))
+
+    def _plain(self, text: str) -> bool:
+        return _PLAIN.fullmatch(text) is not None and not ("<|" in text and any(s in text for s in self.special))
+
+    def _by_word(self, text: str) -> bytes:
+        out = []
+        for word in text.encode("utf-8", "replace").split():
+            if word not in self.words:
+                self.words[word] = self.encode(word.decode("utf-8"))
+            out.append(self.words[word])
+        return b"".join(out)
+
+    def texts(self, texts: list[str | None]) -> list[bytes]:
+        cut = [_PIECE.findall(t.lower()) if t and self._plain(t) else None for t in texts]
+        self._learn(set().union(*(c for c in cut if c)) - self.pieces.keys())
+        out = [b"".join(map(self.pieces.__getitem__, c)) if c is not None else self._by_word(t or "") for c, t in zip(cut, texts)]
+        # The pieces met first are the frequent ones: they stay.
+        for cache in (self.pieces, self.words):
+            if len(cache) > self.most:
+                for key in list(cache)[self.most // 2 :]:
+                    del cache[key]
+        return out
+
+
+def _chunks(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
+    """Texts in runs of about ``CHUNK`` characters, with the first one's place."""
+    first, some, size = 0, [], 0
+    for i, t in enumerate(texts):
+        t = t.as_py()
+        some.append(t)
+        size += len(t or "")
+        if size >= CHUNK:
+            yield first, some
+            first, some, size = i + 1, [], 0
+    if some:
+        yield first, some
 
 
 def _cut(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iterator[pa.RecordBatch]:
-    words = WordIds(path)
+    ids_of = PieceIds(path)
     task = TaskContext.get().partitionId()
     ranks: dict[int, int] = defaultdict(int)
     for batch in batches:
         rows = []
-        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-            ids = words.text(text.as_py()) + b"\0\0\0\0"
-            n = len(ids) // 4
-            for piece, start in enumerate(range(0, n, capacity)):
-                length = min(capacity, n - start)
-                rows.append((doc, piece, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), task, ranks[length]))
-                ranks[length] += 1
+        docs = batch.column("doc_id").to_pylist()
+        for first, texts in _chunks(batch.column("text")):
+            for doc, ids in zip(docs[first:], ids_of.texts(texts)):
+                ids += b"\0\0\0\0"
+                n = len(ids) // 4
+                for piece, start in enumerate(range(0, n, capacity)):
+                    length = min(capacity, n - start)
+                    rows.append((doc, piece, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), task, ranks[length]))
+                    ranks[length] += 1
         columns = list(zip(*rows)) if rows else [[]] * len(_PIECES_ARROW)
         yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, _PIECES_ARROW)], schema=_PIECES_ARROW)
 
