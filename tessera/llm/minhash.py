@@ -8,12 +8,17 @@ are banded; documents that share a band are candidates, and candidates are
 confirmed on their full sets.
 
 Documents with equal sets are one class from the start. In each bucket the
-classes are compared with *pivots* only: first the smallest, then, while
-members that were never pivots lie in different components, one further pivot
-for each component in the bucket, against the members of the others. When the
-rounds end, every pair of a bucket has been compared or joined by other links,
-so no link between components is lost, and a group of n near copies costs about
-n comparisons instead of n squared.
+classes are compared with one *pivot*, the member that shares most bands with
+others: in a group of near copies that is the text they were made from. Members
+of small buckets (``SMALL`` at most) that then still lie in different
+components are compared with each other. In larger buckets, a member x that is
+not linked to the pivot B can only be linked to y if their differences from B
+overlap: with a = |x ^ B|, b = |y ^ B| and s = |x| + |y|, a link needs
+|(x ^ B) & (y ^ B)| >= (a + b - s/9) / 2, which is more than half of y's
+difference. So a prefix of each difference, added shingles first, is enough to
+find all partners, and a group of n near copies costs about n comparisons
+instead of n squared. Every pair of a bucket is thus compared, excluded by the
+bound, or joined by other links: no link between components is lost.
 
 With bands of ``ROWS`` coordinates a pair at the threshold 0.8 misses all
 ``BANDS`` with probability (1 - 0.8**4)**28 = 4e-7; more similar pairs less.
@@ -37,6 +42,8 @@ from tessera.llm import _hashing as H
 from tessera.llm import _work as W
 
 BANDS, ROWS = 28, 4
+#: Members of a bucket that are compared with each other.
+SMALL = 12
 #: Similarity of a link, in hundredths.
 LINK = 80
 _RING = np.uint32
@@ -111,26 +118,44 @@ def _sets(documents: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return rows.mapInArrow(run, "id long, grams binary").dropDuplicates(["id"])
 
 
+def _prefixes(base: np.ndarray, other: np.ndarray, both: np.ndarray, linked: bool) -> tuple[np.ndarray, np.ndarray, int]:
+    """Of ``other``'s difference from ``base``: the prefix that any partner of an unlinked member must meet, and, if unlinked itself, the longer one it looks with; and the difference's size."""
+    diff = np.concatenate((other[~both], np.setdiff1d(base, other, assume_unique=True)))
+    n = len(diff)
+    least = (9 * n + len(base) - len(other)) // 18 + 1
+    found = diff[: max(n - least + 1, 0)]
+    if linked:
+        return found, diff[:0], n
+    own = max(1, n - len(other) // 4)
+    return found, diff[: n - own + 1], n
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose sets are similar enough."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    """a, b, whether their sets are similar enough, and for ``big`` pairs the prefixes of b's difference from a."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_()), ("found", pa.list_(pa.int64())), ("looks", pa.list_(pa.int64())), ("diff", pa.int32()), ("n", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, mine = None, None
         for batch in batches:
-            good = []
-            for a, ga, gb in zip(batch.column("a").to_pylist(), batch.column("ga"), batch.column("gb")):
+            linked, found, looks, diff, size = [], [], [], [], []
+            for a, ga, gb, big in zip(batch.column("a").to_pylist(), batch.column("ga"), batch.column("gb"), batch.column("big").to_pylist()):
                 if a != last:
                     last, mine = a, np.frombuffer(ga.as_py(), dtype=np.uint64)
                 other = np.frombuffer(gb.as_py(), dtype=np.uint64)
-                at = np.searchsorted(mine, other)
-                both = int((mine[np.minimum(at, len(mine) - 1)] == other).sum()) if len(mine) else 0
-                good.append(100 * both >= LINK * (len(mine) + len(other) - both))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], schema=schema).filter(pa.array(good, pa.bool_()))
+                hit = mine[np.minimum(np.searchsorted(mine, other), len(mine) - 1)] == other
+                both = int(hit.sum())
+                good = 100 * both >= LINK * (len(mine) + len(other) - both)
+                linked.append(good)
+                f, x, d = _prefixes(mine, other, hit, good) if big else (mine[:0], mine[:0], 0)
+                diff.append(d)
+                size.append(len(other))
+                found.append(H.signed(f))
+                looks.append(H.signed(x))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(linked, pa.bool_()), pa.array(found, schema.field("found").type), pa.array(looks, schema.field("looks").type), pa.array(diff, pa.int32()), pa.array(size, pa.int32())], schema=schema)
 
     first = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a")
     both = first.join(sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
-    return both.select("a", "b", "ga", "gb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "ga", "gb", "big").mapInArrow(run, "a long, b long, linked boolean, found array<long>, looks array<long>, diff int, n int")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -159,30 +184,34 @@ def groups(documents: DataFrame, k: int = 2) -> DataFrame:
     known = signed.where("n > 0 and doc_id is not null")
     classes = W.store(known.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
     keys = classes.select("rep", "n", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("first"), F.count("*").alias("size")).where("size > 1")
-    members = W.store(keys.join(shared, "key").select("key", "size", "rep", "n", F.col("first.rep").alias("pivot"), F.col("first.n").alias("pivot_n")), "members")
+    shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    members = W.store(keys.join(shared, "key").select("key", "size", "rep", "n"), "members")
+    shares = members.groupBy("rep").agg(F.sum("size").alias("shares"))
+    pivots = members.join(shares, "rep").groupBy("key").agg(F.max(F.struct("shares", (-F.col("rep")).alias("r"), "n")).alias("p"))
+    members = W.store(members.join(pivots.select("key", (-F.col("p.r")).alias("pivot"), F.col("p.n").alias("pivot_n")), "key"), "members")
     sets = W.store(_sets(documents, members.select(F.col("rep").alias("id")).distinct(), k), "sets")
 
     near = lambda x, y: 100 * F.least(x, y) >= LINK * F.greatest(x, y)  # noqa: E731  sizes that a link allows
-    pairs = W.store(members.where((F.col("rep") != F.col("pivot")) & near(F.col("n"), F.col("pivot_n"))).select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    tested = pairs
-    links = W.store(_confirm(pairs, sets), "links")
+    big = F.col("size") > SMALL
+    pairs = W.store(members.where((F.col("rep") != F.col("pivot")) & (big | near(F.col("n"), F.col("pivot_n")))).groupBy(F.col("pivot").alias("a"), F.col("rep").alias("b")).agg(F.max(big).alias("big")), "pairs")
+    judged = W.store(_confirm(pairs, sets), "judged")
+    links = judged.where("linked").select("a", "b")
     roots = components(links)
-    open_members = members.where("size > 2").select("key", "rep", "n", (F.col("rep") == F.col("pivot")).alias("was_pivot"))
-    while True:
-        placed = open_members.join(roots, F.col("rep") == F.col("id"), "left").select("key", "rep", "n", "was_pivot", F.coalesce("root", "rep").alias("root"))
-        apart = placed.where("not was_pivot").groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-        placed = W.store(placed.join(apart, "key", "left_semi"), "open")
-        if not placed.limit(1).count():
-            break
-        chosen = placed.where("not was_pivot").groupBy("key", "root").agg(F.min(F.struct("rep", "n")).alias("p")).select("key", F.col("root").alias("p_root"), F.col("p.rep").alias("p"), F.col("p.n").alias("p_n"))
-        fresh = placed.join(chosen, "key").where((F.col("root") != F.col("p_root")) & near(F.col("n"), F.col("p_n"))).select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")).distinct()
-        fresh = W.store(fresh.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.unionByName(fresh)
-        found = _confirm(fresh, sets)
-        links = W.store(links.unionByName(found), "links")
-        roots = components(links)
-        open_members = W.store(placed.join(chosen.select("key", F.col("p").alias("rep"), F.lit(True).alias("now")), ["key", "rep"], "left").select("key", "rep", "n", (F.col("was_pivot") | F.coalesce("now", F.lit(False))).alias("was_pivot")), "open")
+    # Small buckets: members that are not in one component yet, each with each.
+    placed = members.where((F.col("size") > 2) & ~big).join(roots, F.col("rep") == F.col("id"), "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("root"))
+    apart = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    placed = W.store(placed.join(apart, "key", "left_semi"), "apart")
+    other = placed.select("key", F.col("rep").alias("y"), F.col("n").alias("y_n"), F.col("root").alias("y_root"))
+    each = placed.join(other, "key").where((F.col("rep") < F.col("y")) & (F.col("root") != F.col("y_root")) & near(F.col("n"), F.col("y_n"))).select(F.col("rep").alias("a"), F.col("y").alias("b"))
+    # Large ones: members that are not linked to the pivot, with those whose differences meet theirs.
+    # The first element they meet in, at places i and j of their differences, must leave room for enough others.
+    side = lambda c, name: judged.select("a", F.col("b").alias(name), F.col("diff").alias(f"{name}_d"), F.col("n").alias(f"{name}_n"), F.posexplode(c).alias(f"{name}_i", "e"))
+    room = F.least(F.col("x_d") - F.col("x_i"), F.col("y_d") - F.col("y_i"))
+    enough = 18 * room >= 9 * (F.col("x_d") + F.col("y_d")) - (F.col("x_n") + F.col("y_n"))
+    meet = side("looks", "x").join(side("found", "y"), ["a", "e"]).where((F.col("x") != F.col("y")) & enough & near(F.col("x_n"), F.col("y_n"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    fresh = each.unionByName(meet).distinct().withColumn("big", F.lit(False))
+    more = _confirm(W.store(fresh, "pairs"), sets).where("linked").select("a", "b")
+    roots = components(W.store(links.unionByName(more), "links"))
     whole = classes.join(roots, F.col("rep") == F.col("id"), "left").select("d1", "d2", F.coalesce("root", "rep").alias("component"))
     component = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     out = signed.select("doc_id", "n", "d1", "d2").join(whole, ["d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
