@@ -205,10 +205,11 @@ def groups(documents: DataFrame, k: int = 2) -> DataFrame:
     each = placed.join(other, "key").where((F.col("rep") < F.col("y")) & (F.col("root") != F.col("y_root")) & near(F.col("n"), F.col("y_n"))).select(F.col("rep").alias("a"), F.col("y").alias("b"))
     # Large ones: members that are not linked to the pivot, with those whose differences meet theirs.
     # The first element they meet in, at places i and j of their differences, must leave room for enough others.
-    side = lambda c, name: judged.select("a", F.col("b").alias(name), F.col("diff").alias(f"{name}_d"), F.col("n").alias(f"{name}_n"), F.posexplode(c).alias(f"{name}_i", "e"))
+    joined = judged.join(roots, F.col("b") == F.col("id"), "left").withColumn("root", F.coalesce("root", "b"))
+    side = lambda c, name: joined.select("a", F.col("root").alias(f"{name}_root"), F.col("b").alias(name), F.col("diff").alias(f"{name}_d"), F.col("n").alias(f"{name}_n"), F.posexplode(c).alias(f"{name}_i", "e"))
     room = F.least(F.col("x_d") - F.col("x_i"), F.col("y_d") - F.col("y_i"))
     enough = 18 * room >= 9 * (F.col("x_d") + F.col("y_d")) - (F.col("x_n") + F.col("y_n"))
-    meet = side("looks", "x").join(side("found", "y"), ["a", "e"]).where((F.col("x") != F.col("y")) & enough & near(F.col("x_n"), F.col("y_n"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    meet = side("looks", "x").join(side("found", "y"), ["a", "e"]).where((F.col("x_root") != F.col("y_root")) & enough & near(F.col("x_n"), F.col("y_n"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     fresh = each.unionByName(meet).distinct().withColumn("big", F.lit(False))
     more = _confirm(W.store(fresh, "pairs"), sets).where("linked").select("a", "b")
     roots = components(W.store(links.unionByName(more), "links"))
