@@ -47,7 +47,8 @@ def tool_text(text: Column, strict: bool = False, position: str = "last") -> Col
 
 def extract_tool(text: Column, strict: bool = False, position: str = "last") -> Column:
     """The parsed call; NULL where there is none or it is no JSON object."""
-    return F.from_json(tool_text(text, strict, position), CALL_SCHEMA)
+    call = F.from_json(tool_text(text, strict, position), CALL_SCHEMA)
+    return F.when(call["name"].isNotNull() | call["arguments"].isNotNull(), call)
 
 
 def attempted(text: Column) -> Column:
