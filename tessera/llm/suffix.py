@@ -37,7 +37,7 @@ from tessera.llm.substring import _batch, _flagged
 
 LENGTH, GRAM = 100, 28
 #: Differing stretches of one anchor that one bucket takes; bytes of a bucket.
-HOT, BUCKET = 4096, 1 << 18
+HOT, BUCKET = 256, 1 << 18
 #: Open anchors that may meet at one document.
 CROWD = 16_384
 
