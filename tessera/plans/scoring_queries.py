@@ -95,7 +95,7 @@ def r_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH c AS (SELECT doc_id, substr(text, 1, 300) AS t FROM documents), r AS (SELECT doc_id, regexp_replace(regexp_replace(t, '([ \t\r\f\v\x{A0}])\n', '\1', 'g'), '\n\n+', E'\n', 'g') AS t FROM c)
 SELECT doc_id, lower(regexp_replace(regexp_replace(replace(t, E'\n', ' '), '^\s+|\s+$', '', 'g'), '\.+$', '')) AS clean FROM r""")
 def f_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat(F.lit("<answer>first</answer> <answer>"), F.substring("text", 1, 300), F.lit("</answer>"))
+    text = F.concat(F.lit("<answer>first</answer> <answer>"), "text", F.lit("</answer>"))
     return table(spark, sf_dir, "documents").select("doc_id", S.clean_text(text).alias("clean"))
 
 
