@@ -334,5 +334,5 @@ def b_negative(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.functions import geometry as G
 
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 20 = 0").selectExpr("o_orderkey AS k", "CAST(o_custkey % 300 + 50 AS INT) x", "CAST(o_orderkey % 200 + 40 AS INT) y", "1000 AS w", "800 AS h")
+    o = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS k", "CAST(o_custkey % 300 + 50 AS INT) x", "CAST(o_orderkey % 200 + 40 AS INT) y", "1000 AS w", "800 AS h")
     return o.select("k", "w", "h", G.box(F.col("x"), F.col("y"), F.col("x") + 200, F.col("y") + 150).alias("ref"))

@@ -1,5 +1,7 @@
 """Queries against brute force over whole tables, where a cut would show."""
 
+import hashlib
+import math
 import re
 
 from tessera.plans import catalog
@@ -17,3 +19,47 @@ def test_clean_text_takes_whole_texts(spark, sf):
     assert max(map(len, docs.values())) > 10_000
     got = {r["doc_id"]: r["clean"] for r in catalog.queries()["f_clean_text"](spark, sf).collect()}
     assert got == {k: cleaned(t) for k, t in docs.items()}
+
+
+def draw(seed, *keys):
+    return int(hashlib.md5(":".join(map(str, (seed, *keys))).encode()).hexdigest()[:13], 16) / 16**13
+
+
+def proposed(k, ref, w, h, target, attempt):
+    """The candidate box of one attempt, None where it is rejected."""
+    u = lambda name: draw(f"0{name}", k, attempt)
+    normal = lambda a, b: math.sqrt(-2 * math.log(max(u(a), 1e-12))) * math.cos(2 * math.pi * u(b))
+    w1, h1 = ref[2] - ref[0], ref[3] - ref[1]
+    area = min(max(1, round(w1 * h1 * math.exp(normal("a", "b") * (0.9 * (1 - target) + 0.08)))), w * h)
+    aspect = math.exp(normal("c", "d") * 0.55)
+    w2, h2 = max(2, min(w, round(math.sqrt(area * aspect)))), max(2, min(h, round(math.sqrt(area / aspect))))
+    need = max(0, min(w1 * h1, w2 * h2, target * (w1 * h1 + w2 * h2) / (1 + target)))
+    ow = max(1, round((0.15 + 0.85 * u("o")) * min(w1, w2)))
+    oh = round(need / ow)
+    apart = lambda a, b, o, d: max(0, round((a + b) / 2 - o)) * (-1 if u(d) < 0.5 else 1)
+    x = round((ref[0] + ref[2]) / 2 + apart(w1, w2, ow, "e") - w2 / 2)
+    y = round((ref[1] + ref[3]) / 2 + apart(h1, h2, oh, "f") - h2 / 2)
+    return (x, y, x + w2, y + h2) if 1 <= oh <= min(h1, h2) and min(x, y) >= 0 and x + w2 <= w and y + h2 <= h else None
+
+
+def references(orders):
+    for k, c in orders:
+        x, y = c % 300 + 50, k % 200 + 40
+        yield k, (x, y, x + 200, y + 150)
+
+
+def orders_at(spark, folder, orders):
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{folder}/orders.parquet")
+    return str(folder)
+
+
+def test_every_order_gets_proposals(spark, tmp_path):
+    orders = [(k, k * 37 % 1000) for k in range(1, 61)]
+    got = {tuple(r) for r in catalog.queries()["b_propose"](spark, orders_at(spark, tmp_path, orders)).collect()}
+    want = {(k, t, *box) for k, ref in references(orders) for t in range(8) if (box := proposed(k, ref, 1000, 800, 0.3, t))}
+    assert got == want and len({r[0] for r in got}) > 50
+
+
+def test_every_order_gets_a_negative_box(spark, sf):
+    keys = {r[0] for r in spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey").collect()}
+    assert {r["k"] for r in catalog.queries()["b_negative"](spark, sf).collect()} == keys
