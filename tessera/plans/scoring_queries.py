@@ -105,7 +105,7 @@ l AS (SELECT p_partkey, a, b, 0 AS i, list_transform(range(length(b) + 1), lambd
   UNION ALL SELECT p_partkey, a, b, i + 1, list_reduce(range(1, length(b) + 1), lambda acc, j: list_append(acc, greatest(r[j + 1], acc[j], r[j] + CASE WHEN substr(a, i + 1, 1) = substr(b, j, 1) THEN 1 ELSE 0 END)), [0]) FROM l WHERE i < length(a))
 SELECT p_partkey, round(2.0::DOUBLE * r[length(b) + 1] / (length(a) + length(b)), 6) AS ratio FROM l WHERE i = length(a)""")
 def f_indel_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").where("p_partkey % 10 = 0").selectExpr("p_partkey", "substr(p_name, 1, 12) AS a", "substr(p_brand || p_name, 4, 12) AS b")
+    p = table(spark, sf_dir, "part").selectExpr("p_partkey", "p_name AS a", "p_brand || p_name AS b")
     return p.select("p_partkey", F.round(S.indel_ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
 
 

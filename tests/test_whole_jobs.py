@@ -63,3 +63,20 @@ def test_every_order_gets_proposals(spark, tmp_path):
 def test_every_order_gets_a_negative_box(spark, sf):
     keys = {r[0] for r in spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey").collect()}
     assert {r["k"] for r in catalog.queries()["b_negative"](spark, sf).collect()} == keys
+
+
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        following = [0]
+        for j, y in enumerate(b):
+            following.append(row[j] + 1 if x == y else max(row[j + 1], following[j]))
+        row = following
+    return row[-1]
+
+
+def test_indel_ratio_scores_whole_names_of_every_part(spark, sf):
+    parts = spark.read.parquet(f"{sf}/part.parquet").collect()
+    want = {r["p_partkey"]: 2 * lcs(r["p_name"], r["p_brand"] + r["p_name"]) / len(r["p_name"] + r["p_brand"] + r["p_name"]) for r in parts}
+    got = {r["p_partkey"]: r["ratio"] for r in catalog.queries()["f_indel_ratio"](spark, sf).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
