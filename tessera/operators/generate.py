@@ -86,9 +86,14 @@ def candidates(rows: DataFrame, key: str, ref: str, width: str, height: str, tar
     image); else the size is drawn around the reference, the overlap's width is
     drawn, its height solved, and the box laid to a drawn side.
     """
+    tried = rows.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
+    return _proposed(tried, key, ref, width, height, target, seed).where("cand is not null")
+
+
+def _proposed(tried: DataFrame, key: str, ref: str, width: str, height: str, target: float, seed: int) -> DataFrame:
+    """The candidate of each row's ``attempt``, NULL where it is rejected."""
     r = F.col(ref)
     w, h = F.col(width), F.col(height)
-    tried = rows.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
     u = lambda name: draw(f"{seed}{name}", key, "attempt")
     if target == 0:
         side = lambda size, d: (2 + F.floor(d * (F.greatest(F.lit(2), (size * 0.6).cast("int")) - 1))).cast("int")
@@ -109,26 +114,51 @@ def candidates(rows: DataFrame, key: str, ref: str, width: str, height: str, tar
     apart = lambda a, b, o, d: F.greatest(F.lit(0), F.bround((a + b) / 2 - o, 0).cast("int")) * F.when(u(d) < 0.5, -1).otherwise(1)
     x = F.bround((r["x1"] + r["x2"]) / 2 + apart(w1, w2, F.col("_ow"), "e") - w2 / 2, 0).cast("int")
     y = F.bround((r["y1"] + r["y2"]) / 2 + apart(h1, h2, F.col("_oh"), "f") - h2 / 2, 0).cast("int")
-    laid = sized.withColumn("cand", G.box(x, y, x + w2, y + h2)).where((F.col("_oh") >= 1) & (F.col("_oh") <= F.least(h1, h2)))
+    laid = sized.withColumn("cand", G.box(x, y, x + w2, y + h2))
+    fits = (F.col("_oh") >= 1) & (F.col("_oh") <= F.least(h1, h2))
     inside = (F.col("cand.x1") >= 0) & (F.col("cand.y1") >= 0) & (F.col("cand.x2") <= w) & (F.col("cand.y2") <= h)
-    return laid.where(inside).drop("_w", "_h", "_ow", "_oh")
+    return laid.withColumn("cand", F.when(fits & inside, F.col("cand"))).drop("_w", "_h", "_ow", "_oh")
 
 
-def negative_boxes(rows: DataFrame, key: str, ref: str, width: str, height: str, target: float, tolerance: float = 0.05, tries: int = 64, seed: int = 0) -> DataFrame:
+def negative_boxes(
+    rows: DataFrame, key: str, ref: str, width: str, height: str, target: float, tolerance: float = 0.05, tries: int = 64, seed: int = 0, others: str | None = None, threshold: float = 0.05, max_tries: int = 5000
+) -> DataFrame:
     """The best candidate of each row: first one within tolerance, else the nearest to the target.
 
-    A target of -1 gives the reference box itself; a row without any candidate
-    has a NULL box. Digits of the new coordinates must be as many as those of
-    the old ones wherever some candidate within tolerance allows it.
+    Candidates with an IoU over ``threshold`` to one of the boxes in the array
+    column ``others`` count as outside the tolerance. A target of -1 gives the
+    reference box itself; a row without any candidate has a NULL box. Digits of
+    the new coordinates must be as many as those of the old ones wherever some
+    candidate within tolerance allows it. Rows without such a candidate among
+    ``tries`` go through further, larger rounds, up to ``max_tries``: the
+    result is the same as that of all tries at once. Keys are unique.
     """
     if target == -1:
         return rows.select(key, F.col(ref).alias("bbox"), F.lit(0.0).alias("error"))
-    made = candidates(rows, key, ref, width, height, target, tries, seed)
     error = F.abs(G.overlap_int(F.col(ref), F.col("cand")) - target)
     digits = F.lit(0)
     for c in ("x1", "y1", "x2", "y2"):
         digits = digits + (F.length(F.col("cand")[c].cast("string")) != F.length(F.col(ref)[c].cast("string"))).cast("int")
     ok = error <= tolerance
-    order = F.struct((~ok).cast("int").alias("o"), F.when(ok, (digits > 0).cast("int")).otherwise(0).alias("d"), F.when(ok, 0.0).otherwise(error).alias("e"), F.col("attempt").alias("t"))
-    best = made.groupBy(key).agg(F.min_by(F.struct(F.col("cand").alias("bbox"), error.alias("error")), order).alias("b"))
-    return rows.select(key).join(best, key, "left").select(key, "b.bbox", "b.error")
+    if others:
+        ok = ok & ~F.coalesce(F.exists(others, lambda o: G.overlap_int(o, F.col("cand")) > threshold), F.lit(False))
+    made = F.struct(
+        (~ok).cast("int").alias("o"), F.when(ok, (digits > 0).cast("int")).otherwise(0).alias("d"), F.when(ok, 0.0).otherwise(error).alias("e"), F.col("attempt").alias("t"), F.col("cand").alias("bbox"), error.alias("error")
+    )
+    kept = list(dict.fromkeys([ref, width, height, *([others] if others else [])]))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number stays: the rows are few, their candidates many
+    state, best, first, size = rows.select(key, *kept).repartition(parts, key), None, 0, tries
+    while first < max_tries:
+        last = min(first + size, max_tries) - 1
+        attempts = F.sequence(F.lit(first), F.lit(last))
+        if best is not None:
+            # A later attempt cannot beat a found one; one is tried so that the row stays.
+            found = F.coalesce((F.col("_best.o") == 0) & (F.col("_best.d") == 0), F.lit(False))
+            attempts = F.when(found, F.array(F.lit(first))).otherwise(attempts)
+        tried = _proposed(state.withColumn("attempt", F.explode(attempts)), key, ref, width, height, target, seed)
+        tried = tried.withColumn("_new", F.when(F.col("cand").isNotNull(), made))
+        new = F.min("_new")
+        best = new if best is None else F.least(F.any_value("_best"), new)
+        state = tried.groupBy(key).agg(*(F.any_value(c).alias(c) for c in kept), best.alias("_best"))
+        first, size = last + 1, size * 9
+    return state.select(key, "_best.bbox", "_best.error")

@@ -328,7 +328,11 @@ def b_propose(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def b_negative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.negative_boxes(_refs(spark, sf_dir), "k", "ref", "w", "h", 0.3).select("k", "bbox.*", F.round("error", 6).alias("error"))
+    """Away from an earlier box, which lies 120 pixels to the right of the reference box."""
+    from tessera.functions import geometry as G
+
+    rows = _refs(spark, sf_dir).withColumn("others", F.array(G.shift(F.col("ref"), F.lit(120), F.lit(0))))
+    return N.negative_boxes(rows, "k", "ref", "w", "h", 0.3, others="others").select("k", "bbox.*", F.round("error", 6).alias("error"))
 
 
 def _refs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,3 +80,30 @@ def test_indel_ratio_scores_whole_names_of_every_part(spark, sf):
     want = {r["p_partkey"]: 2 * lcs(r["p_name"], r["p_brand"] + r["p_name"]) / len(r["p_name"] + r["p_brand"] + r["p_name"]) for r in parts}
     got = {r["p_partkey"]: r["ratio"] for r in catalog.queries()["f_indel_ratio"](spark, sf).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
+def iou(a, b):
+    inter = max(0, min(a[2], b[2]) - max(a[0], b[0])) * max(0, min(a[3], b[3]) - max(a[1], b[1]))
+    return inter / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - inter)
+
+
+def negative(k, ref, others, max_tries, tolerance=0.05):
+    best = None
+    for t in range(max_tries):
+        if box := proposed(k, ref, 1000, 800, 0.3, t):
+            error = abs(iou(ref, box) - 0.3)
+            ok = error <= tolerance and all(iou(o, box) <= 0.05 for o in others)
+            digits = any(len(str(a)) != len(str(b)) for a, b in zip(ref, box))
+            rank = (not ok, ok and digits, 0 if ok else error, t)
+            best = min(best, (rank, box), key=lambda x: x[0]) if best else (rank, box)
+    return best
+
+
+def test_negative_boxes_keep_off_others_and_go_on(spark, tmp_path):
+    orders = [(k, k * 37 % 1000) for k in range(1, 41)]
+    refs = dict(references(orders))
+    others = {k: [(x1 + 120, y1, x2 + 120, y2)] for k, (x1, y1, x2, y2) in refs.items()}
+    got = {r["k"]: tuple(r)[1:5] for r in catalog.queries()["b_negative"](spark, orders_at(spark, tmp_path, orders)).collect()}
+    want = {k: negative(k, ref, others[k], 5000) for k, ref in refs.items()}
+    assert got == {k: box for k, (_, box) in want.items()}
+    assert any(rank[3] >= 64 and not rank[0] for rank, _ in want.values())
