@@ -2,7 +2,8 @@
 
 Intermediate tables go to the folder named by ``spark.checkpoint.dir``, which
 every executor can read, so a lost executor never takes the only copy along.
-Where that setting is absent (unit tests, notebooks) a folder is made and set.
+Where that setting is absent, a local session (unit tests, notebooks) gets a
+folder made and set; any other session is refused.
 """
 
 from __future__ import annotations
@@ -12,6 +13,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a table of keys up to which it is broadcast; above that the join shuffles.
+BROADCAST_ROWS = 1_000_000
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -20,6 +25,8 @@ def work_root(spark: SparkSession) -> str:
     """The shared folder: the session's ``spark.checkpoint.dir``, else one made for local runs."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tessera-work-")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
@@ -53,7 +60,34 @@ def store(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def drop(*stored: DataFrame) -> None:
+    """Delete stored tables whose last reader has finished."""
+    for df in stored:
+        drop_path(df.sparkSession, df.stored_at)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def bounded(keys: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A stored table of narrow rows, to be broadcast if it has at most ``most`` of them, else to be merged."""
+    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys.hint("merge")
+
+
+def with_ids(rows: DataFrame, ids: DataFrame, how: str, most: int = BROADCAST_ROWS, on: str = "doc_id") -> DataFrame:
+    """Semi or anti join of documents with a stored table of distinct ids."""
+    name = free_name(rows, "wanted_id")
+    return rows.join(bounded(ids.toDF(name), most), F.col(on) == F.col(name), how)
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -1,7 +1,7 @@
 """Near-duplicate groups by circulant MinHash.
 
 A document is the set of its distinct k-word shingles, each mapped by a first
-permutation to a place in a ring of 2**32. A second permutation is laid on the
+permutation to a place in a ring of 2**32. Another permutation is laid on the
 ring, and the j-th coordinate of the signature is its least value over the
 set's places shifted by j: two permutations give every coordinate. Coordinates
 are banded; documents that share a band are candidates, and candidates are
@@ -25,8 +25,9 @@ With bands of ``ROWS`` coordinates a pair at the threshold 0.8 misses all
 
 Defined results: null and wordless texts have an empty set and stay alone;
 texts of fewer than k words are one shingle; a null ``doc_id`` is in no group
-and kept; rows that share a ``doc_id`` are one document. Ties go to the smallest
-``doc_id``. Other columns are ignored. An empty table gives an empty result.
+and kept; rows that share a ``doc_id`` are one document, for which the set with
+the least digest stands (each row reports its own set's size). Ties go to the
+smallest ``doc_id``. Other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -44,6 +45,8 @@ from tessera.llm import _work as W
 BANDS, ROWS = 28, 4
 #: Members of a bucket that are compared with each other.
 SMALL = 12
+#: Members of a pivot that one share compares.
+SHARE = 128
 #: Similarity of a link, in hundredths.
 LINK = 80
 _RING = np.uint32
@@ -57,8 +60,8 @@ def shingles(text: str | None, k: int) -> np.ndarray:
     return np.unique(H.windows(h, min(k, len(h)))) if len(h) else h
 
 
-def _permute(x: np.ndarray) -> np.ndarray:
-    """A fixed permutation of 32-bit integers."""
+def _scatter(x: np.ndarray) -> np.ndarray:
+    """The first permutation of 32-bit integers: it deals shingles out over the ring."""
     x = x ^ (x >> _RING(16))
     x = x * _RING(0x7FEB352D)
     x = x ^ (x >> _RING(15))
@@ -66,13 +69,24 @@ def _permute(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _RING(16))
 
 
+def _label(x: np.ndarray) -> np.ndarray:
+    """The second permutation: the value at each place of the ring."""
+    x = x ^ (x >> _RING(17))
+    x = x * _RING(0xED5AD4BB)
+    x = x ^ (x >> _RING(11))
+    x = x * _RING(0xAC4C1B51)
+    x = x ^ (x >> _RING(15))
+    x = x * _RING(0x31848BAB)
+    return x ^ (x >> _RING(14))
+
+
 def signature(grams: np.ndarray, size: int = BANDS * ROWS) -> np.ndarray:
     """Least value of the second permutation over the set's places, for each of ``size`` shifts."""
-    places = _permute((grams >> np.uint64(32)).astype(_RING) ^ grams.astype(_RING) * _RING(0x9E3779B1))
+    places = _scatter((grams >> np.uint64(32)).astype(_RING) ^ grams.astype(_RING) * _RING(0x9E3779B1))
     shifts = np.arange(size, dtype=_RING)[:, None]
     out = np.full(size, 0xFFFFFFFF, dtype=_RING)
     for at in range(0, len(places), 2048):
-        out = np.minimum(out, _permute(places[at : at + 2048][None, :] + shifts).min(axis=1))
+        out = np.minimum(out, _label(places[at : at + 2048][None, :] + shifts).min(axis=1))
     return out
 
 
@@ -85,6 +99,14 @@ def bands_of(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return key
 
 
+def _digest(g: np.ndarray) -> tuple[int, int]:
+    """128 bits that tell sets apart; no order of the shingles matters."""
+    if not len(g):
+        return 0, 0
+    other = np.bitwise_xor.reduce(H.mix64(g ^ np.uint64(0x5851F42D4C957F2D)), keepdims=True)
+    return int(H.signed(H.mix64(g).sum(keepdims=True))[0]), int(H.signed(other)[0])
+
+
 _SIGNED = "doc_id long, n long, d1 long, d2 long, bands array<long>"
 _SIGNED_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
@@ -98,8 +120,9 @@ def signatures(documents: DataFrame, k: int) -> DataFrame:
             for t in b.column("text"):
                 g = shingles(t.as_py(), k)
                 n.append(len(g))
-                d1.append(int(H.signed(H.mix64(g).sum(keepdims=True))[0]))
-                d2.append(int(H.signed(np.bitwise_xor.reduce(H.mix64(g ^ np.uint64(0x5851F42D4C957F2D)), keepdims=True))[0]) if len(g) else 0)
+                one, two = _digest(g)
+                d1.append(one)
+                d2.append(two)
                 bands.append(H.signed(bands_of(signature(g))) if len(g) else [])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], schema=_SIGNED_ARROW)
 
@@ -107,15 +130,16 @@ def signatures(documents: DataFrame, k: int) -> DataFrame:
 
 
 def _sets(documents: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """The full shingle sets, as sorted 64-bit integers, of the wanted documents."""
-    schema = pa.schema([("id", pa.int64()), ("grams", pa.binary())])
+    """The full shingle sets, as sorted 64-bit integers, of the wanted documents (id, d1)."""
+    schema = pa.schema([("id", pa.int64()), ("d1", pa.int64()), ("grams", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([shingles(t.as_py(), k).tobytes() for t in b.column("text")], pa.binary())], schema=schema)
+            sets = [shingles(t.as_py(), k) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([_digest(g)[0] for g in sets], pa.int64()), pa.array([g.tobytes() for g in sets], pa.binary())], schema=schema)
 
-    rows = documents.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("id"), "left_semi")
-    return rows.mapInArrow(run, "id long, grams binary").dropDuplicates(["id"])
+    rows = W.with_ids(documents.select("doc_id", "text"), wanted.select("id"), "left_semi")
+    return rows.mapInArrow(run, "id long, d1 long, grams binary")
 
 
 def _prefixes(base: np.ndarray, other: np.ndarray, both: np.ndarray, linked: bool) -> tuple[np.ndarray, np.ndarray, int]:
@@ -131,31 +155,35 @@ def _prefixes(base: np.ndarray, other: np.ndarray, both: np.ndarray, linked: boo
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, whether their sets are similar enough, and for ``big`` pairs the prefixes of b's difference from a."""
+    """a, b, whether their sets are similar enough, and for ``big`` pairs the prefixes of b's difference from a.
+
+    The members of each a are dealt out over shares of ``SHARE``, and a's own
+    set goes once to every share, ahead of them.
+    """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_()), ("found", pa.list_(pa.int64())), ("looks", pa.list_(pa.int64())), ("diff", pa.int32()), ("n", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, mine = None, None
+        mine = None
         for batch in batches:
-            linked, found, looks, diff, size = [], [], [], [], []
-            for a, ga, gb, big in zip(batch.column("a").to_pylist(), batch.column("ga"), batch.column("gb"), batch.column("big").to_pylist()):
-                if a != last:
-                    last, mine = a, np.frombuffer(ga.as_py(), dtype=np.uint64)
-                other = np.frombuffer(gb.as_py(), dtype=np.uint64)
+            out = []
+            for a, b, grams, big in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("grams"), batch.column("big").to_pylist()):
+                other = np.frombuffer(grams.as_py(), dtype=np.uint64)
+                if b is None:
+                    mine = other
+                    continue
                 hit = mine[np.minimum(np.searchsorted(mine, other), len(mine) - 1)] == other
                 both = int(hit.sum())
                 good = 100 * both >= LINK * (len(mine) + len(other) - both)
-                linked.append(good)
-                f, x, d = _prefixes(mine, other, hit, good) if big else (mine[:0], mine[:0], 0)
-                diff.append(d)
-                size.append(len(other))
-                found.append(H.signed(f))
-                looks.append(H.signed(x))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(linked, pa.bool_()), pa.array(found, schema.field("found").type), pa.array(looks, schema.field("looks").type), pa.array(diff, pa.int32()), pa.array(size, pa.int32())], schema=schema)
+                found, looks, diff = _prefixes(mine, other, hit, good) if big else (mine[:0], mine[:0], 0)
+                out.append((a, b, good, H.signed(found), H.signed(looks), diff, len(other)))
+            columns = list(zip(*out)) if out else [[]] * len(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    first = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a")
-    both = first.join(sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
-    return both.select("a", "b", "ga", "gb", "big").mapInArrow(run, "a long, b long, linked boolean, found array<long>, looks array<long>, diff int, n int")
+    shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / SHARE).alias("shares"))
+    members = pairs.join(shares, "a").withColumn("share", F.pmod(F.xxhash64("b"), "shares")).join(sets, F.col("b") == F.col("id")).select("a", "share", "b", "big", "grams")
+    heads = shares.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1))).join(sets, F.col("a") == F.col("id")).select("a", "share", F.lit(None).cast("long").alias("b"), F.lit(False).alias("big"), "grams")
+    dealt = heads.unionAll(members).repartition("a", "share").sortWithinPartitions("a", "share", "b")
+    return dealt.select("a", "b", "grams", "big").mapInArrow(run, "a long, b long, linked boolean, found array<long>, looks array<long>, diff int, n int")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -169,27 +197,46 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         near = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("root").alias("near"))
         sunk = labels.join(near, F.col("id") == F.col("a")).select("id", "root", F.least("root", "near").alias("new"))
-        sunk = W.store(sunk, "sunk")
+        old, sunk = labels, W.store(sunk, "sunk")
         ends = sunk.select(F.col("id").alias("at"), F.col("new").alias("further"))
         jumped = W.store(sunk.join(ends, F.col("new") == F.col("at"), "left").select("id", F.col("root").alias("was"), F.least("new", F.coalesce("further", "new")).alias("root")), "labels")
-        changed = jumped.where("was <> root").limit(1).count()
+        W.drop(old, sunk)
         labels = jumped.select("id", "root")
-        if not changed:
+        labels.stored_at = jumped.stored_at
+        if not jumped.where("was <> root").limit(1).count():
+            W.drop(both)
             return labels
 
 
+def _standing(signed: DataFrame) -> tuple[DataFrame, bool]:
+    """The signed rows with one set for each doc_id, and whether any doc_id has several rows."""
+    ids = signed.where("n > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.min("d1").alias("least"), F.count("*").alias("rows"))
+    shared = W.store(ids.where("rows > 1").drop("rows"), "shared")
+    if not shared.limit(1).count():
+        return signed, False
+    one = shared.join(signed, (F.col("doc_id") == F.col("id")) & (F.col("d1") == F.col("least"))).groupBy("id").agg(F.first("least").alias("s1"), F.min("d2").alias("s2"), F.first("bands").alias("s_bands"))
+    stands = signed.join(one, (F.col("doc_id") == F.col("id")) & (F.col("n") > 0), "left")
+    return stands.select("doc_id", "n", *(F.coalesce(f"s{i}", f"d{i}").alias(f"d{i}") for i in (1, 2)), F.coalesce("s_bands", "bands").alias("bands")), True
+
+
 def groups(documents: DataFrame, k: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     signed = W.store(signatures(documents, k), "signatures")
-    known = signed.where("n > 0 and doc_id is not null")
+    rows, shared = _standing(signed)
+    known = rows.where("n > 0 and doc_id is not null")
     classes = W.store(known.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
     keys = classes.select("rep", "n", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = W.store(keys.join(shared, "key").select("key", "size", "rep", "n"), "members")
-    shares = members.groupBy("rep").agg(F.sum("size").alias("shares"))
-    pivots = members.join(shares, "rep").groupBy("key").agg(F.max(F.struct("shares", (-F.col("rep")).alias("r"), "n")).alias("p"))
-    members = W.store(members.join(pivots.select("key", (-F.col("p.r")).alias("pivot"), F.col("p.n").alias("pivot_n")), "key"), "members")
-    sets = W.store(_sets(documents, members.select(F.col("rep").alias("id")).distinct(), k), "sets")
+    shared_keys = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    met = W.store(keys.join(shared_keys, "key").select("key", "size", "rep", "n"), "members")
+    shares = met.groupBy("rep").agg(F.sum("size").alias("shares"))
+    pivots = met.join(shares, "rep").groupBy("key").agg(F.max(F.struct("shares", (-F.col("rep")).alias("r"), "n")).alias("p"))
+    members = W.store(met.join(pivots.select("key", (-F.col("p.r")).alias("pivot"), F.col("p.n").alias("pivot_n")), "key"), "members")
+    W.drop(met)
+    wanted = W.store(members.select(F.col("rep").alias("id")).distinct().join(classes.select(F.col("rep").alias("id"), F.col("d1").alias("of")), "id"), "wanted")
+    sets = _sets(documents, wanted, k)
+    if shared:
+        sets = sets.join(wanted, "id").where("d1 = of").dropDuplicates(["id"])
+    sets = W.store(sets.select("id", "grams"), "sets")
 
     near = lambda x, y: 100 * F.least(x, y) >= LINK * F.greatest(x, y)  # noqa: E731  sizes that a link allows
     big = F.col("size") > SMALL
@@ -207,13 +254,19 @@ def groups(documents: DataFrame, k: int = 2) -> DataFrame:
     # The first element they meet in, at places i and j of their differences, must leave room for enough others.
     joined = judged.join(roots, F.col("b") == F.col("id"), "left").withColumn("root", F.coalesce("root", "b"))
     side = lambda c, name: joined.select("a", F.col("root").alias(f"{name}_root"), F.col("b").alias(name), F.col("diff").alias(f"{name}_d"), F.col("n").alias(f"{name}_n"), F.posexplode(c).alias(f"{name}_i", "e"))
+    looks, found = side("looks", "x"), W.store(side("found", "y"), "found")
+    # An element that only one component holds joins nothing new, however many of its members hold it.
+    several = found.groupBy("a", "e").agg(F.min("y_root").alias("lo"), F.max("y_root").alias("hi"))
+    looks = looks.join(several, ["a", "e"]).where((F.col("lo") < F.col("hi")) | (F.col("lo") != F.col("x_root"))).drop("lo", "hi")
     room = F.least(F.col("x_d") - F.col("x_i"), F.col("y_d") - F.col("y_i"))
     enough = 18 * room >= 9 * (F.col("x_d") + F.col("y_d")) - (F.col("x_n") + F.col("y_n"))
-    meet = side("looks", "x").join(side("found", "y"), ["a", "e"]).where((F.col("x_root") != F.col("y_root")) & enough & near(F.col("x_n"), F.col("y_n"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    fresh = each.unionByName(meet).distinct().withColumn("big", F.lit(False))
-    more = _confirm(W.store(fresh, "pairs"), sets).where("linked").select("a", "b")
-    roots = components(W.store(links.unionByName(more), "links"))
+    meet = looks.join(found, ["a", "e"]).where((F.col("x_root") != F.col("y_root")) & enough & near(F.col("x_n"), F.col("y_n"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    fresh = W.store(each.unionByName(meet).distinct().withColumn("big", F.lit(False)), "pairs")
+    more = _confirm(fresh, sets).where("linked").select("a", "b")
+    every = W.store(links.unionByName(more), "links")
+    W.drop(members, sets, pairs, judged, placed, found, fresh)
+    roots = components(every)
     whole = classes.join(roots, F.col("rep") == F.col("id"), "left").select("d1", "d2", F.coalesce("root", "rep").alias("component"))
     component = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    out = signed.select("doc_id", "n", "d1", "d2").join(whole, ["d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
+    out = rows.select("doc_id", "n", "d1", "d2").join(whole, ["d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
