@@ -6,13 +6,13 @@ stage. All but the last return the columns of ``documents``.
 
 Nulls and repeats: a null text fails the quality rules; of rows that share a
 ``doc_id`` all stay or all go in every filtering stage but near-dedup, which
-keeps one; columns beyond the usual ones pass through. An empty table runs
+keeps that with the least text; columns beyond the usual ones pass through. An empty table runs
 through to an empty packing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import _work as W
@@ -29,9 +29,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: that with the smallest id."""
-    kept = minhash.groups(docs, k=SHINGLE).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    judged = W.store(minhash.groups(docs, k=SHINGLE).where("doc_id is not null").select(F.col("doc_id").alias("id"), "kept"), "judged")
+    lost = W.store(judged.where(~F.col("kept")).select("id").distinct(), "lost")
+    left = W.with_ids(docs, lost, "left_anti")
+    shared = W.store(judged.groupBy("id").count().where("count > 1").select("id"), "shared")
+    if not shared.limit(1).count():
+        return left
+    place = W.free_name(docs, "place")
+    one = Window.partitionBy("doc_id").orderBy("text", F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns))))
+    several = W.with_ids(left, shared, "left_semi").withColumn(place, F.row_number().over(one)).where(F.col(place) == 1).drop(place)
+    return W.with_ids(left, shared, "left_anti").unionByName(several)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
