@@ -96,23 +96,38 @@ def _same_number(a: Column, b: Column) -> Column:
 
 
 def indel_ratio(a: Column, b: Column) -> Column:
-    """Indel similarity 2 LCS / (len + len), 1 for two empty texts; a fold over rows of the LCS table."""
+    """Indel similarity 2 LCS / (len + len), 1 for two empty texts."""
     chars = lambda x: F.filter(F.split(x, ""), lambda c: c != "")
     return let(F.struct(chars(a).alias("a"), chars(b).alias("b")), lambda v: F.when(v["a"] == v["b"], 1.0).otherwise(_lcs_ratio(v["a"], v["b"])))
 
 
-def _lcs_ratio(xs: Column, ys: Column) -> Column:
-    zero = F.transform(ys, lambda _: F.lit(0))
+#: Bits of a table row that one number holds, so that sums stay positive.
+_BITS = 62
+_ONES = (1 << _BITS) - 1
 
-    def row(prev: Column, x: Column) -> Column:
-        # cell j = max(above, left, diagonal + hit); ``left`` rides along as the last cell so far.
-        pairs = F.arrays_zip(ys.alias("y"), prev.alias("up"), F.concat(F.array(F.lit(0)), F.slice(prev, 1, F.greatest(F.size(prev) - 1, F.lit(0)))).alias("diag"))
-        none = F.array().cast("array<int>")
-        cell = lambda acc, p: F.greatest(p["up"], F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)), p["diag"] + (p["y"] == x).cast("int"))
-        return F.aggregate(pairs, none, lambda acc, p: F.array_append(acc, cell(acc, p)))
 
-    lcs = F.coalesce(F.try_element_at(F.aggregate(xs, zero, row), F.lit(-1)), F.lit(0))
-    return F.when(F.size(xs) + F.size(ys) > 0, 2.0 * lcs / (F.size(xs) + F.size(ys))).otherwise(1.0)
+def _lcs_ratio(xs: Column, ys: Column) -> Column:
+    """By a bit-parallel fold: a row of the LCS table is one bit a character of ``xs``, zero where the row grows."""
+    words = F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / _BITS).cast("int"))
+    doubled = lambda acc, bit: acc * 2 + bit
+    hits = lambda c, w: F.aggregate(F.reverse(F.transform(F.slice(xs, w * _BITS + 1, F.lit(_BITS)), lambda x: (x == c).cast("long"))), F.lit(0).cast("long"), doubled)
+    places = F.map_from_entries(F.transform(F.array_distinct(xs), lambda c: F.struct(c.alias("c"), F.transform(words, lambda w: hits(c, w)).alias("bits"))))
+    none = F.struct(F.lit(0).cast("long").alias("carry"), F.array().cast("array<bigint>").alias("out"))
+
+    def word(acc: Column, p: Column) -> Column:
+        total = p["row"] + p["row"].bitwiseAND(p["bits"]) + acc["carry"]
+        new = total.bitwiseAND(F.lit(_ONES)).bitwiseOR(p["row"].bitwiseAND(F.bitwise_not(p["bits"])))
+        return F.struct(F.shiftright(total, _BITS).alias("carry"), F.array_append(acc["out"], new).alias("out"))
+
+    def grow(row: Column, bits: Column) -> Column:
+        pairs = F.zip_with(row, bits, lambda r, b: F.struct(r.alias("row"), b.alias("bits")))
+        return F.when(bits.isNull(), row).otherwise(F.aggregate(pairs, none, word, lambda acc: acc["out"]))
+
+    first = F.transform(words, lambda _: F.lit(_ONES))
+    zeros = lambda row: F.aggregate(row, F.lit(0), lambda n, w: n + _BITS - F.bit_count(w))
+    lcs = let(places, lambda m: F.aggregate(ys, first, lambda row, y: grow(row, F.try_element_at(m, y)), zeros))
+    both = F.size(xs) + F.size(ys)
+    return F.when(both == 0, 1.0).when((F.size(xs) == 0) | (F.size(ys) == 0), 0.0).otherwise(2.0 * lcs / both)
 
 
 _MARKS = {"box": (r"\\boxed\{(.*?)}", "\\boxed{"), "answer_tags": ("<answer>(.*?)</answer>", "<answer>")}

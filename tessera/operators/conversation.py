@@ -217,20 +217,29 @@ def image_turn(turns: DataFrame, conv: str, turn: str, n_images: str, lookups: D
     return hits.groupBy(*lookups.columns).agg(F.min("_t").alias("image_turn"))
 
 
-def bbox_chain(calls: DataFrame, conv: str, call: str, target: str, box: str, most: int = 16) -> DataFrame:
-    """Boxes in original coordinates: a crop of a crop is moved by its parent's corner.
+def bbox_chain(calls: DataFrame, conv: str, call: str, target: str, box: str) -> DataFrame:
+    """Boxes in original coordinates: a crop of a crop is moved by its parents' corners.
 
-    ``target`` 0 is the original image, k the k-th call's crop. Chains longer
-    than ``most`` are not followed; each pass moves all unresolved crops by one
-    parent, and ends when none is left.
+    ``target`` 0 is the original image, k the crop of call k; a target that no
+    earlier call made counts as the original. The calls of a conversation are
+    gathered in order and folded once, however long the chains are.
     """
-    out = calls.withColumn("_up", F.col(target)).withColumn(box, F.struct(*(F.col(box)[c].cast("long").alias(c) for c in ("x1", "y1", "x2", "y2"))))
-    parents = calls.select(F.col(conv).alias("_c"), F.col(call).alias("_k"), F.col(target).alias("_next"), F.col(box)["x1"].cast("long").alias("_dx"), F.col(box)["y1"].cast("long").alias("_dy"))
-    for _ in range(most):
-        moved = out.join(parents, (F.col(conv) == F.col("_c")) & (F.col("_up") == F.col("_k")) & (F.col("_up") > 0), "left")
-        shifted = F.when(F.col("_k").isNotNull(), G.shift(F.col(box), F.col("_dx"), F.col("_dy"))).otherwise(F.col(box))
-        out = moved.withColumn(box, shifted).withColumn("_up", F.coalesce("_next", F.lit(0))).drop("_c", "_k", "_next", "_dx", "_dy")
-    return out.drop("_up")
+    long = F.struct(*(F.col(box)[c].cast("long").alias(c) for c in ("x1", "y1", "x2", "y2")))
+    others = [c for c in calls.columns if c not in (conv, call, target, box)]
+    row = F.struct(F.col(call).alias("k"), F.col(target).alias("up"), long.alias("box"), F.struct(*others).alias("rest") if others else F.lit(0).alias("rest"))
+    gathered = calls.groupBy(conv).agg(F.sort_array(F.collect_list(row)).alias("_calls"))
+    corner = lambda k, b: F.struct(k.alias("k"), b["x1"].alias("x"), b["y1"].alias("y"))
+
+    def step(done: Column, c: Column) -> Column:
+        moved = F.transform(F.filter(done["corners"], lambda p: p["k"] == c["up"]), lambda p: G.shift(c["box"], p["x"], p["y"]))
+        placed = F.coalesce(F.get(moved, 0), c["box"])
+        return F.struct(F.array_append(done["corners"], corner(c["k"], placed)).alias("corners"), F.array_append(done["boxes"], placed).alias("boxes"))
+
+    kind = gathered.schema["_calls"].dataType.elementType
+    start = F.struct(F.array().cast(f"array<struct<k:{kind['k'].dataType.simpleString()},x:bigint,y:bigint>>").alias("corners"), F.array().cast("array<struct<x1:bigint,y1:bigint,x2:bigint,y2:bigint>>").alias("boxes"))
+    boxes = F.aggregate("_calls", start, step, lambda done: done["boxes"])
+    out = gathered.select(conv, F.explode(F.arrays_zip(F.col("_calls").alias("c"), boxes.alias("b"))).alias("_r"))
+    return out.select(conv, F.col("_r.c.k").alias(call), F.col("_r.c.up").alias(target), F.col("_r.b").alias(box), *(F.col(f"_r.c.rest.{c}").alias(c) for c in others)).select(*calls.columns)
 
 
 # Rounds ------------------------------------------------------------------
@@ -258,6 +267,11 @@ def rounds(replies: DataFrame, conv: str, turn: str, tools: list[str], max_round
     return flagged.withColumn("_over", reached).where(~F.col("_over")).select(conv, turn, "round", "attempted", "successful", "finished")
 
 
+def ids_by_finished(replies: DataFrame, conv: str, finished: str, wanted: bool) -> DataFrame:
+    """Conversations that are finished, or are not: one is when its last reply is."""
+    return replies.groupBy(conv).agg(F.bool_or(finished).alias("_done")).where(F.col("_done") == wanted).select(conv)
+
+
 def trim_over_limit(turns: DataFrame, conv: str, turn: str, limit: int) -> DataFrame:
     """Training's rule: the call over the limit is un-counted and the tool result after it dropped."""
     w = Window.partitionBy(conv).orderBy(turn)

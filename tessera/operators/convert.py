@@ -44,6 +44,21 @@ def as_text(c: str) -> Column:
     return F.coalesce(F.col(c).cast("string"), F.lit("None"))
 
 
+def python_repr(texts: Column) -> Column:
+    """An array of texts as Python prints its list: NULL as None, double quotes only around texts with single ones alone."""
+
+    def shown(v: Column) -> Column:
+        for plain, escaped in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+            v = F.replace(v, F.lit(plain), F.lit(escaped))
+        return v
+
+    def quoted(v: Column) -> Column:
+        double = v.contains("'") & ~v.contains('"')
+        return F.when(v.isNull(), "None").when(double, F.concat(F.lit('"'), shown(v), F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(shown(v), F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+    return F.concat(F.lit("["), F.array_join(F.transform(texts, quoted), ", "), F.lit("]"))
+
+
 def basenames(paths: Column, folder: str = "data") -> Column:
     return F.transform(paths, lambda p: F.concat(F.lit(folder + "/"), F.element_at(F.split(p, "/"), -1)))
 
@@ -130,10 +145,10 @@ def convert(df: DataFrame, dataset: str) -> DataFrame:
 
 def zip_join(left: DataFrame, right: DataFrame, key: str, order_left: str, order_right: str, take: list[str]) -> DataFrame:
     """Rows side by side in their orders; raises where the keys of a pair differ or one side is longer."""
-    from tessera.operators.policy import _numbered
+    from tessera.operators.numbering import numbered
 
-    a = _numbered(left, order_left).withColumnRenamed("rn", "_rn")
-    b = _numbered(right, order_right).select(F.col("rn").alias("_rn"), F.col(key).alias("_key"), *(F.col(c) for c in take))
+    a = numbered(left, order_left).withColumnRenamed("rn", "_rn")
+    b = numbered(right, order_right).select(F.col("rn").alias("_rn"), F.col(key).alias("_key"), *(F.col(c) for c in take))
     both = a.join(b.withColumn("_right", F.lit(True)), "_rn", "full")
     aligned = F.col("_right").isNotNull() & F.col(order_left).isNotNull() & F.col(key).eqNullSafe(F.col("_key"))
     checked = both.withColumn(key, F.when(aligned, F.col(key)).otherwise(F.raise_error(F.lit("the two tables are not aligned")).cast(left.schema[key].dataType)))

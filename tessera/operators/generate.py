@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import geometry as G
+from tessera.operators.numbering import numbered
 from tessera.operators.policy import draw
 
 # The axes of the grid configurations and the texts of the questions.
@@ -48,10 +49,10 @@ def cells(configs: DataFrame, images: int, base_seed: int = 42) -> DataFrame:
 
 def files_for(cells_: DataFrame, index: DataFrame, base_seed: int = 42) -> DataFrame:
     """A source file for each cell, drawn from its class' files (label, image) in name order."""
-    numbered = index.withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("image")) - 1)
-    sizes = index.groupBy("label").agg(F.count("*").alias("size"))
-    drawn = cells_.join(F.broadcast(sizes), "label").withColumn("n", F.floor(draw(f"{base_seed}f", "config", "img", "cell") * F.col("size")).cast("int"))
-    return drawn.join(numbered, ["label", "n"]).drop("n", "size")
+    placed = numbered(index, "label", "image")
+    sizes = placed.groupBy("label").agg(F.count("*").alias("size"), F.min("rn").alias("first"))
+    drawn = cells_.join(F.broadcast(sizes), "label").withColumn("n", F.floor(draw(f"{base_seed}f", "config", "img", "cell") * F.col("size")) + F.col("first"))
+    return drawn.join(placed.withColumnRenamed("rn", "n"), ["label", "n"]).drop("n", "size", "first")
 
 
 def single_cell_queries(cells_: DataFrame, images: int, base_seed: int = 42) -> DataFrame:

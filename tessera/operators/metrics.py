@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.numbering import running
+
 #: Tool uses are counted in bins 0..31.
 TOOL_BINS = 32
 
@@ -176,14 +178,22 @@ def spread(x: Column) -> dict[str, Column]:
 
 
 def spearman(rows: DataFrame, by: str, x: str, y: str) -> DataFrame:
-    """Rank correlation per group; ties share their average rank, NaN and NULL rows are left out."""
-    clean = rows.where(f"{x} is not null and {y} is not null and not isnan({x}) and not isnan({y})")
+    """Rank correlation per group; ties share their average rank, NaN and NULL rows are left out.
+
+    Rows are counted by value first, and the values' running counts come from
+    range partitions, so neither a frequent value nor a large group is sorted
+    in one task.
+    """
+    clean = rows.where(f"{x} is not null and {y} is not null and not isnan({x}) and not isnan({y})").select(by, x, y)
 
-    def rank(c: str) -> Column:
-        order = Window.partitionBy(by).orderBy(c)
-        return F.rank().over(order) + (F.count("*").over(Window.partitionBy(by, c)) - 1) / 2
+    def ranks(c: str, name: str) -> DataFrame:
+        counts = running(clean.groupBy(by, c).agg(F.count("*").alias("_n")), "_n", by, c)
+        first = counts.groupBy(by).agg(F.min(F.col("_upto") - F.col("_n")).alias("_base"))
+        rank = F.col("_upto") - F.col("_n") - F.col("_base") + (F.col("_n") + 1) / 2
+        return counts.join(first, by).select(by, c, rank.alias(name))
 
-    return clean.select(by, rank(x).alias("rx"), rank(y).alias("ry")).groupBy(by).agg(correlation(F.col("rx"), F.col("ry")).alias("rho"))
+    ranked = clean.join(ranks(x, "rx"), [by, x]).join(ranks(y, "ry"), [by, y])
+    return ranked.groupBy(by).agg(correlation(F.col("rx"), F.col("ry")).alias("rho"))
 
 
 def nonfinite(x: Column) -> Column:
@@ -194,3 +204,9 @@ def nonfinite(x: Column) -> Column:
 def any_all_zero(mask: str) -> Column:
     """Whether some row's mask has no 1."""
     return F.bool_or(F.aggregate(mask, F.lit(0), lambda a, v: a + v) == 0)
+
+
+def the_only(values: Column, what: str) -> Column:
+    """The value that all rows of a group share; raises where they differ."""
+    one = F.count_distinct(values) == 1
+    return F.when(one, F.first(values)).otherwise(F.raise_error(F.lit(f"The implicit {what} is ambiguous. Please specify it explicitly.")))

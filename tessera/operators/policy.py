@@ -7,9 +7,12 @@ every engine, attempt and partitioning.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.numbering import numbered
 from tessera.operators.pinned import pin
 
 EPSILON = 1e-4
@@ -38,6 +41,44 @@ def weighted(rewards: dict[str, Column], weights: dict[str, float], usage: dict[
     return total
 
 
+class Rewards:
+    """Reward functions by name.
+
+    A function takes the data's columns (by name, whatever the dataset has) and
+    its own settings, and gives a Column, of one row or over a window of the
+    group; None counts as zeros.
+    """
+
+    def __init__(self) -> None:
+        self._known: dict[str, Callable[..., Column | None]] = {}
+
+    def register(self, name: str, reward: Callable[..., Column | None]) -> None:
+        if name in self._known:
+            raise ValueError(f"reward {name!r} is registered twice")
+        self._known[name] = reward
+
+    def columns(self, rows: DataFrame, names: list[str], **settings: object) -> dict[str, Column]:
+        """One Column for each name, unknown names raise."""
+        data = {c: F.col(f"`{c}`") for c in rows.columns}
+        out = {}
+        for name in names:
+            if name not in self._known:
+                raise KeyError(f"unknown reward {name!r}; known are {sorted(self._known)}")
+            made = self._known[name](data, **settings)
+            out[name] = F.lit(0.0) if made is None else made.cast("double")
+        return out
+
+
+def process_slice(rows: DataFrame, position: str, rank: int, size: int) -> DataFrame:
+    """The rows of a gathered vector that belong to one process: ``size`` places from rank * size on."""
+    return rows.where((F.col(position) >= rank * size) & (F.col(position) < (rank + 1) * size))
+
+
+def pick_gold(solutions: Column, seed: int, *keys: str) -> Column:
+    """One of the gold answers, drawn by key."""
+    return F.get(solutions, F.floor(draw(seed, *keys) * F.size(solutions)).cast("int"))
+
+
 def curiosity(uses: str, group: str, threshold: float) -> Column:
     """What the group's share of tool use falls short of ``threshold``, for rows that use the tool."""
     used = (F.col(uses) > 0).cast("double")
@@ -173,29 +214,15 @@ def curriculum(step: Column, start: float, end: float, most: float = 1.0, increa
 # Samplers ----------------------------------------------------------------
 
 
-def _numbered(rows: DataFrame, *order: Column | str) -> DataFrame:
-    """Rows with ``rn``, their 1-based place in the order.
-
-    Numbers are dealt by range partition: counts per partition are summed over
-    the partitions only, and rows are numbered inside theirs, so no task holds
-    the whole table.
-    """
-    ranged = pin(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
-    inside = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    sizes = ranged.groupBy("_part").count()
-    before = sizes.withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    return inside.join(F.broadcast(before), "_part").withColumn("rn", F.col("_n") + F.col("_before")).drop("_part", "_n", "_before")
-
-
 def repeat_sampler(rows: DataFrame, key: str, batch: int, repeat: int, mini_repeat: int = 1, seed: int | None = None) -> DataFrame:
     """Chunks of ``batch`` rows, whole chunks only, each emitted ``repeat`` times with each row ``mini_repeat`` times.
 
     Adds chunk, rep, pos and mini, whose order is the order of emission.
     """
     keyed = rows.withColumn("_draw", draw(seed, key)) if seed is not None else rows
-    numbered = _numbered(keyed, *(["_draw"] if seed is not None else []), key).drop("_draw")
-    total = numbered.agg(F.max("rn").alias("_total"))
-    chunked = numbered.crossJoin(F.broadcast(total)).where(F.col("rn") <= F.floor(F.col("_total") / batch) * batch).withColumn("chunk", F.floor((F.col("rn") - 1) / batch)).withColumn("pos", (F.col("rn") - 1) % batch).drop("rn", "_total")
+    placed = numbered(keyed, *(["_draw"] if seed is not None else []), key).drop("_draw")
+    total = placed.agg(F.max("rn").alias("_total"))
+    chunked = placed.crossJoin(F.broadcast(total)).where(F.col("rn") <= F.floor(F.col("_total") / batch) * batch).withColumn("chunk", F.floor((F.col("rn") - 1) / batch)).withColumn("pos", (F.col("rn") - 1) % batch).drop("rn", "_total")
     return chunked.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeat - 1)))).withColumn("mini", F.explode(F.sequence(F.lit(0), F.lit(mini_repeat - 1))))
 
 
@@ -205,12 +232,12 @@ def repeat_rows(rows: DataFrame, times: int) -> DataFrame:
 
 def mini_batches(rows: DataFrame, key: str, size: int) -> DataFrame:
     """Fixed-order batches; the last one may be short."""
-    return _numbered(rows, key).withColumn("batch", F.floor((F.col("rn") - 1) / size)).drop("rn")
+    return numbered(rows, key).withColumn("batch", F.floor((F.col("rn") - 1) / size)).drop("rn")
 
 
 def row_range(rows: DataFrame, key: str, left: int, right: int) -> DataFrame:
     """Rows [left, right) in key order."""
-    return _numbered(rows, key).where((F.col("rn") > left) & (F.col("rn") <= right)).drop("rn")
+    return numbered(rows, key).where((F.col("rn") > left) & (F.col("rn") <= right)).drop("rn")
 
 
 def dedup_prompts(rows: DataFrame, group: str, position: str) -> DataFrame:
@@ -235,17 +262,26 @@ def weighted_sample(rows: DataFrame, key: str, weight: str, k: int, alpha: float
 
 
 def weighted_draws(rows: DataFrame, key: str, weight: str, k: int, seed: int = 0) -> DataFrame:
-    """k draws with replacement: each draw finds its row in the running sum of weights."""
-    clean = rows.withColumn("_w", F.greatest(F.col(weight).cast("double"), F.lit(0.0)))
-    ranged = pin(clean.repartitionByRange(key).withColumn("_part", F.spark_partition_id()))
-    inside = ranged.withColumn("_in", F.sum("_w").over(Window.partitionBy("_part").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)))
+    """k draws with replacement: each draw finds its row in the running sum of weights.
+
+    Draws and rows are laid on one line, rows where their weight starts, and
+    range-partitioned by place; a draw takes the last row before it, from the
+    partition before where its own holds none. So neither the draws nor the
+    rows of a partition are paired with each other.
+    """
+    clean = rows.where(F.col(weight) > 0).select(F.struct(*rows.columns).alias("_row"), F.col(key).alias("_k"), F.col(weight).cast("double").alias("_w"))
+    ranged = pin(clean.repartitionByRange("_k").withColumn("_part", F.spark_partition_id()))
+    inside = ranged.withColumn("_in", F.sum("_w").over(Window.partitionBy("_part").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)))
     parts = ranged.groupBy("_part").agg(F.sum("_w").alias("_sum")).withColumn("_end", F.sum("_sum").over(Window.orderBy("_part")))
-    draws = rows.sparkSession.range(k).withColumn("u", draw(seed, "id"))
-    total = parts.agg(F.max("_end").alias("_total"))
-    placed = draws.crossJoin(F.broadcast(total)).withColumn("_at", F.col("u") * F.col("_total"))
-    where = placed.join(F.broadcast(parts), (F.col("_at") >= F.col("_end") - F.col("_sum")) & (F.col("_at") < F.col("_end"))).select("id", "_part", (F.col("_at") - (F.col("_end") - F.col("_sum"))).alias("_at"))
-    hit = inside.join(F.broadcast(where), "_part").where((F.col("_at") < F.col("_in")) & (F.col("_at") >= F.col("_in") - F.col("_w")))
-    return hit.select(F.col("id").alias("draw"), *rows.columns)
+    starts = inside.join(F.broadcast(parts), "_part").select((F.col("_end") - F.col("_sum") + F.col("_in") - F.col("_w")).alias("_at"), "_row", F.lit(None).cast("long").alias("draw"))
+    draws = rows.sparkSession.range(k).select(F.col("id").alias("draw"), draw(seed, "id").alias("_u"))
+    placed = draws.crossJoin(F.broadcast(parts.agg(F.max("_end").alias("_total")))).select((F.col("_u") * F.col("_total")).alias("_at"), F.lit(None).cast(starts.schema["_row"].dataType).alias("_row"), "draw")
+    line = pin(starts.unionByName(placed).repartitionByRange("_at").withColumn("_part", F.spark_partition_id()))
+    before = Window.partitionBy("_part").orderBy("_at", F.col("draw").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    lasts = line.where("draw is null").groupBy("_part").agg(F.max_by("_row", "_at").alias("_last"))
+    carried = line.select("_part").distinct().join(lasts, "_part", "left").withColumn("_carried", F.last("_last", ignorenulls=True).over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).drop("_last")
+    found = line.withColumn("_here", F.last("_row", ignorenulls=True).over(before)).where("draw is not null").join(F.broadcast(carried), "_part")
+    return found.select("draw", F.coalesce("_here", "_carried").alias("_row")).select("draw", "_row.*")
 
 
 # Replay buffer -----------------------------------------------------------
@@ -263,6 +299,22 @@ def ring_buffer(rows: DataFrame, order: str, capacity: int) -> DataFrame:
     return back.crossJoin(F.broadcast(n)).withColumn("slot", (F.col("_total") - F.col("_back")) % capacity).drop("_back", "_total")
 
 
+def sync_buffers(buffers: DataFrame, rank: str, slot: str, begin: int, end: int, capacity: int) -> DataFrame:
+    """Slots [begin, end) of every rank's buffer at their place in the global one, rank * capacity + slot; raises where ranks differ in number."""
+    if not 0 <= begin < end <= capacity:
+        raise ValueError("begin must be smaller than end, and both inside the buffer")
+    taken = buffers.where((F.col(slot) >= begin) & (F.col(slot) < end))
+    full = taken.groupBy(rank).agg((F.count("*") == end - begin).alias("_full"))
+    checked = taken.join(full, rank)
+    place = F.when(F.col("_full"), F.col(rank) * capacity + F.col(slot)).otherwise(F.raise_error(F.lit("the buffers are filled unequally")).cast("bigint"))
+    return checked.withColumn("global_slot", place).drop("_full")
+
+
+def generates(step: Column, every: int, held: Column) -> Column:
+    """Whether a step makes new rollouts: each ``every``-th one, and any that finds the buffer empty."""
+    return (step % every == 0) | (held == 0)
+
+
 def buffer_read(buffer: DataFrame, start: int, size: int) -> DataFrame:
     """The next ``size`` slots from ``start``; a read does not wrap around."""
     return buffer.where((F.col("slot") >= start) & (F.col("slot") < start + size))

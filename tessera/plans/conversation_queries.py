@@ -46,10 +46,10 @@ def tool_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.tool_counts(t, "conv_id", "ok", "tried")
 
 
-@registry.query(f"WITH {_CALLS} SELECT conv_id, turn, CASE WHEN k IN (0, 1, 2, 4) THEN replace(text, '[' || x || ', 20, 300, 400]', CASE WHEN k = 4 THEN '@' ELSE '[1, 2, ' || x || ', 4]' END) END AS text FROM c WHERE k <> 4")
+@registry.query(f"WITH {_CALLS} SELECT conv_id, turn, CASE WHEN k IN (0, 1, 2, 4) THEN regexp_replace(text, '\\[[^]]*\\]', '[1, 2, ' || x || ', 4]') END AS text FROM c")
 def replace_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = F.array(F.lit(1), F.lit(2), (F.col("turn") * 10).cast("int"), F.lit(4))
-    return _calls(spark, sf_dir).where((F.col("conv_id") + F.col("turn")) % 6 != 4).select("conv_id", "turn", C.replace_bbox(F.col("text"), new).alias("text"))
+    return _calls(spark, sf_dir).select("conv_id", "turn", C.replace_bbox(F.col("text"), new).alias("text"))
 
 
 @registry.query(f"""
@@ -139,7 +139,7 @@ SELECT conv_id, k, x1, y1, x2, y2 FROM c WHERE up = 0 OR NOT EXISTS (SELECT 1 FR
 def bbox_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "conversations").where("turn > 0").selectExpr("conv_id", "turn AS k", "CASE WHEN turn % 2 = 0 THEN turn div 2 ELSE 0 END AS target", "turn * 7 AS x", "turn * 5 AS y")
     calls = t.select("conv_id", "k", "target", G.box(F.col("x"), F.col("y"), F.col("x") + 30, F.col("y") + 40).alias("box"))
-    return C.bbox_chain(calls, "conv_id", "k", "target", "box", most=6).select("conv_id", "k", "box.*")
+    return C.bbox_chain(calls, "conv_id", "k", "target", "box").select("conv_id", "k", "box.*")
 
 
 @registry.query("SELECT conv_id, min(turn) AS first_turn, max(turn) AS last_turn, arg_min(turn, ('0x' || substr(md5('9:' || conv_id || ':' || turn), 1, 13))::BIGINT) AS random_turn FROM conversations WHERE role = 'assistant' GROUP BY conv_id")

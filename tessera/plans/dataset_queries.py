@@ -23,43 +23,6 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Sources -----------------------------------------------------------------
 
-
-@query("SELECT n_nationkey, n_name FROM nation")
-def scan_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.scan(spark, f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name")
-
-
-@query("SELECT r_regionkey, r_name FROM region WHERE r_regionkey < 5")
-def scan_sharded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.scan_sharded(spark, sf_dir + "/region.parquet", 1, max_shards=3).where("r_regionkey < 5")
-
-
-@query("SELECT doc_id, lang AS problem, source AS solution FROM documents")
-def scan_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = R.to_json_lines(_docs(spark, sf_dir).selectExpr("doc_id", "lang AS problem", "source AS solution"))
-    return lines.select(F.from_json("value", "doc_id bigint, problem string, solution string").alias("r")).select("r.*")
-
-
-@query("""SELECT doc_id, '{"doc_id":' || doc_id || ',"lang":"' || lang || '","score":' || CASE WHEN doc_id % 2 = 0 THEN 'null' ELSE '' || doc_id % 7 END || '}' AS line FROM documents""")
-def to_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _docs(spark, sf_dir).selectExpr("doc_id", "lang", "CASE WHEN doc_id % 2 = 1 THEN doc_id % 7 END AS score")
-    return R.to_json_lines(rows).select(F.get_json_object("value", "$.doc_id").cast("long").alias("doc_id"), F.col("value").alias("line"))
-
-
-@query("""
-SELECT problem, array_to_string(image_path, '|') AS images, array_to_string(solution, '|') AS solutions, accu_reward_method FROM (
-  SELECT 'q' || doc_id AS problem, CASE WHEN doc_id % 3 = 0 THEN ['imgs/a', 'imgs/' || source] WHEN doc_id % 3 = 1 THEN ['imgs/' || source] ELSE ['/abs/' || source] END AS image_path, CASE WHEN doc_id % 2 = 0 THEN [lang] ELSE ['' || doc_id] END AS solution, 'default' AS accu_reward_method FROM documents WHERE doc_id % 5 > 0
-  UNION ALL SELECT 'p' || page_id, ['pages/' || page_id || '.png'], ['x', 'y'], 'mcq' FROM pages)""")
-def canonical_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    image = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit('["a","'), "source", F.lit('"]'))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit('"'), "source", F.lit('"'))).otherwise(F.concat(F.lit('"/abs/'), "source", F.lit('"')))
-    gold = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit('["'), "lang", F.lit('"]'))).otherwise(F.col("doc_id").cast("string"))
-    line = F.concat(F.lit('{"problem":"q'), "doc_id", F.lit('","image":'), image, F.lit(',"solution":'), gold, F.lit("}"))
-    docs = _docs(spark, sf_dir).select(F.when(F.col("doc_id") % 5 == 0, "  ").otherwise(line).alias("value"))
-    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit('{"problem":"p'), "page_id", F.lit('","image":"'), "page_id", F.lit('.png","solution":["x","y"]}')).alias("value"))
-    both = R.records(docs, "imgs").unionByName(R.records(pages, "pages", "mcq"), allowMissingColumns=True)
-    return both.select("problem", F.array_join("image_path", "|").alias("images"), F.array_join("solution", "|").alias("solutions"), "accu_reward_method")
-
-
 @query("SELECT page_id, sha256(encode(url)) || '.jpg' AS name, length(url) AS n FROM pages WHERE url IS NOT NULL")
 def b64_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages").where("url is not null").withColumn("i", R.decode_image(F.base64(F.encode("url", "UTF-8"))))
@@ -78,12 +41,6 @@ def class_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.class_index(files)
 
 
-@query("SELECT row_number() OVER (ORDER BY r_regionkey) - 1 AS sample_id, r_regionkey AS k, r_name AS name FROM region")
-def result_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = table(spark, sf_dir, "region").agg(F.array_sort(F.collect_list(F.struct("r_regionkey", "r_name"))).alias("a")).select(F.col("a.r_regionkey").alias("k"), F.col("a.r_name").alias("name"))
-    return wide.select(F.posexplode(F.arrays_zip("k", "name")).alias("sample_id", "r")).select("sample_id", "r.*")
-
-
 # Filters and projections -------------------------------------------------
 
 
@@ -295,29 +252,36 @@ def _draw(seed: str, key: str) -> str:
     return f"(('0x' || substr(md5('{seed}:' || {key}), 1, 13))::BIGINT / {float(16**13)})"
 
 
-_CELLS = f"""{_CONFIGS}, x AS (SELECT *, big_image_size || '_' || grid_size || '_' || num_samples_class_0 AS config FROM g WHERE big_image_size = 1024 AND grid_size <= 4),
-y AS (SELECT x.*, img, unnest(range(grid_size * grid_size)) AS cell FROM x, range(10) r(img)), z AS (SELECT *, {_draw('42', "config || ':' || img || ':' || cell")} AS d FROM y),
-c AS (SELECT *, CASE WHEN grid_size = 1 THEN (img < 5)::INT ELSE (row_number() OVER (PARTITION BY config, img ORDER BY d, cell) > num_samples_class_0)::INT END AS label FROM z)"""
+_CELLS = f"""{_CONFIGS}, x AS (SELECT *, big_image_size || '_' || grid_size || '_' || num_samples_class_0 AS config FROM g),
+y AS (SELECT x.*, img, unnest(range(grid_size * grid_size)) AS cell FROM x, range(100) r(img)), z AS (SELECT *, {_draw('42', "config || ':' || img || ':' || cell")} AS d FROM y),
+c AS (SELECT *, CASE WHEN grid_size = 1 THEN (img < 50)::INT ELSE (row_number() OVER (PARTITION BY config, img ORDER BY d, cell) > num_samples_class_0)::INT END AS label FROM z)"""
 
 
 def _cells(spark: SparkSession) -> DataFrame:
-    return N.cells(N.grid_configs(spark, sizes=(1024,), grids=(1, 2, 4)), 10)
+    """All configurations, a hundred images each."""
+    return N.cells(N.grid_configs(spark), 100)
 
 
-@query(f"WITH {_CELLS} SELECT config, img, cell, label FROM c")
+@query(f"""
+WITH {_CELLS}, f AS (SELECT p_partkey % 2 AS label, 'img' || p_partkey || '.jpg' AS image FROM part), n AS (SELECT label, image, row_number() OVER (PARTITION BY label ORDER BY image) - 1 AS n FROM f), s AS (SELECT label, count(*) AS size FROM f GROUP BY label),
+k AS (SELECT config, img, cell, c.label, floor({_draw('42f', "config || ':' || img || ':' || cell")} * size)::BIGINT AS n FROM c JOIN s ON s.label = c.label)
+SELECT config, img, cell, k.label, image FROM k JOIN n ON n.label = k.label AND n.n = k.n""")
 def gen_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cells(spark).select("config", "img", "cell", "label")
+    """Every cell with its label and the file that is shown in it."""
+    files = table(spark, sf_dir, "part").select((F.col("p_partkey") % 2).cast("int").alias("label"), F.concat(F.lit("img"), "p_partkey", F.lit(".jpg")).alias("image"))
+    return N.files_for(_cells(spark), files).select("config", "img", "cell", "label", "image")
 
 
 @query(f"""
-WITH {_CELLS}, w AS (SELECT *, {_draw('42q', "config || ':' || img || ':' || cell")} AS q FROM c WHERE (num_samples_class_0 <> 1 OR grid_size = 1) AND label = CASE WHEN grid_size = 1 THEN label ELSE (img >= 5)::INT END),
+WITH {_CELLS}, w AS (SELECT *, {_draw('42q', "config || ':' || img || ':' || cell")} AS q FROM c WHERE (num_samples_class_0 <> 1 OR grid_size = 1) AND label = CASE WHEN grid_size = 1 THEN label ELSE (img >= 50)::INT END),
 p AS (SELECT config, img, grid_size, big_image_size, arg_min(cell, q) AS cell, arg_min(label, q) AS label FROM w GROUP BY ALL), o AS (SELECT *, {_draw('42o', "config || ':' || img")} > 0.5 AS f FROM p)
-SELECT config, img, 'single' AS kind, CASE WHEN f = (label = 0) THEN 'A' ELSE 'B' END AS solution, (cell % grid_size * (big_image_size // grid_size))::INT AS x1 FROM o
-UNION ALL SELECT config, img, 'outlier', '' || cell, (cell % grid_size * (big_image_size // grid_size))::INT FROM c WHERE num_samples_class_0 = 1 AND grid_size > 1 AND label = 0""")
+SELECT config, img, 'single' AS kind, '{N.PREAMBLE.replace("'", "''")}Which object is in cell number ' || cell || E'?\n(A) ' || CASE WHEN f THEN 'Muffin' ELSE 'Chihuahua' END || E'\n(B) ' || CASE WHEN f THEN 'Chihuahua' ELSE 'Muffin' END || E'\nAnswer with the option''s letter from the given choices directly.' AS problem,
+  CASE WHEN f = (label = 0) THEN 'A' ELSE 'B' END AS solution, (cell % grid_size * (big_image_size // grid_size))::INT AS x1 FROM o
+UNION ALL SELECT config, img, 'outlier', E'{(N.PREAMBLE + N.OUTLIER).replace("'", "''").replace(chr(10), chr(92) + "n")}', '' || cell, (cell % grid_size * (big_image_size // grid_size))::INT FROM c WHERE num_samples_class_0 = 1 AND grid_size > 1 AND label = 0""")
 def gen_vqa(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _cells(spark)
-    one, out = N.single_cell_queries(c, 10).withColumn("kind", F.lit("single")), N.outlier_queries(c).withColumn("kind", F.lit("outlier"))
-    return one.unionByName(out).select("config", "img", "kind", "solution", F.col("bbox.x1").cast("int").alias("x1"))
+    one, out = N.single_cell_queries(c, 100).withColumn("kind", F.lit("single")), N.outlier_queries(c).withColumn("kind", F.lit("outlier"))
+    return one.unionByName(out).select("config", "img", "kind", "problem", "solution", F.col("bbox.x1").cast("int").alias("x1"))
 
 
 @query()

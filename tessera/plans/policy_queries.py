@@ -93,12 +93,12 @@ def loss_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registry.query("""
-WITH v AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: x::DOUBLE) AS g, vec_id % 8 AS i FROM embeddings), z AS (SELECT vec_id, g, i, list_max(g) AS top, list_sum(list_transform(g, lambda x: exp(x - list_max(g)))) AS s FROM v)
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS g, vec_id % len(embedding) AS i FROM embeddings), z AS (SELECT vec_id, g, i, list_max(g) AS top, list_sum(list_transform(g, lambda x: exp(x - list_max(g)))) AS s FROM v)
 SELECT vec_id, round(g[i + 1] - top - ln(s), 5) AS logp, round(ln(s) - list_sum(list_transform(g, lambda x: exp(x - top) * (x - top))) / s, 5) AS entropy FROM z""")
 def logsoftmax_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double"))
+    g = F.transform("embedding", lambda x: x.cast("double"))
     rows = table(spark, sf_dir, "embeddings").select("vec_id", g.alias("g"))
-    return rows.select("vec_id", F.round(P.log_softmax(F.col("g"), (F.col("vec_id") % 8).cast("int")), 5).alias("logp"), F.round(P.entropy(F.col("g")), 5).alias("entropy"))
+    return rows.select("vec_id", F.round(P.log_softmax(F.col("g"), (F.col("vec_id") % F.size("g")).cast("int")), 5).alias("logp"), F.round(P.entropy(F.col("g")), 5).alias("entropy"))
 
 
 @registry.query("""
@@ -114,12 +114,12 @@ def r_infonce(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registry.query("""
-WITH v AS (SELECT vec_id, list_transform(embedding[1:20], lambda x: x::DOUBLE) AS d FROM embeddings), e AS (SELECT vec_id, generate_subscripts(d, 1) AS i, unnest(d) AS x FROM v),
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS d FROM embeddings), e AS (SELECT vec_id, generate_subscripts(d, 1) AS i, unnest(d) AS x FROM v),
 k AS (SELECT vec_id, i, x, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC) AS rk FROM e)
 SELECT vec_id, round(avg(CASE WHEN x > 0.05 THEN 1.0::DOUBLE ELSE 0 END), 6) AS share, round(quantile_cont(greatest(-0.1, least(x, 0.1)) - 0.02, 0.3), 6) AS quantile, round(tanh(sum(greatest(-0.1, least(x, 0.1)) - 0.02)), 6) AS clipped,
   round(sum(CASE WHEN i <= 5 THEN x END) * (2.0 / 5), 6) AS first5, round(sum(CASE WHEN rk <= 3 THEN x END), 6) AS top3, CASE WHEN sum(x) < 0 THEN -1.0::DOUBLE ELSE 1.0 END AS sign FROM k GROUP BY vec_id""")
 def r_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 20), lambda x: x.cast("double")).alias("d"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("d"))
     d = F.col("d")
     return rows.select(
         "vec_id",

@@ -92,7 +92,7 @@ def r_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registry.query(r"""
-WITH c AS (SELECT doc_id, substr(text, 1, 300) AS t FROM documents), r AS (SELECT doc_id, regexp_replace(regexp_replace(t, '([ \t\r\f\v\x{A0}])\n', '\1', 'g'), '\n\n+', E'\n', 'g') AS t FROM c)
+WITH c AS (SELECT doc_id, text AS t FROM documents), r AS (SELECT doc_id, regexp_replace(regexp_replace(t, '([ \t\r\f\v\x{A0}])\n', '\1', 'g'), '\n\n+', E'\n', 'g') AS t FROM c)
 SELECT doc_id, lower(regexp_replace(regexp_replace(replace(t, E'\n', ' '), '^\s+|\s+$', '', 'g'), '\.+$', '')) AS clean FROM r""")
 def f_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("<answer>first</answer> <answer>"), "text", F.lit("</answer>"))
@@ -100,7 +100,7 @@ def f_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registry.query("""
-WITH RECURSIVE p AS (SELECT p_partkey, substr(p_name, 1, 12) AS a, substr(p_brand || p_name, 4, 12) AS b FROM part WHERE p_partkey % 10 = 0),
+WITH RECURSIVE p AS (SELECT p_partkey, p_name AS a, p_brand || p_name AS b FROM part),
 l AS (SELECT p_partkey, a, b, 0 AS i, list_transform(range(length(b) + 1), lambda x: 0) AS r FROM p
   UNION ALL SELECT p_partkey, a, b, i + 1, list_reduce(range(1, length(b) + 1), lambda acc, j: list_append(acc, greatest(r[j + 1], acc[j], r[j] + CASE WHEN substr(a, i + 1, 1) = substr(b, j, 1) THEN 1 ELSE 0 END)), [0]) FROM l WHERE i < length(a))
 SELECT p_partkey, round(2.0::DOUBLE * r[length(b) + 1] / (length(a) + length(b)), 6) AS ratio FROM l WHERE i = length(a)""")

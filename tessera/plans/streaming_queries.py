@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.pinned import scratch
 from tessera.plans.registry import Registry, table
 from tessera.streaming import ring as R
 
@@ -21,13 +20,21 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _drain(out: DataFrame, mode: str) -> DataFrame:
-    """Run the stream until its input is used up; the rows that it emitted."""
-    spark, name = out.sparkSession, f"drained_{uuid.uuid4().hex[:8]}"
-    run = out.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """Run the stream until its input is used up; the rows that it emitted, of the last batch in ``complete`` mode.
+
+    Each batch goes to a folder named by its number, so one that is run again replaces itself.
+    """
+    spark, path = out.sparkSession, scratch(out.sparkSession, "drained")
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    run = out.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", scratch(spark, "stream")).trigger(availableNow=True).start()
     run.awaitTermination()
-    if run.exception():
-        raise run.exception()
-    return spark.table(name)
+    rows = spark.read.option("basePath", path).parquet(path)
+    if mode == "complete":
+        rows = rows.join(F.broadcast(rows.agg(F.max("batch").alias("batch"))), "batch")
+    return rows.drop("batch")
 
 
 @registry.query("""
@@ -42,3 +49,21 @@ def stream_ring_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_running_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _drain(R.running_means(_stream(spark, sf_dir, "events"), "ts", "event_type", "value"), "complete")
     return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", F.round("mean", 6).alias("mean"), "n")
+
+
+@registry.query("SELECT * FROM (VALUES (0, 'fill'), (1, 'reuse'), (2, 'fill'), (3, 'reuse'), (4, 'fill'), (5, 'fill')) t(batch, kind)")
+def stream_refills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six batches; a refill serves one more batch, and every fifth batch refills in any case."""
+    source, out, left = scratch(spark, "steps"), scratch(spark, "refills"), [0]
+    spark.range(0, 6, 1, 6).write.parquet(source)
+
+    def note(kind: str, after: int):
+        def put(batch: DataFrame, number: int) -> None:
+            left[0] = after
+            batch.select(F.lit(number).alias("batch"), F.lit(kind).alias("kind")).write.mode("overwrite").parquet(f"{out}/{number}")
+
+        return put
+
+    steps = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(source)
+    R.regenerate(steps, 5, note("fill", 1), note("reuse", 0), scratch(spark, "stream"), lambda: left[0]).awaitTermination()
+    return spark.read.parquet(f"{out}/*")

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.operators import convert
+from tessera.operators.numbering import numbered
 
 #: Columns every canonical record must have.
 REQUIRED = ("problem", "image", "solution")
@@ -109,18 +115,10 @@ def write_table(table: DataFrame, path: str) -> None:
 
 
 def class_index(files: DataFrame, path: str = "path") -> DataFrame:
-    """(class, source, image): files numbered by class and name, class being the parent folder.
-
-    Numbers come from counts per class and a window inside each class.
-    """
-    from pyspark.sql import Window
-
+    """(class, source, image): files numbered by class and name, class being the parent folder."""
     parts = F.split(F.col(path), "/")
     named = files.select(F.element_at(parts, -2).alias("class"), F.element_at(parts, -1).alias("source"))
-    inside = named.withColumn("_n", F.row_number().over(Window.partitionBy("class").orderBy("source")) - 1)
-    sizes = named.groupBy("class").count()
-    first = sizes.select("class", F.coalesce(F.sum("count").over(Window.orderBy("class").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
-    return inside.join(F.broadcast(first), "class").select("class", "source", F.concat(F.lit("img"), F.col("_first") + F.col("_n"), F.lit(".jpg")).alias("image"))
+    return numbered(named, "class", "source").select("class", "source", F.concat(F.lit("img"), F.col("rn") - 1, F.lit(".jpg")).alias("image"))
 
 
 def unfinished(wanted: DataFrame, done: DataFrame, *keys: str) -> DataFrame:
@@ -128,6 +126,45 @@ def unfinished(wanted: DataFrame, done: DataFrame, *keys: str) -> DataFrame:
     return wanted.join(done.select(*keys).distinct(), list(keys), "left_anti")
 
 
+def resume(wanted: DataFrame, path: str, keys: list[str], make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Outputs of all wanted configurations under ``path``; only those without one are made, and appended.
+
+    A run that was lost has committed nothing, so it is made again.
+    """
+    spark = wanted.sparkSession
+    todo = unfinished(wanted, spark.read.parquet(path), *keys) if _exists(spark, f"{path}/_SUCCESS") else wanted
+    make(todo).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
+def write_output(rows: DataFrame, path: str, exist: str = "raise") -> bool:
+    """Write an evaluation's output; where it exists already, raise, overwrite or skip. Says whether it was written."""
+    if exist not in ("raise", "overwrite", "skip"):
+        raise ValueError(f"unknown exist behaviour {exist!r}")
+    if _exists(rows.sparkSession, path):
+        if exist == "raise":
+            raise FileExistsError(path)
+        if exist == "skip":
+            return False
+    rows.write.mode("overwrite").parquet(path)
+    return True
+
+
+def unzip(archives: DataFrame, member_schema: str = "path string, member string, content binary") -> DataFrame:
+    """Members of zip archives (columns ``path``, ``content`` as the binary-file source gives them); folders are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("path", pa.string()), ("member", pa.string()), ("content", pa.binary())])
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+                with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
+                    for name in z.namelist():
+                        if not name.endswith("/"):
+                            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([name]), pa.array([z.read(name)], pa.binary())], schema=schema)
+
+    return archives.select("path", "content").mapInArrow(run, member_schema)
+
+
 # MIME types by suffix.
 MIME = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "bmp": "image/bmp", "mp4": "video/mp4", "json": "application/json", "txt": "text/plain", "html": "text/html"}
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,16 +23,16 @@ def ring(rows: DataFrame, key: str, order: str, value: str, capacity: int) -> Da
 
     def update(keys: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         written, held = state.get if state.exists else (0, [])
-        fresh = pd.concat(list(batches)).sort_values([order, value])
-        held = list(held) or [None] * capacity
-        touched: dict[int, int] = {}
-        for v in fresh[value].tolist():
-            slot = written % capacity
-            held[slot] = touched[slot] = int(v)
-            written += 1
-        state.update((written, held))
-        slots = sorted(touched)
-        yield pd.DataFrame({key: [keys[0]] * len(slots), "slot": slots, value: [touched[s] for s in slots]})
+        slots = np.zeros(capacity, dtype=np.int64)
+        slots[: len(held)] = held
+        values = pd.concat(list(batches)).sort_values([order, value])[value].to_numpy(dtype=np.int64)
+        # Of the rows that share a slot only the last stays.
+        at = (written + np.arange(len(values)))[-capacity:] % capacity
+        slots[at] = values[-capacity:]
+        written += len(values)
+        state.update((written, slots[: min(written, capacity)].tolist()))
+        touched = np.sort(at)
+        yield pd.DataFrame({key: [keys[0]] * len(touched), "slot": touched, value: slots[touched]})
 
     kind = rows.schema[key].dataType.simpleString()
     return rows.select(key, order, value).groupBy(key).applyInPandasWithState(update, f"{key} {kind}, slot bigint, {value} bigint", "written bigint, held array<bigint>", "update", GroupStateTimeout.NoTimeout)
@@ -42,10 +43,10 @@ def running_means(rows: DataFrame, ts: str, key: str, value: str, interval: str
     return rows.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(F.window(ts, interval).alias("w"), key).agg(F.avg(value).alias("mean"), F.count("*").alias("n")).select(F.col("w.start").alias("start"), key, "mean", "n")
 
 
-def regenerate(rows: DataFrame, every: int, fill: Callable[[DataFrame, int], None], reuse: Callable[[DataFrame, int], None], checkpoint: str):
-    """Start a query that refills the buffer on every ``every``-th batch and samples it on the others."""
+def regenerate(rows: DataFrame, every: int, fill: Callable[[DataFrame, int], None], reuse: Callable[[DataFrame, int], None], checkpoint: str, held: Callable[[], int] = lambda: 1):
+    """Start a query that refills the buffer on every ``every``-th batch, or when it ``held`` nothing, and samples it on the others."""
 
     def step(batch: DataFrame, number: int) -> None:
-        (fill if number % every == 0 else reuse)(batch, number)
+        (fill if number % every == 0 or held() == 0 else reuse)(batch, number)
 
-    return rows.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).start()
+    return rows.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
