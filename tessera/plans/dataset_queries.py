@@ -284,13 +284,55 @@ def gen_vqa(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.unionByName(out).select("config", "img", "kind", "problem", "solution", F.col("bbox.x1").cast("int").alias("x1"))
 
 
-@query()
+def _u(name: str) -> str:
+    return f"(('0x' || substr(md5('0{name}:' || k || ':' || attempt), 1, 13))::BIGINT / {float(16**13)})"
+
+
+def _normal(a: str, b: str) -> str:
+    return f"(sqrt(-2 * ln(greatest({_u(a)}, 1e-12))) * cos(2 * pi() * {_u(b)}))"
+
+
+_REFS = "refs AS (SELECT o_orderkey AS k, (o_custkey % 300 + 50)::INT AS px, (o_orderkey % 200 + 40)::INT AS py FROM orders)"
+
+
+def _tried(name: str, rows: str, first: int, last: int) -> str:
+    """Candidates of attempts ``first`` to ``last`` of the boxes in ``rows``, as the last of several tables."""
+    t = lambda i: f"{name}{i}"
+    return f"""
+{t(1)} AS (SELECT k, px, py, unnest(range({first}, {last + 1}))::INT AS attempt FROM {rows}),
+{t(2)} AS (SELECT *, least(greatest(1.0::DOUBLE, round_even(30000.0::DOUBLE * exp({_normal("a", "b")} * {0.9 * (1 - 0.3) + 0.08}::DOUBLE), 0)), 800000.0::DOUBLE) AS area, exp({_normal("c", "d")} * 0.55::DOUBLE) AS aspect FROM {t(1)}),
+{t(3)} AS (SELECT *, greatest(2, least(1000, round_even(sqrt(area * aspect), 0)::INT)) AS w2, greatest(2, least(800, round_even(sqrt(area / aspect), 0)::INT)) AS h2 FROM {t(2)}),
+{t(4)} AS (SELECT *, greatest(0.0::DOUBLE, least(30000.0::DOUBLE, w2 * h2, 0.3::DOUBLE * (30000.0::DOUBLE + w2 * h2) / 1.3::DOUBLE)) AS need, greatest(1, round_even((0.15::DOUBLE + 0.85::DOUBLE * {_u("o")}) * least(200, w2), 0)::INT) AS ow FROM {t(3)}),
+{t(5)} AS (SELECT *, round_even(need / ow, 0)::INT AS oh FROM {t(4)}),
+{t(6)} AS (SELECT *, round_even((px + px + 200) / 2.0::DOUBLE + greatest(0, round_even((200 + w2) / 2.0::DOUBLE - ow, 0)::INT) * CASE WHEN {_u("e")} < 0.5 THEN -1 ELSE 1 END - w2 / 2.0::DOUBLE, 0)::INT AS x1,
+  round_even((py + py + 150) / 2.0::DOUBLE + greatest(0, round_even((150 + h2) / 2.0::DOUBLE - oh, 0)::INT) * CASE WHEN {_u("f")} < 0.5 THEN -1 ELSE 1 END - h2 / 2.0::DOUBLE, 0)::INT AS y1 FROM {t(5)}),
+{name} AS (SELECT k, px, py, attempt, x1, y1, x1 + w2 AS x2, y1 + h2 AS y2 FROM {t(6)} WHERE oh >= 1 AND oh <= least(150, h2) AND x1 >= 0 AND y1 >= 0 AND x1 + w2 <= 1000 AND y1 + h2 <= 800)"""
+
+
+@query(f"WITH {_REFS}, {_tried('c', 'refs', 0, 7)} SELECT k, attempt, x1, y1, x2, y2 FROM c")
 def b_propose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates are laid by Box-Muller draws whose last digits differ between engines: rows only."""
     return N.candidates(_refs(spark, sf_dir), "k", "ref", "w", "h", 0.3, 8).select("k", "attempt", "cand.*")
 
 
-@query()
+def _shared(px: str) -> str:
+    """Overlap of a candidate with the reference box laid at px, over their union."""
+    inside = f"(greatest(0, least({px} + 200, x2) - greatest({px}, x1)) * greatest(0, least(py + 150, y2) - greatest(py, y1)))"
+    return f"({inside}::DOUBLE / (30000 + (x2 - x1) * (y2 - y1) - {inside}))"
+
+
+def _judged(name: str) -> str:
+    """The best candidate of each box so far: within tolerance, digits kept, nearest, first."""
+    digits = " OR ".join(f"length('' || {a}) <> length('' || ({b}))" for a, b in (("x1", "px"), ("y1", "py"), ("x2", "px + 200"), ("y2", "py + 150")))
+    return f"""
+{name}e AS (SELECT *, abs({_shared("px")} - 0.3::DOUBLE) AS error, {_shared("(px + 120)")} > 0.05::DOUBLE AS near, {digits} AS digits FROM {name}),
+{name}o AS (SELECT *, error <= 0.05::DOUBLE AND NOT near AS ok FROM {name}e),
+{name}b AS (SELECT k, px, py, min({{'o': (NOT ok)::INT, 'd': (ok AND digits)::INT, 'e': CASE WHEN ok THEN 0.0::DOUBLE ELSE error END, 't': attempt, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'error': error}}) AS b FROM {name}o GROUP BY k, px, py)"""
+
+
+@query(f"""
+WITH {_REFS}, {_tried("p", "refs", 0, 63)}, {_judged("p")}, more AS (SELECT r.* FROM refs r LEFT JOIN pb USING (k) WHERE b IS NULL OR b.o > 0 OR b.d > 0),
+{_tried("q", "more", 0, 4999)}, {_judged("q")}, best AS (SELECT k, b FROM pb WHERE b.o = 0 AND b.d = 0 UNION ALL SELECT k, b FROM qb)
+SELECT r.k, b.x1, b.y1, b.x2, b.y2, round(b.error, 6) AS error FROM refs r LEFT JOIN best USING (k)""")
 def b_negative(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Away from an earlier box, which lies 120 pixels to the right of the reference box."""
     from tessera.functions import geometry as G
