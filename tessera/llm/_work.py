@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a table of keys up to which it is broadcast; above that the join shuffles.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 250_000
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -79,12 +79,18 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def bounded(keys: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """A stored table of narrow rows, to be broadcast if it has at most ``most`` of them, else to be merged."""
-    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys.hint("merge")
+def is_few(keys: DataFrame, most: int | None = None) -> bool:
+    """Whether a stored table of narrow rows may be broadcast: it has at most ``most`` of them."""
+    most = BROADCAST_ROWS if most is None else most
+    return keys.limit(most + 1).count() <= most
 
 
-def with_ids(rows: DataFrame, ids: DataFrame, how: str, most: int = BROADCAST_ROWS, on: str = "doc_id") -> DataFrame:
+def bounded(keys: DataFrame, most: int | None = None) -> DataFrame:
+    """A stored table of narrow rows, to be broadcast if they are few, else to be merged."""
+    return F.broadcast(keys) if is_few(keys, most) else keys.hint("merge")
+
+
+def with_ids(rows: DataFrame, ids: DataFrame, how: str, most: int | None = None, on: str = "doc_id") -> DataFrame:
     """Semi or anti join of documents with a stored table of distinct ids."""
     name = free_name(rows, "wanted_id")
     return rows.join(bounded(ids.toDF(name), most), F.col(on) == F.col(name), how)

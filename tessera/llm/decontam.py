@@ -1,25 +1,31 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Words are lower-cased runs of letters and digits. From the corpus' word counts
-an n-gram's expected number of chance occurrences follows; an item's seeds are
-its n-grams that chance alone would hardly bring about. Wherever a document
-holds a seed, the item is aligned with the words around it, and the best local
-alignment is scored as a share of a perfect copy.
-
-The items are taken in blocks of at most ``BLOCK`` (their seeds travel with the
-tasks), and every document meets every block.
+Words are lower-cased runs of letters and digits. One pass over the corpus
+counts the items' words; from the counts an n-gram's expected number of chance
+occurrences follows, and an item's seeds are its n-grams that chance alone would
+hardly bring about. A second pass lists where documents may hold a seed, and
+these places are joined with the seeds of all items. For each document and item
+that meet, the item is aligned with the words around the seeds, and the best
+local alignment is scored as a share of a perfect copy.
+
+Both passes are narrowed in the map task by a Bloom filter of the wanted hashes,
+at most ``SLOTS`` words of 64 bits whatever the benchmark's size: what passes it
+wrongly is lost in the join. A passage that a third of all documents hold is
+many rows on one side of that join and one seed on the other, so a skewed
+partition can be split. Alignment keeps one row of the table at a time.
 
 Defined results: null and wordless texts or items match nothing; items with the
 same text match alike; items shorter than a seed are one seed; a null
 ``doc_id`` or ``item_id`` is reported as null. Repeated rows are reported each.
-Empty tables give an empty result; other columns are ignored.
+Empty tables give an empty result; other columns are ignored, and pass through
+``decontaminate``.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,14 +35,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import _hashing as H
+from tessera.llm import _work as W
 
-#: Items whose seeds travel together.
-BLOCK = 5000
+#: 64-bit words of a filter at most: 16 MB.
+SLOTS = 1 << 21
 #: Share of a perfect copy's score from which a passage counts as leaked, and words that must agree (or all of a shorter item).
 THRESHOLD, LEAST_WORDS = 0.5, 6
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Seed lengths, tried in order, and the chance occurrences in the whole corpus that a seed may have.
 LENGTHS, CHANCE = (3, 4, 5, 6, 8), 0.5
+#: Word hashes a counting task holds before it folds them.
+HELD = 1 << 22
 
 _WORDS = re.compile(r"\w+")
 
@@ -52,77 +61,139 @@ def _hashes(words: list[str]) -> np.ndarray:
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int, int]:
-    """Best local alignment: score, agreeing words, and where in the passage it starts and ends."""
-    n, m = len(item), len(passage)
-    slope = np.arange(m + 1, dtype=np.int32) * -GAP
-    h = np.zeros((n + 1, m + 1), dtype=np.int32)
-    for i in range(1, n + 1):
-        step = np.where(passage == item[i - 1], MATCH, MISMATCH)
-        row = np.maximum(0, h[i - 1] + GAP)
-        row[1:] = np.maximum(row[1:], h[i - 1, :-1] + step)
-        # Gaps along the passage: a running maximum after levelling their cost.
-        h[i] = np.maximum.accumulate(row + slope) - slope
-    i, j = (int(x) for x in np.unravel_index(int(h.argmax()), h.shape))
-    score, end, same = int(h[i, j]), j, 0
-    while h[i, j] > 0:
-        hit = item[i - 1] == passage[j - 1]
-        if h[i, j] == h[i - 1, j - 1] + (MATCH if hit else MISMATCH):
-            same += bool(hit)
-            i, j = i - 1, j - 1
-        elif h[i, j] == h[i - 1, j] + GAP:
-            i -= 1
-        else:
-            j -= 1
-    return score, same, j, end
-
-
-class Seeds:
-    """Sorted seeds of some items, each with the items and offsets that hold it."""
-
-    def __init__(self, items: list[tuple[int | None, str | None]], log_share: dict[int, float], total: int):
-        self.items: list[tuple[int | None, np.ndarray]] = []
-        found: dict[int, dict[int, list[tuple[int, int]]]] = {}
-        for item_id, text in items:
-            h = _hashes(words_of(text))
-            if not len(h):
-                continue
-            at = len(self.items)
-            self.items.append((item_id, h))
-            rare = np.array([log_share.get(x, -math.log(total + 1)) for x in h.tolist()])
-            for size in LENGTHS:
-                size = min(size, len(h))
-                grams = H.windows(h, size)
-                expected = math.log(total + 1) + np.convolve(rare, np.ones(size), "valid")
-                good = expected <= math.log(CHANCE)
-                last = size == min(LENGTHS[-1], len(h))
-                if 2 * good.sum() >= len(good) or last:
-                    good |= expected <= expected.min() + math.log(2)
-                    for j in np.flatnonzero(good).tolist():
-                        found.setdefault(size, {}).setdefault(int(grams[j]), []).append((at, j))
-                    break
-        self.by_length = {size: (np.array(sorted(g), dtype=np.uint64), [g[k] for k in sorted(g)]) for size, g in found.items()}
-
-    def search(self, h: np.ndarray) -> Iterator[tuple[int | None, float, int, int, int]]:
-        """item_id, share, agreeing words, start and end for each item that leaks into these words."""
-        near: dict[int, set[int]] = {}
-        for size, (keys, places) in self.by_length.items():
-            grams = H.windows(h, size)
-            if not len(grams):
-                continue
-            i = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
-            for p in np.flatnonzero(keys[i] == grams).tolist():
-                for at, j in places[i[p]]:
-                    near.setdefault(at, set()).add(p - j)
-        for at, diagonals in near.items():
-            item_id, item = self.items[at]
-            n, slack = len(item), max(8, len(item) // 2)
-            best, last = None, None
-            for lo, hi in _joined(sorted(diagonals), n, slack, len(h)):
-                score, same, a, b = align(item, h[lo:hi])
-                if best is None or score > best[0]:
-                    best = (score, same, lo + a, lo + b)
-            if best and best[0] >= THRESHOLD * MATCH * n and best[1] >= min(LEAST_WORDS, n):
-                yield item_id, best[0] / (MATCH * n), best[1], best[2], best[3]
+    """Best local alignment: score, agreeing words, and where in the passage it starts and ends.
+
+    Each cell carries where its alignment starts and how many words agree in
+    it, so only the row before is needed.
+    """
+    m = len(passage)
+    place = np.arange(m + 1, dtype=np.int64)
+    score = np.zeros(m + 1, dtype=np.int64)
+    start, same = place.copy(), np.zeros(m + 1, dtype=np.int64)
+    base, from_, agree = np.zeros(m + 1, dtype=np.int64), place.copy(), np.zeros(m + 1, dtype=np.int64)
+    best = (0, 0, 0, 0)
+    for word in item:
+        hit = passage == word
+        ahead, down = score[:-1] + np.where(hit, MATCH, MISMATCH), score[1:] + GAP
+        straight = ahead >= down
+        top = np.maximum(ahead, down)
+        live = top > 0
+        base[1:] = np.where(live, top, 0)
+        from_[1:] = np.where(live, np.where(straight, start[:-1], start[1:]), place[1:])
+        agree[1:] = np.where(live, np.where(straight, same[:-1] + hit, same[1:]), 0)
+        # Gaps along the passage: a running maximum after levelling their cost, which remembers where it comes from.
+        run = np.maximum.accumulate((base - GAP * place) * (m + 1) + place)
+        source = run % (m + 1)
+        score, start, same = run // (m + 1) + GAP * place, from_[source], agree[source]
+        j = int(score.argmax())
+        if score[j] > best[0]:
+            best = (int(score[j]), int(same[j]), int(start[j]), j)
+    return best
+
+
+class Filter:
+    """A blocked Bloom filter of 64-bit hashes: three bits in one word of 64."""
+
+    def __init__(self, keys: DataFrame, column: str):
+        n = keys.count()
+        self.power = max(10, min(SLOTS.bit_length() - 1, math.ceil(math.log2(n + 1))))
+        bit = lambda at: f"shiftleft(1L, cast(shiftrightunsigned({column}, {at}) & 63 AS INT))"
+        rows = keys.select(F.shiftrightunsigned(column, 64 - self.power).alias("slot"), F.expr(" | ".join(map(bit, (0, 6, 12)))).alias("bits")).groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
+        self.words = np.zeros(1 << self.power, dtype=np.uint64)
+        self.words[rows.column("slot").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)  # at most SLOTS rows
+
+    def passes(self, keys: np.ndarray) -> np.ndarray:
+        one, low = np.uint64(1), np.uint64(63)
+        bits = (one << (keys & low)) | (one << ((keys >> np.uint64(6)) & low)) | (one << ((keys >> np.uint64(12)) & low))
+        return self.words[(keys >> np.uint64(64 - self.power)).astype(np.int64)] & bits == bits
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    """ikey, item_id and word hashes of every item with words; rows with equal ikey are equal."""
+    schema = pa.schema([("ikey", pa.int64()), ("item_id", pa.int64()), ("words", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for item, text in zip(b.column("item_id").to_pylist(), b.column("text").to_pylist()):
+                h = _hashes(words_of(text))
+                if len(h):
+                    raw = f"{item}\n{text}".encode("utf-8", "surrogatepass")
+                    rows.append((int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True), item, H.signed(h)))
+            yield _batch(rows, schema)
+
+    return benchmark.select("item_id", "text").mapInArrow(run, "ikey long, item_id long, words array<long>")
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [[]] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def word_counts(documents: DataFrame, words: DataFrame) -> tuple[DataFrame, int]:
+    """(w, n) for the wanted hashes that the corpus holds, maybe some others too; and the corpus' words."""
+    wanted = documents.sparkSession.sparkContext.broadcast(Filter(words, "w"))
+    schema = pa.schema([("w", pa.int64()), ("n", pa.int64())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, held, size = 0, [], 0
+
+        def fold() -> pa.RecordBatch:
+            w, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(H.signed(w)), pa.array(n.astype(np.int64))], schema=schema)
+
+        for b in batches:
+            for t in b.column("text"):
+                h = _hashes(words_of(t.as_py()))
+                total += len(h)
+                held.append(h[wanted.value.passes(h)])
+                size += len(held[-1])
+                if size >= HELD:
+                    yield fold()
+                    held, size = [], 0
+        if held:
+            yield fold()
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total], pa.int64())], schema=schema)
+
+    counts = W.store(documents.select("text").mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")), "counts")
+    total = counts.where("w is null").first()
+    return counts.where("w is not null"), total["n"] if total else 0
+
+
+def _key(grams: np.ndarray, size: int) -> np.ndarray:
+    return H.mix64(grams ^ np.uint64(size * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+
+
+def seeds_of(h: np.ndarray, counts: np.ndarray, total: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """Length, offsets and hashes of an item's seeds, from its words' corpus counts."""
+    rare = np.where(counts > 0, np.log(np.maximum(counts, 1) / max(total, 1)), -math.log(total + 1))
+    for size in LENGTHS:
+        size = min(size, len(h))
+        expected = math.log(total + 1) + np.convolve(rare, np.ones(size), "valid")
+        good = expected <= math.log(CHANCE)
+        if 2 * good.sum() >= len(good) or size == min(LENGTHS[-1], len(h)):
+            good |= expected <= expected.min() + math.log(2)
+            at = np.flatnonzero(good)
+            return size, at, _key(H.windows(h, size)[at], size)
+    raise AssertionError("the last length is always taken")
+
+
+def seeds(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """(key, size, ikey, at): where each item has its seeds."""
+    words = W.store(items.dropDuplicates(["ikey"]).select("ikey", F.posexplode("words").alias("at", "w")), "words")
+    counts, total = word_counts(documents, words.select("w").distinct())
+    known = words.join(W.bounded(counts), "w", "left").groupBy("ikey").agg(F.sort_array(F.collect_list(F.struct("at", "w", F.coalesce("n", F.lit(0).cast("long")).alias("n")))).alias("words"))
+    schema = pa.schema([("key", pa.int64()), ("size", pa.int32()), ("ikey", pa.int64()), ("at", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for ikey, w in zip(b.column("ikey").to_pylist(), b.column("words")):
+                _, words, n = w.values.flatten()
+                h, n = words.to_numpy().view(np.uint64), n.to_numpy()
+                size, at, keys = seeds_of(h, n, total)
+                yield pa.RecordBatch.from_arrays([pa.array(H.signed(keys)), pa.array(np.full(len(at), size, dtype=np.int32)), pa.array(np.full(len(at), ikey, dtype=np.int64)), pa.array(at.astype(np.int32))], schema=schema)
+
+    return known.mapInArrow(run, "key long, size int, ikey long, at int")
 
 
 def _joined(diagonals: list[int], n: int, slack: int, size: int) -> Iterator[tuple[int, int]]:
@@ -143,65 +214,69 @@ def _joined(diagonals: list[int], n: int, slack: int, size: int) -> Iterator[tup
         yield lo, hi
 
 
-def _blocks(benchmark: DataFrame) -> list[list[tuple[int | None, str | None]]]:
-    """The items in blocks of about ``BLOCK``, told apart by a hash."""
-    n = -(-benchmark.count() // BLOCK)
-    for b in range(n):
-        part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b) if n > 1 else benchmark
-        yield sorted(((r["item_id"], r["text"]) for r in part.select("item_id", "text").collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+def best_match(item: np.ndarray, words: np.ndarray, diagonals: list[int]) -> tuple[float, int, int, int] | None:
+    """Share, agreeing words, start and end of the best alignment near the diagonals, if it counts as a leak."""
+    n, best = len(item), (0, 0, 0, 0)
+    for lo, hi in _joined(sorted(diagonals), n, max(8, n // 2), len(words)):
+        score, same, a, b = align(item, words[lo:hi])
+        if score > best[0]:
+            best = (score, same, lo + a, lo + b)
+    if best[0] >= THRESHOLD * MATCH * n and best[1] >= min(LEAST_WORDS, n):
+        return best[0] / (MATCH * n), best[1], best[2], best[3]
+    return None
 
 
-def word_shares(documents: DataFrame, items: list[tuple[int | None, str | None]]) -> tuple[dict[int, float], int]:
-    """Log share of each word of the items among all words of the corpus, by hash; and the corpus' words."""
-    kinds = sorted({w for _, t in items for w in words_of(t)})
-    keys = np.unique(_hashes(kinds))
+_SCHEMA = "dkey long, doc_id long, item_id long, score double, n_same int, start int, end int"
+_ARROW = pa.schema([("dkey", pa.int64()), ("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("n_same", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen = 0, np.zeros(len(keys), dtype=np.int64)
-        for b in batches:
-            for t in b.column("text"):
-                h = _hashes(words_of(t.as_py()))
-                total += len(h)
-                if len(keys) and len(h):
-                    i = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                    seen += np.bincount(i[keys[i] == h], minlength=len(keys))
-        hit = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *hit.tolist()], pa.int64()), pa.array([total, *seen[hit].tolist()], pa.int64())], names=["k", "n"])
 
-    rows = {r["k"]: r["n"] for r in documents.select("text").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()}  # the items' words at most
-    total = rows.pop(-1, 0) or 0
-    return {int(keys[k]): math.log(n / total) for k, n in rows.items()}, total
+def _matches(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The leaks, with the key of the document's row."""
+    items = W.store(_items(benchmark), "items")
+    docs = documents.select(F.xxhash64("doc_id", "text").alias("dkey"), "doc_id", "text").where("text is not null")
+    found = W.store(seeds(docs, items), "seeds")
+    sizes = sorted(r["size"] for r in found.select("size").distinct().collect())  # at most the largest length
+    wanted = documents.sparkSession.sparkContext.broadcast(Filter(found.select("key").distinct(), "key"))
+    schema = pa.schema([("dkey", pa.int64()), ("p", pa.int32()), ("key", pa.int64())])
 
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for dkey, t in zip(b.column("dkey").to_pylist(), b.column("text")):
+                h = _hashes(words_of(t.as_py()))
+                for size in sizes:
+                    keys = _key(H.windows(h, size), size)
+                    p = np.flatnonzero(wanted.value.passes(keys))
+                    if len(p):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), dkey, dtype=np.int64)), pa.array(p.astype(np.int32)), pa.array(H.signed(keys[p]))], schema=schema)
+
+    held = docs.select("dkey", "text").mapInArrow(places, "dkey long, p int, key long")
+    met = held.join(W.bounded(found.select("key", "ikey", "at")), "key").groupBy("dkey", "ikey").agg(F.collect_set(F.col("p") - F.col("at")).alias("diagonals"))
+    met = W.store(met, "met")
+    near = met.join(items, "ikey").groupBy("dkey").agg(F.collect_list(F.struct("item_id", "words", "diagonals")).alias("items"))
+    ids = W.store(met.select("dkey").distinct(), "ids")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for dkey, doc, text, pairs in zip(b.column("dkey").to_pylist(), b.column("doc_id").to_pylist(), b.column("text"), b.column("items")):
+                h = _hashes(words_of(text.as_py()))
+                rows = []
+                for x in pairs:
+                    item = x["words"].values.to_numpy().view(np.uint64)
+                    hit = best_match(item, h, x["diagonals"].as_py())
+                    if hit:
+                        rows.append((dkey, doc, x["item_id"].as_py(), *hit))
+                yield _batch(rows, _ARROW)
 
-_SCHEMA = "doc_id long, item_id long, score double, n_same int, start int, end int"
-_ARROW = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("n_same", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
+    return W.with_ids(docs, ids, "left_semi", on="dkey").join(near, "dkey").select("dkey", "doc_id", "text", "items").mapInArrow(run, _SCHEMA)
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and item that leaks into it: score, agreeing words, first and past-last word."""
-    out: DataFrame | None = None
-    for items in _blocks(benchmark):
-        seeds = Seeds(items, *word_shares(documents, items))
-
-        def run(batches: Iterator[pa.RecordBatch], seeds: Seeds = seeds) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                rows = [(doc, *hit) for doc, t in zip(b.column("doc_id").to_pylist(), b.column("text")) for hit in seeds.search(_hashes(words_of(t.as_py())))]
-                columns = list(zip(*rows)) if rows else [[]] * len(_ARROW)
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, _ARROW)], schema=_ARROW)
-
-        found = documents.select("doc_id", "text").mapInArrow(run, _SCHEMA)
-        out = found if out is None else out.unionByName(found)
-    return documents.sparkSession.createDataFrame([], _SCHEMA) if out is None else out
+    return _matches(documents, benchmark).drop("dkey")
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that no item leaks into, with all their columns."""
-    for items in _blocks(benchmark):
-        seeds = Seeds(items, *word_shares(documents, items))
-
-        def run(batches: Iterator[pa.RecordBatch], seeds: Seeds = seeds) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield b.filter(pa.array([next(seeds.search(_hashes(words_of(t.as_py()))), None) is None for t in b.column("text")], pa.bool_()))
-
-        documents = documents.mapInArrow(run, documents.schema)
-    return documents
+    key = W.free_name(documents, "dkey")
+    gone = W.store(_matches(documents, benchmark).select("dkey").distinct(), "leaking")
+    return W.with_ids(documents.withColumn(key, F.xxhash64("doc_id", "text")), gone, "left_anti", on=key).drop(key)
