@@ -11,7 +11,9 @@ by inflating them whole.
 Defined results: a null payload is empty; header values lose line breaks; of
 records with equal payloads of at least ``least`` bytes that with the largest
 ``page_id`` is the response, the others revisit it; a null ``page_id`` is
-written without that header. Repeated rows are written each; rows that share
+written without that header; header names are read in any case; a compressed
+record without a length reaches to its member's end, an uncompressed one is an
+error. Repeated rows are written each; rows that share
 the largest ``page_id`` are all responses. An empty table gives no archives and
 an empty result; other columns are ignored.
 """
@@ -59,10 +61,10 @@ def record(kind: str, headers: dict[str, str | None], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + "\r\n".join(lines).encode("utf-8", "replace") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def _page_record(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
+def _page_record(page_id, url, payload: bytes | None, length: int, digest: str, refers_to) -> bytes:
     name = "unnamed" if page_id is None else str(page_id)
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-    headers = {"WARC-Record-ID": f"<urn:page:{name}:{digest}>", "WARC-Target-URI": url, "WARC-Payload-Digest": f"sha1:{digest}", "X-Page-Id": page_id, "X-Payload-Length": str(len(payload)), "Content-Type": "application/http;msgtype=response"}
+    headers = {"WARC-Record-ID": f"<urn:page:{name}:{digest}>", "WARC-Target-URI": url, "WARC-Payload-Digest": f"sha1:{digest}", "X-Page-Id": page_id, "X-Payload-Length": str(length), "Content-Type": "application/http;msgtype=response"}
     if refers_to is None:
         return record("response", headers, http + payload)
     profile = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -73,6 +75,23 @@ def _open(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(uri)
 
 
+def _roles(raw: DataFrame, least: int) -> DataFrame:
+    """The rows with ``refers_to``, the page whose payload a row revisits.
+
+    Only digests are compared. If there are few repeated payloads they are
+    broadcast and no payload moves; else rows meet their role by page and
+    digest, so that one payload of very many pages is no hot key.
+    """
+    long = raw.where(F.col("size") >= least)
+    heads = W.store(long.groupBy("digest", "size").agg(F.max("page_id").alias("head"), F.count("*").alias("n")).where("n > 1").select("digest", "size", "head"), "heads")
+    of_head = F.when(~F.col("page_id").eqNullSafe(F.col("head")), F.col("head")).alias("refers_to")
+    if W.is_few(heads):
+        return raw.join(F.broadcast(heads), ["digest", "size"], "left").select(*raw.columns, of_head)
+    again = long.select("page_id", "digest", "size").join(heads.hint("merge"), ["digest", "size"]).select("page_id", "digest", of_head).where("refers_to is not null").distinct()
+    again = again.select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "refers_to")
+    return raw.join(again.hint("merge"), F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left").select(*raw.columns, "refers_to")
+
+
 def write(pages: DataFrame, folder: str, least: int = LEAST) -> list[str]:
     """Archive ``pages`` (page_id, url, html) under ``folder``; returns the finished files.
 
@@ -81,15 +100,14 @@ def write(pages: DataFrame, folder: str, least: int = LEAST) -> list[str]:
     """
     raw = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     raw = raw.withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
-    heads = raw.where(F.col("size") >= least).groupBy(F.col("digest").alias("d"), F.col("size").alias("s")).agg(F.max("page_id").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    roles = raw.join(heads, (F.col("digest") == F.col("d")) & (F.col("size") == F.col("s")), "left").select("page_id", "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("head")), F.col("head")).alias("refers_to"))
+    roles = _roles(raw, least).select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), F.col("size").alias("length"), "digest", "refers_to")
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         uri = f"{folder}/part-{context.partitionId():06d}-{context.taskAttemptId()}.warc.gz"
         out, n = None, 0
         for batch in batches:
-            for row in zip(*(batch.column(c) for c in ("page_id", "url", "payload", "digest", "refers_to"))):
+            for row in zip(*(batch.column(c) for c in ("page_id", "url", "payload", "length", "digest", "refers_to"))):
                 if out is None:
                     fs, path = _open(uri)
                     fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
@@ -109,14 +127,25 @@ class _File(InputPartition):
         self.uri = uri
 
 
-def _header_block(plain: bytes) -> tuple[dict[str, str], int] | None:
+class Headers:
+    """A record's headers as written, looked up whatever their case."""
+
+    def __init__(self, lines: list[str]):
+        self.items = [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines)]
+        self._by_name = {k.lower(): v for k, v in self.items}
+
+    def get(self, name: str) -> str | None:
+        return self._by_name.get(name.lower())
+
+
+def _header_block(plain: bytes) -> tuple[Headers, int] | None:
     end = plain.find(b"\r\n\r\n")
     if end < 0:
         return None
     lines = plain[:end].decode("utf-8", "replace").split("\r\n")
     if not lines[0].startswith("WARC/"):
         raise ValueError("not a WARC record")
-    return {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}, end + 4
+    return Headers(lines[1:]), end + 4
 
 
 class Reader(DataSourceReader):
@@ -145,7 +174,7 @@ class Reader(DataSourceReader):
         found = fs.get_file_info(pyarrow.fs.FileSelector(root, recursive=True))
         return [_File((scheme or "file://") + i.path) for i in sorted(found, key=lambda i: i.path) if i.is_file and fnmatch.fnmatch(i.base_name, self.glob)] or [_File("")]
 
-    def _passes(self, headers: dict[str, str]) -> bool:
+    def _passes(self, headers: Headers) -> bool:
         return all(headers.get(k) in values for k, values in self.wanted)
 
     def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
@@ -159,7 +188,7 @@ class Reader(DataSourceReader):
                 values |= {c: int(values[c]) if values[c] is not None else None for c in _NUMBERS}
                 if values["payload_digest"]:
                     values["payload_digest"] = values["payload_digest"].removeprefix("sha1:")
-                rows.append(values | {"headers": list(headers.items()), "payload": payload})
+                rows.append(values | {"headers": headers.items, "payload": payload})
                 held += len(payload or b"") + 1000
                 if held > 8 << 20:
                     yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
@@ -168,7 +197,7 @@ class Reader(DataSourceReader):
             yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
 
-def _records(f, passes, payloads: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
+def _records(f, passes, payloads: bool) -> Iterator[tuple[Headers, bytes | None]]:
     """Headers, and payload where wanted, of each record that passes; plain or gzip by first bytes."""
     size, at = f.size(), 0
     while at < size:
@@ -197,7 +226,9 @@ def _records(f, passes, payloads: bool) -> Iterator[tuple[dict[str, str], bytes
                 if known is None:
                     known = f.tell() - at - len(inflate.unused_data)
             at += known
-            block = plain[body : body + int(headers["Content-Length"])] if good and payloads else None
+            length = headers.get("Content-Length")
+            end = len(plain) - 4 * plain.endswith(b"\r\n\r\n") if length is None else body + int(length)
+            block = plain[body:end] if good and payloads else None
         else:
             plain = start
             while (found := _header_block(plain)) is None:
@@ -206,7 +237,9 @@ def _records(f, passes, payloads: bool) -> Iterator[tuple[dict[str, str], bytes
                     raise ValueError(f"a record's headers are cut off at byte {at}")
                 plain += more
             headers, body = found
-            length = int(headers["Content-Length"])
+            if headers.get("Content-Length") is None:
+                raise ValueError(f"the record at byte {at} of an uncompressed archive has no Content-Length")
+            length = int(headers.get("Content-Length"))
             good = passes(headers)
             block = None
             if good and payloads:
@@ -217,9 +250,9 @@ def _records(f, passes, payloads: bool) -> Iterator[tuple[dict[str, str], bytes
             yield headers, _payload(headers, block)
 
 
-def _payload(headers: dict[str, str], block: bytes | None) -> bytes | None:
+def _payload(headers: Headers, block: bytes | None) -> bytes | None:
     """The block without its HTTP head."""
-    if block is None or not headers.get("Content-Type", "").startswith("application/http"):
+    if block is None or not (headers.get("Content-Type") or "").startswith("application/http"):
         return block
     return block[block.find(b"\r\n\r\n") + 4 :]
 
@@ -239,7 +272,7 @@ class WarcSource(DataSource):
 
 
 def read(spark: SparkSession, files: list[str] | str, payload: bool = True) -> DataFrame:
-    """Records of archives: a folder, or a list of files."""
+    """Records of archives: a folder, or a list of files. Turns on the session's filter pushdown for Python sources."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
     source = spark.read.format("warc").option("payload", str(payload).lower())
