@@ -2,13 +2,14 @@
 
 A page is flattened into its text blocks. Each block is described by its word
 count and link density, those of the blocks before and after it, and whether
-the tags it stands in say article or surroundings; a decision tree, trained
-here on a small labelled table, says which blocks are text. Kept blocks are
-joined in page order.
+the tags it stands in say article or surroundings; a decision tree says which
+blocks are text. It is trained on a small table, measured on labelled pages that
+this module builds, some of which name their parts and some of which do not.
+Kept blocks are joined in page order.
 
 Defined results: null or empty html gives an empty text; broken markup is read
-as far as it goes (unclosed tags close where their parent does, a tag or
-comment cut off by the end of the page is markup); pages are judged one by one,
+as far as it goes (unclosed tags close where their parent does, a stray quote
+in a tag is ignored, a tag or comment cut off by the end of the page is markup); pages are judged one by one,
 so repeated rows stay. An empty table gives an empty result; other columns are
 ignored.
 """
@@ -47,7 +48,9 @@ AROUND_WORDS = frozenset(
     " sponsor sponsored sponsors subscribe subscription teaser toolbar topbar tracking trending widget widgets".split()
 )
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|</[^>]*(?:>|\Z)", re.S)
+# A quote opens a value only behind ``=``; elsewhere, and in a bare value, it is a character like any other.
+_ATTRS = r"""(?>=\s*"[^"]*"|=\s*'[^']*'|=\s*[^\s"'>][^\s>]*|[^>])*+"""
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)({_ATTRS})(?:>|\Z)|</[^>]*(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?", re.S)
 _WORD = re.compile(r"\S+")
 _SPACE = re.compile(r"\s+")
@@ -189,31 +192,63 @@ def blocks(page: str) -> list[Block]:
 
 FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "around", "within", "page_within", "heading")
 
-# A small labelled table, by hand: words, link density, then of the block before and after, in a surrounding, in an article,
-# page has an article, heading; 1 for text. Values state ordinary pages: menus, sentences, captions, footers, comments, adverts.
-LABELLED = (
-    (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 1, 0, 0), (1, 1.0, 1, 1.0, 9, 0.0, 1, 0, 1, 0, 0), (2, 1.0, 1, 1.0, 2, 1.0, 1, 0, 0, 0, 0), (3, 0.67, 2, 1.0, 40, 0.0, 1, 0, 0, 0, 0),
-    (9, 0.0, 1, 1.0, 8, 0.0, 1, 0, 1, 0, 0), (60, 0.0, 9, 0.0, 30, 0.0, 1, 0, 1, 0, 0), (25, 0.0, 120, 0.0, 0, 0.0, 1, 0, 1, 0, 0), (80, 0.05, 60, 0.0, 4, 0.5, 1, 1, 1, 0, 0),
-    (30, 0.0, 40, 0.0, 20, 0.0, 1, 1, 1, 0, 0), (4, 0.0, 40, 0.0, 30, 0.0, 1, 1, 1, 1, 0), (12, 0.9, 80, 0.0, 10, 0.9, 0, 1, 1, 0, 1), (1, 0.0, 70, 0.0, 90, 0.0, 0, 1, 1, 0, 1),
-    (2, 0.0, 1, 0.0, 40, 0.0, 0, 1, 1, 0, 1), (8, 0.0, 9, 0.0, 60, 0.0, 0, 1, 1, 1, 1), (60, 0.0, 8, 0.0, 90, 0.0, 0, 1, 1, 0, 1), (200, 0.02, 60, 0.0, 25, 0.0, 0, 1, 1, 0, 1),
-    (5, 0.2, 200, 0.0, 20, 0.0, 0, 1, 1, 0, 1), (40, 0.3, 30, 0.0, 12, 0.0, 0, 1, 1, 0, 1), (3, 1.0, 30, 0.0, 30, 0.0, 0, 1, 1, 0, 1), (6, 1.0, 50, 0.1, 40, 0.0, 0, 1, 1, 1, 1),
-    (12, 0.0, 60, 0.0, 0, 0.0, 0, 0, 1, 0, 0), (40, 0.0, 2, 1.0, 8, 0.0, 0, 0, 1, 0, 0), (7, 0.0, 1, 1.0, 9, 0.0, 0, 0, 1, 1, 0), (90, 0.0, 50, 0.0, 60, 0.0, 0, 0, 1, 0, 0),
-    (50, 0.0, 8, 0.0, 60, 0.0, 0, 0, 0, 0, 1), (120, 0.02, 50, 0.0, 80, 0.0, 0, 0, 0, 0, 1), (25, 0.0, 60, 0.0, 40, 0.0, 0, 0, 0, 0, 1), (14, 0.1, 60, 0.0, 50, 0.0, 0, 0, 0, 0, 1),
-    (4, 0.0, 60, 0.0, 50, 0.0, 0, 0, 0, 0, 1), (6, 0.0, 40, 0.0, 90, 0.1, 0, 0, 0, 1, 1), (7, 0.0, 2, 1.0, 60, 0.0, 0, 0, 0, 1, 1), (20, 0.0, 5, 0.0, 30, 0.0, 0, 0, 0, 0, 1),
-    (3, 0.0, 2, 1.0, 4, 0.5, 0, 0, 0, 0, 0), (6, 0.5, 3, 1.0, 2, 1.0, 0, 0, 0, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0, 0, 0), (2, 1.0, 3, 1.0, 60, 0.0, 0, 0, 0, 0, 0),
-    (20, 0.9, 30, 0.8, 20, 0.9, 0, 0, 0, 0, 0), (5, 0.8, 60, 0.0, 4, 1.0, 0, 0, 0, 0, 0), (9, 0.0, 4, 0.0, 3, 1.0, 0, 0, 0, 0, 0), (30, 0.6, 50, 0.0, 20, 0.7, 0, 0, 0, 0, 0),
-    (4, 0.0, 3, 1.0, 5, 0.0, 0, 0, 0, 0, 0), (8, 0.1, 3, 0.9, 0, 0.0, 0, 0, 0, 0, 0), (3, 0.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0, 0), (16, 0.0, 0, 0.0, 70, 0.0, 0, 0, 0, 0, 1),
-    (1, 0.0, 2, 0.0, 12, 0.0, 0, 1, 1, 0, 1), (1, 0.0, 90, 0.0, 0, 0.0, 0, 1, 1, 0, 1), (3, 0.0, 40, 0.0, 9, 0.0, 0, 1, 1, 0, 1), (7, 0.0, 5, 0.0, 4, 0.0, 0, 1, 1, 1, 1),
-    (90, 0.0, 7, 0.0, 12, 0.0, 0, 1, 1, 0, 1), (150, 0.0, 30, 0.0, 6, 0.5, 0, 1, 1, 0, 1), (400, 0.0, 12, 0.0, 0, 0.0, 0, 1, 1, 0, 1), (35, 0.0, 9, 0.0, 3, 1.0, 0, 1, 1, 0, 1),
-    (10, 0.0, 9, 0.0, 10, 0.0, 0, 1, 1, 0, 1), (2, 0.5, 20, 0.0, 2, 0.5, 0, 1, 1, 0, 1), (18, 0.0, 6, 1.0, 1, 0.0, 0, 1, 1, 0, 1), (75, 0.1, 1, 0.0, 1, 0.0, 0, 1, 1, 0, 1),
-    (5, 1.0, 6, 0.0, 70, 0.0, 1, 0, 1, 0, 0), (6, 0.0, 1, 1.0, 12, 0.0, 1, 0, 1, 0, 0), (100, 0.0, 80, 0.0, 90, 0.0, 1, 0, 1, 0, 0), (14, 0.0, 120, 0.0, 0, 0.0, 1, 0, 1, 0, 0),
-    (10, 0.1, 2, 1.0, 10, 0.0, 1, 0, 0, 0, 0), (22, 0.0, 30, 0.0, 25, 0.0, 1, 1, 1, 0, 0), (110, 0.0, 30, 0.0, 25, 0.0, 1, 1, 1, 0, 0), (3, 0.0, 100, 0.0, 60, 0.0, 1, 1, 1, 1, 0),
-    (35, 0.0, 60, 0.0, 0, 0.0, 1, 0, 0, 0, 0), (70, 0.0, 35, 0.0, 9, 0.0, 1, 0, 0, 0, 0), (5, 0.0, 90, 0.0, 20, 0.0, 1, 0, 0, 1, 0), (300, 0.0, 200, 0.0, 90, 0.0, 1, 1, 1, 0, 0),
-    (25, 0.0, 90, 0.0, 8, 0.0, 0, 0, 1, 0, 0), (70, 0.0, 9, 0.0, 90, 0.0, 0, 0, 1, 0, 0), (5, 0.0, 30, 0.0, 40, 0.0, 0, 0, 1, 1, 0), (150, 0.0, 90, 0.0, 3, 1.0, 0, 0, 1, 0, 0),
-    (70, 0.0, 7, 0.0, 2, 0.0, 0, 0, 0, 0, 1), (45, 0.0, 12, 0.0, 8, 0.0, 0, 0, 0, 0, 1), (30, 0.0, 4, 0.0, 5, 1.0, 0, 0, 0, 0, 1), (220, 0.05, 3, 1.0, 12, 0.0, 0, 0, 0, 0, 1),
-    (14, 0.0, 5, 0.0, 4, 0.0, 0, 0, 0, 0, 1), (12, 0.0, 40, 0.0, 3, 0.0, 0, 0, 0, 0, 1), (3, 0.0, 14, 0.0, 2, 0.0, 0, 0, 0, 0, 1), (2, 0.0, 14, 0.0, 2, 0.0, 0, 0, 0, 0, 1),
-    (2, 0.0, 2, 0.0, 14, 0.0, 0, 0, 0, 1, 1), (3, 0.0, 0, 0.0, 14, 0.0, 0, 0, 0, 1, 1), (5, 0.0, 1, 0.0, 14, 0.0, 0, 0, 0, 0, 1), (3, 0.0, 1, 1.0, 12, 0.0, 0, 0, 0, 1, 1),
-)
+#: Starts the text blocks of the labelled pages.
+MARK = "\N{PILCROW SIGN}"
+#: Sizes in words that the labelled pages go through: sentences, paragraphs, one-word lines.
+SIZES = (40, 9, 120, 1, 25, 60, 3, 14, 200, 6, 80, 2, 33, 11, 1, 55)
+
+
+def labelled_pages() -> list[str]:
+    """Small pages of ordinary make-up whose text blocks start with ``MARK``."""
+    turn = iter(range(10**6))
+    words = lambda n: " ".join(["word"] * n)
+    size = lambda: SIZES[next(turn) % len(SIZES)]
+    text = lambda n=None, tag="p": f"<{tag}>{MARK}{words(n or size())}</{tag}>"
+    other = lambda n, tag="p": f"<{tag}>{words(n)}</{tag}>"
+    links = lambda n, w=1, tag="li": "".join(f"<{tag}><a href='/'>{words(w)}</a></{tag}>" for _ in range(n))
+    body = lambda n: "".join(text() for _ in range(n))
+    page = lambda x: f"<html><head><title>t</title></head><body>{x}</body></html>"
+    menu = lambda: f"<nav><ul>{links(5)}</ul></nav>"
+    foot = lambda n=8: f"<footer>{words(n)} <a href='/'>word</a></footer>"
+    out = []
+    for _ in range(3):
+        # Marked up: the article is named, and so is most of what surrounds it.
+        out.append(page(f"{menu()}<div class='ad'>{words(12)}</div><article>{text(7, 'h1')}{body(7)}</article>{foot()}"))
+        out.append(page(f"<header>{other(4, 'h1')}{menu()}</header><main>{text(5, 'h1')}{body(4)}<ul>{text(12, 'li')}<li><a href='/'>{MARK}{words(3)}</a></li>{text(2, 'li')}</ul>{body(3)}</main><aside>{other(30)}{links(4, 3)}</aside><div class='comments'>{other(50)}{other(3)}{other(90)}</div>{foot(30)}"))
+        out.append(page(f"<div>{links(6, 2)}</div><article>{text(9, 'h2')}{body(5)}<div class='newsletter'>{other(15)}<form>{other(4)}</form></div>{body(2)}<section class='comments'>{other(70)}{other(12)}</section></article><div>{other(25)}{links(5, 4)}{other(60)}{links(2, 2)}{other(100)}{links(2, 2)}</div>"))
+        out.append(page(f"<div>{other(14)}</div><div>{links(3, 2)}</div><article>{text(3)}{body(3)}{text(2)}</article><div>{links(4, 3)}</div><div>{other(45)}{other(5)}</div>"))
+        out.append(page(f"{menu()}<main><article>{text(2, 'h2')}{text(8)}<ul>{text(4, 'li')}{text(9, 'li')}</ul>{text(5)}</article></main><div>{other(80)}</div><div>{links(6)}</div>{foot()}"))
+        # The text starts with a paragraph right behind links.
+        out.append(page(f"{menu()}<article>{text(60)}{text(2)}{body(3)}</article>{foot()}"))
+        out.append(page(f"<ol>{links(4, 2)}</ol><main>{text(90)}{body(2)}</main><div>{links(3, 2)}{other(60)}{other(90)}</div>"))
+        out.append(page(f"<ul>{links(5, 3)}</ul><div>{text(45)}{text(80)}{text(31)}{text(130)}</div><div>{links(3, 2)}</div>"))
+        # The article ends the page, or is all of it.
+        out.append(page(f"{menu()}<article>{text(6, 'h1')}{body(5)}</article>"))
+        out.append(page(f"<article>{body(2)}{text(3)}</article>{links(2, 2, 'div')}"))
+        out.append(page(f"<main>{body(3)}</main>"))
+        out.append(page(f"<div>{links(4, 1)}{other(50)}</div><article>{text(10)}{body(2)}</article><div>{other(150)}</div>"))
+        # Without a named article: surroundings are named, the text is not.
+        out.append(page(f"{menu()}<div>{text(8, 'h1')}{body(4)}{text(10)}</div><form>{other(20)}</form><div>{text(40)}{text(1)}</div>"))
+        out.append(page(f"<aside>{links(4, 3)}</aside><div>{text(1, 'h1')}{body(5)}</div>{foot(4)}"))
+        out.append(page(f"<ul>{links(4, 3)}</ul><div>{text(12, 'h1')}{body(6)}</div><form>{other(6)}</form>{foot()}"))
+        out.append(page(f"<div id='header'>{other(3, 'h1')}{links(5)}</div><div>{text(6, 'h1')}{body(6)}</div><div class='sidebar'>{other(2, 'h3')}{links(6, 3)}{other(20)}</div><div id='comments'>{other(40)}{other(8)}</div><div id='footer'>{other(12)}</div>"))
+        # Nothing is named: only sizes, links and neighbours tell.
+        for head, tail in ((6, 4), (3, 8)):
+            cell = "".join(text(n) for n in (45, 4, 70, 1, 30, 12, 110, 2, 60))
+            out.append(page(f"<table><tr><td>{links(head, 1, 'div')}{other(2, 'div')}{links(2, 3, 'div')}</td><td>{text(5, 'h1')}{cell}</td></tr></table><div>{links(tail, 2, 'div')}</div><div>{words(5)} <a href='/'>{words(2)}</a></div>"))
+            out.append(page(f"<div>{other(3, 'div')}{links(head, 2, 'div')}</div>{text(6, 'h2')}{text(18)}{text(35)}{text(3)}{text(50)}<div>{other(4, 'h3')}{links(tail, 6, 'div')}</div><div>{other(9, 'div')}{links(2, 1, 'div')}</div>"))
+        out.append(page(f"<div>{links(4)}</div>{text(4, 'h1')}{text(30)}{text(22)}<div>{words(3)} <a href='/'>{words(9)}</a></div><div>{words(2)} <a href='/'>{words(12)}</a></div><div>{other(6, 'div')}</div>"))
+    out += [page(text(8)), page(text(2)), page(f"{text(3, 'h1')}{text(5)}"), page(f"<article>{text(1)}</article>"), page(f"<div>{links(3)}</div>")]
+    return out
+
+
+def labelled_table() -> np.ndarray:
+    """Features of the labelled pages' blocks, and 1 for text in the last column."""
+    rows = []
+    for page in labelled_pages():
+        found = blocks(page)
+        rows += [(*row, float(b.text.startswith(MARK))) for b, row in zip(found, features(found))]
+    return np.array(rows)
 
 
 @dataclass
@@ -245,8 +280,8 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 1) -> Node:
 
 @cache
 def default_tree() -> Node:
-    table = np.array(LABELLED, dtype=float)
-    return grow(table[:, :-1], table[:, -1])
+    table = labelled_table()
+    return grow(table[:, :-1], table[:, -1], depth=8)
 
 
 def features(found: list[Block]) -> list[tuple[float, ...]]:
