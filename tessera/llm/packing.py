@@ -49,6 +49,8 @@ def default_tokenizer() -> str:
 _PLAIN = re.compile("[\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
 _PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[!-/:-@\\[-`{-~]+")
 _LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+#: Plain characters in many neighbourhoods: a tokenizer that cuts these as ``_PIECE`` does is known.
+_PROBE = "It's we'll I'd they've 'm 're o't 12ab3 x--y!?(z) \t a\nb " + "".join(map(chr, [*range(33, 127), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)])) + " \u00c41\u00df2\u00e9! 'S 'T"
 #: Text that is cut and looked up at a time; cached pieces.
 CHUNK, CACHED = 2 << 20, 600_000
 
@@ -59,7 +61,8 @@ class PieceIds:
     White space always ends a piece. Plain texts are cut into the tokenizer's
     pieces here; unseen pieces of letters are tokenised together, and the token
     that closes a piece tells them apart again. Other texts are cut at ASCII
-    white space only, and each word is tokenised on its own.
+    white space only, and each word is tokenised on its own. A tokenizer that
+    cuts a probe otherwise is given whole texts instead.
     """
 
     def __init__(self, path: str, most: int = CACHED):
@@ -74,6 +77,15 @@ class PieceIds:
             self.closing[i] = token.endswith("</w>")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
+        self.known = self._cuts_alike()
+
+    def _cuts_alike(self) -> bool:
+        normal, cutter = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        if normal is None or cutter is None:
+            return False
+        text = normal.normalize_str(_PROBE)
+        return [text[a:b] for _, (a, b) in cutter.pre_tokenize_str(text)] == _PIECE.findall(_PROBE.lower())
+
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
@@ -105,6 +117,8 @@ class PieceIds:
         return b"".join(out)
 
     def texts(self, texts: list[str | None]) -> list[bytes]:
+        if not self.known:
+            return [self.encode(t or "") for t in texts]
         cut = [_PIECE.findall(t.lower()) if t and self._plain(t) else None for t in texts]
         self._learn(set().union(*(c for c in cut if c)) - self.pieces.keys())
         out = [b"".join(map(self.pieces.__getitem__, c)) if c is not None else self._by_word(t or "") for c, t in zip(cut, texts)]

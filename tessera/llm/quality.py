@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import _hashing as H
+from tessera.llm import _work as W
 
 #: Labelled rows that the list is learned from, at most; the least by a hash of their id.
 MAX_LABELLED = 6000
@@ -206,16 +207,16 @@ def judge(documents: DataFrame, rules: list[Rule]) -> DataFrame:
 
 def keep_good(documents: DataFrame, rules: list[Rule]) -> DataFrame:
     """The documents that pass, with all their columns."""
-    schema = documents.schema
+    schema, counts = documents.schema, W.free_name(documents, "counts")
     count_types = ", ".join(f"{c} long" for c in COUNTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [dict(zip(COUNTS, counts_of(t.as_py()))) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.struct([(c, pa.int64()) for c in COUNTS])), *b.columns], names=["_counts", *b.schema.names])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.struct([(c, pa.int64()) for c in COUNTS])), *b.columns], names=[counts, *b.schema.names])
 
-    measured = documents.mapInArrow(run, f"_counts struct<{count_types}>, {_ddl(schema)}")
-    flat = measured.select(F.struct(*(F.col(f"`{c}`") for c in schema.names)).alias("_row"), "_counts.*")
+    measured = documents.mapInArrow(run, f"{counts} struct<{count_types}>, {_ddl(schema)}")
+    flat = measured.select(F.struct(*(F.col(f"`{c}`") for c in schema.names)).alias("_row"), f"{counts}.*")
     good = flat.where(~base_failed() & verdict(rules).isNull())
     return good.select("_row.*")
 
