@@ -226,12 +226,12 @@ def groups(documents: DataFrame, k: int = 2) -> DataFrame:
     known = rows.where("n > 0 and doc_id is not null")
     classes = W.store(known.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
     keys = classes.select("rep", "n", F.explode("bands").alias("key"))
-    shared_keys = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    met = W.store(keys.join(shared_keys, "key").select("key", "size", "rep", "n"), "members")
+    shared_keys = W.store(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "keys")
+    met = W.store(keys.join(W.bounded(shared_keys), "key").select("key", "size", "rep", "n"), "members")
     shares = met.groupBy("rep").agg(F.sum("size").alias("shares"))
     pivots = met.join(shares, "rep").groupBy("key").agg(F.max(F.struct("shares", (-F.col("rep")).alias("r"), "n")).alias("p"))
     members = W.store(met.join(pivots.select("key", (-F.col("p.r")).alias("pivot"), F.col("p.n").alias("pivot_n")), "key"), "members")
-    W.drop(met)
+    W.drop(met, shared_keys)
     wanted = W.store(members.select(F.col("rep").alias("id")).distinct().join(classes.select(F.col("rep").alias("id"), F.col("d1").alias("of")), "id"), "wanted")
     sets = _sets(documents, wanted, k)
     if shared:
