@@ -54,24 +54,46 @@ def windows(h: np.ndarray, k: int, lane: int = 0) -> np.ndarray:
     return mix64((total[k:] - total[:-k]) * up[: n - k + 1])
 
 
+def spans(h: np.ndarray, lo: np.ndarray, hi: np.ndarray, lane: int = 0) -> np.ndarray:
+    """Hash of the items in each [lo, hi)."""
+    up, down = _power(lane, max(len(h), 1))
+    total = np.zeros(len(h) + 1, dtype=_U)
+    np.cumsum((h if lane == 0 else mix64(h ^ _U(0xA5A5A5A55A5A5A5A))) * down[: len(h)], out=total[1:])
+    return mix64((total[hi] - total[lo]) * up[np.minimum(lo, max(len(h) - 1, 0))] ^ (hi - lo).astype(_U))
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` as UTF-8; null and blank texts have none."""
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
+def word_hashes(words: list[bytes], key: str = "0123456789123456") -> np.ndarray:
+    """64-bit hashes; another key of 16 characters gives others that are independent."""
     if not words:
         return np.empty(0, dtype=_U)
-    return pd.util.hash_array(np.array(words, dtype=object), categorize=False)
+    return pd.util.hash_array(np.array(words, dtype=object), hash_key=key, categorize=False)
 
 
 _bytes_table = mix64(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))
 
 
+_bytes_again = mix64(_bytes_table ^ _U(0x1234567))
+
+
 def byte_hashes(raw: bytes) -> np.ndarray:
     return _bytes_table[np.frombuffer(raw, dtype=np.uint8)]
 
 
+def byte_hashes_again(raw: bytes) -> np.ndarray:
+    """``again`` of a text's byte hashes, from a table."""
+    return _bytes_again[np.frombuffer(raw, dtype=np.uint8)]
+
+
+def again(h: np.ndarray) -> np.ndarray:
+    """Other hashes of the same items."""
+    return mix64(h ^ _U(0x1234567))
+
+
 def _slide(x: np.ndarray, w: int, pick) -> np.ndarray:
     """pick over each w consecutive values, by doubling."""
     done = 1
@@ -97,12 +119,16 @@ def anchors(grams: np.ndarray, span: int) -> np.ndarray:
 
 def spans_of(mask: np.ndarray) -> np.ndarray:
     """(start, end) of each run of True."""
+    if not mask.any():
+        return np.empty((0, 2), dtype=np.int64)
     edge = np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0]))))
     return edge.reshape(-1, 2)
 
 
 def cover(n: int, starts: np.ndarray, width) -> np.ndarray:
     """Which of n items lie in [s, s + width) for some s."""
+    if not len(starts):
+        return np.zeros(n, dtype=bool)
     marks = np.zeros(n + 1, dtype=np.int32)
     np.add.at(marks, starts, 1)
     np.add.at(marks, np.minimum(starts + width, n), -1)

@@ -1,6 +1,6 @@
 """Burrows-Wheeler transforms of shards and their merge by interleave refinement.
 
-A shard is a run of byte segments, each closed by a byte that no UTF-8 text
+A shard is a run of whole byte segments, each closed by a byte that no UTF-8 text
 holds. Its transform lists, for the sorted rotations, the ``stride`` bytes
 before each. Shards are merged without sorting their suffixes again: the
 interleave starts with the shards one behind another, and each pass deals the
@@ -14,6 +14,8 @@ from __future__ import annotations
 import numpy as np
 
 END = 0xFF
+#: Bytes of a shard.
+SHARD = 1 << 15
 
 
 class Alphabet:
@@ -86,7 +88,8 @@ def merge(shards: list[Shard], depth: int, stride: int) -> tuple[np.ndarray, np.
     symbols = np.concatenate([s.bwt for s in shards])
     starts = np.cumsum([0, *sizes[:-1]])
     suffixes = np.concatenate([s.order + at for s, at in zip(shards, starts)])
-    z = np.repeat(np.arange(len(shards), dtype=np.uint8), sizes)
+    # The fewer bytes a shard's number has, the fewer passes its stable sort takes.
+    z = np.repeat(np.arange(len(shards), dtype=np.min_scalar_type(len(shards))), sizes)
     lcp = np.full(n, -1, dtype=np.int32)
     block = np.zeros(n, dtype=np.int32)
     before = np.empty(n, dtype=symbols.dtype)
@@ -107,28 +110,44 @@ def merge(shards: list[Shard], depth: int, stride: int) -> tuple[np.ndarray, np.
     return merged, lcp
 
 
-def repeats(segments: list[bytes], docs: np.ndarray, starts: np.ndarray, length: int, shards: int = 2, tried: tuple[int, ...] = (5, 4, 2, 1)) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, start) of each ``length``-byte string that also starts earlier in these segments.
+def repeats(segments: list[bytes], docs: np.ndarray, starts: np.ndarray, length: int, who: np.ndarray | None = None, shard: int = SHARD, tried: tuple[int, ...] = (5, 4, 2, 1)) -> np.ndarray:
+    """Segment and offset (two columns) of each ``length``-byte string that also starts earlier.
 
-    Earlier is a smaller doc, or a smaller start in the same one.
+    Earlier is in a smaller doc, or at a smaller start of the same one; ``who``
+    tells documents of equal doc apart, which are not earlier than each other.
+    The segments are cut into shards of about ``shard`` bytes.
     """
     sizes = np.array([len(s) for s in segments], dtype=np.int64)
     total = int(sizes.sum()) + len(segments)
     code = np.frombuffer(b"".join(s + bytes([END]) for s in segments), dtype=np.uint8)
     ends = np.cumsum(sizes + 1)
-    near = ends[np.searchsorted(ends, np.linspace(0, total, shards + 1)[1:-1])]
+    near = ends[np.searchsorted(ends, np.linspace(0, total, max(2, -(-total // shard)) + 1)[1:-1])]
     cuts = sorted({0, *near.tolist(), total})
     parts = [code[a:b] for a, b in zip(cuts, cuts[1:])]
     # A string that wraps around a shard's end holds its closing byte; so does one across segments.
     alphabet = Alphabet(np.concatenate([np.concatenate((p, p[:8])) for p in parts]), length, tried)
     order, lcp = merge([Shard(p, alphabet, length) for p in parts], length, alphabet.stride)
     owner = np.repeat(np.arange(len(segments)), sizes + 1)
-    at = np.arange(total) - np.repeat(np.cumsum(sizes + 1) - (sizes + 1), sizes + 1)
-    _, rank = np.unique(docs, return_inverse=True)
-    place = (rank.astype(np.int64)[owner] << 40) + starts[owner] + at
-    fits = sizes[owner] - at >= length
-    heads = np.flatnonzero(lcp < length)
-    key = np.where(fits[order], place[order], np.iinfo(np.int64).max)
-    least = np.repeat(np.minimum.reduceat(key, heads), np.diff(np.append(heads, total)))
-    late = order[fits[order] & (key > least)]
-    return docs[owner[late]], (starts[owner] + at)[late]
+    at = np.arange(total) - np.repeat(ends - sizes - 1, sizes + 1)
+    # Rows of intervals, without those that are too short or alone.
+    interval = np.cumsum(lcp < length)
+    row = np.flatnonzero((sizes[owner] - at >= length)[order])
+    row = row[np.bincount(interval[row], minlength=interval[-1] + 1)[interval[row]] > 1]
+    if not len(row):
+        return np.empty((0, 2), dtype=np.int64)
+    interval, place = interval[row], order[row]
+    doc, start = docs[owner[place]], starts[owner[place]] + at[place]
+    heads = np.flatnonzero(np.concatenate(([True], interval[1:] != interval[:-1])))
+    late = doc > np.repeat(np.minimum.reduceat(doc, heads), np.diff(np.append(heads, len(row))))
+    # What is left is of each interval's least doc; only where that holds several rows do their starts matter.
+    inner = np.flatnonzero(~late)
+    inner = inner[np.bincount(interval[inner])[interval[inner]] > 1]
+    if len(inner):
+        own = np.unique(docs if who is None else who, return_inverse=True)[1][owner[place[inner]]]
+        inner = inner[order := np.lexsort((start[inner], own, interval[inner]))]
+        own = own[order]
+        first = np.ones(len(inner), dtype=bool)
+        first[1:] = (interval[inner[1:]] != interval[inner[:-1]]) | (own[1:] != own[:-1])
+        least = start[inner][np.maximum.accumulate(np.where(first, np.arange(len(inner)), 0))]
+        late[inner] = start[inner] > least
+    return np.stack((owner[place[late]], at[place[late]]), axis=1)
