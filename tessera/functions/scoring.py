@@ -7,6 +7,7 @@ it, and Python-literal evaluation (see ``operators.convert``).
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -176,16 +177,21 @@ def string_match(content: Column, gold: Column, match_type: str, preprocess: str
     return _answers(content, gold, regex_type, last, unique, score)
 
 
-def accuracy(content: Column, golds: Column, method: Column, cutoff: float = 0.0, match_type: str = "exact_match", preprocess: str | None = None) -> Column:
-    """Best score over the gold answers by the row's method; scores under the cutoff are 0."""
+def accuracy(content: Column, golds: Column, method: Column, cutoff: float = 0.0, match_type: str = "exact_match", preprocess: str | None = None, verified: Column | None = None) -> Column:
+    """Best score over the gold answers by the row's method; scores under the cutoff are 0.
 
-    def one(gold: Column) -> Column:
+    ``verified`` is a column of the rows that holds their ``symbolic_verdicts``,
+    one for each gold answer.
+    """
+
+    def one(gold: Column, i: Column) -> Column:
+        same = None if verified is None else F.get(verified, i)
         by_method = (
             F.when(method == "mcq", mcq(content, gold))
             .when(method == "yes_no", yes_no(content, gold))
-            .when(method == "math", math_score(clean_text(content), clean_text(gold)))
+            .when(method == "math", math_score(clean_text(content), clean_text(gold), same))
             .when(method == "string_matching", string_match(content, gold, match_type, preprocess))
-            .otherwise(default_accuracy(content, gold))
+            .otherwise(default_accuracy(content, gold, verified=same))
         )
         return let(by_method, lambda v: F.when(v >= cutoff, v).otherwise(0.0))
 
@@ -303,15 +309,14 @@ def iou_reward(boxes: Column, gold: Column, how: str = "last") -> Column:
     return F.when(F.size(boxes) > 0, out).otherwise(0.0)
 
 
-def symbolic_equal(answer: Column, gold: Column) -> Column:
-    """Symbolic equality by the optional verifier library; NULL ("not verified") where it is not installed."""
+def symbolic_verdicts(answer: Column, golds: Column) -> Column:
+    """Symbolic equality with each gold answer by the optional verifier library; NULL ("not verified") where it is not installed."""
     import importlib.util
 
     if importlib.util.find_spec("math_verify") is None:
-        return F.lit(None).cast("boolean")
-    import pandas as pd
+        return F.lit(None).cast("array<boolean>")
 
-    @F.pandas_udf("boolean")
+    @F.pandas_udf("array<boolean>")
     def verify(a: pd.Series, b: pd.Series) -> pd.Series:
         from math_verify import parse
         from math_verify import verify as same
@@ -322,6 +327,11 @@ def symbolic_equal(answer: Column, gold: Column) -> Column:
             except Exception:
                 return False
 
-        return pd.Series([one(x, y) for x, y in zip(a, b)])
+        return pd.Series([[one(x, y) for y in ys] if ys is not None else None for x, ys in zip(a, b)])
+
+    return verify(answer, golds)
 
-    return verify(answer, gold)
+
+def symbolic_equal(answer: Column, gold: Column) -> Column:
+    """Symbolic equality with one gold answer; NULL where not verified."""
+    return F.get(symbolic_verdicts(answer, F.array(gold)), 0)

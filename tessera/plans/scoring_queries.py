@@ -21,7 +21,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.concat(F.lit("\\boxed{"), "lang", F.lit("}"))).alias("golds"),
         (F.col("doc_id") % 4).alias("tool_use"),
     )
-    scored = rows.withColumn("accuracy", S.accuracy(F.col("content"), F.col("golds"), F.lit("default")))
+    checked = rows.withColumn("verified", S.symbolic_verdicts(F.col("content"), F.col("golds")))
+    scored = checked.withColumn("accuracy", S.accuracy(F.col("content"), F.col("golds"), F.lit("default"), verified=F.col("verified")))
     return scored.groupBy("eval").agg(F.round(M.accuracy(), 6).alias("accuracy"), F.round(M.accuracy_if(True), 6).alias("accuracy_if_tool_used"), F.round(M.accuracy_if(False), 6).alias("accuracy_if_tool_not_used"))
 
 
@@ -119,7 +120,9 @@ def r_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.query("SELECT o_orderkey, CASE WHEN o_custkey % 9 = o_orderkey % 9 THEN 1.0::DOUBLE ELSE 0.0 END AS score FROM orders")
 def r_math(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = F.concat(F.lit("thus $\\boxed{\\dfrac{"), F.col("o_custkey") % 9 + 1, F.lit("}{2}}$"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", S.math_score(a, F.concat((F.col("o_orderkey") % 9 + 1).cast("string"), F.lit("/2"))).alias("score"))
+    gold = F.concat((F.col("o_orderkey") % 9 + 1).cast("string"), F.lit("/2"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", a.alias("a"), gold.alias("gold"), S.symbolic_equal(a, gold).alias("verified"))
+    return rows.select("o_orderkey", S.math_score(F.col("a"), F.col("gold"), F.col("verified")).alias("score"))
 
 
 @registry.query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '\\boxed{a{' || o_custkey || '}}' WHEN 1 THEN NULL WHEN 2 THEN '\\fbox{' || o_custkey || '}' ELSE '\\boxed ' || o_custkey END AS box, CASE o_orderkey % 4 WHEN 0 THEN 'a{' || o_custkey || '}' WHEN 3 THEN '' || o_custkey END AS inside FROM orders")

@@ -114,3 +114,26 @@ def test_guards_raise(spark):
         policy.sync_buffers(rows, "rank", "slot", 2, 2, 2)
     with pytest.raises(Exception, match="ambiguous"):
         rows.agg(metrics.the_only(F.col("slot"), "prompt_type")).collect()
+
+
+def test_accuracy_uses_the_verifier_where_there_is_one(spark, tmp_path):
+    import importlib
+    import os
+    import sys
+
+    from pyspark import SparkFiles
+
+    stub = tmp_path / "math_verify.py"
+    stub.write_text("def parse(x):\n    return x\n\n\ndef verify(a, b):\n    return float('half' in a and '1/2' in b)\n")
+    rows = spark.createDataFrame([(1, "so \\boxed{half}", ["7", "1/2"]), (2, "so \\boxed{other}", ["1/2"]), (3, None, ["1/2"]), (4, "x", None)], "i int, c string, g array<string>")
+    score = lambda: {r["i"]: r["s"] for r in rows.withColumn("v", S.symbolic_verdicts(F.col("c"), F.col("g"))).select("i", S.accuracy(F.col("c"), F.col("g"), F.lit("math"), verified=F.col("v")).alias("s")).collect()}
+    plain = score()
+    spark.sparkContext.addPyFile(str(stub))
+    importlib.invalidate_caches()
+    try:
+        checked = score()
+    finally:
+        os.remove(SparkFiles.get("math_verify.py"))
+        sys.modules.pop("math_verify", None)
+        importlib.invalidate_caches()
+    assert plain[1] == 0 and checked == plain | {1: 1.0}
