@@ -168,8 +168,8 @@ def flag_segments(rows: DataFrame, heavy: DataFrame, hot: int | None = None, his
     settled = rows.where("settled").select("doc_id", F.col("sh").alias("id"), F.lit(0).cast("long").alias("route"), F.lit(0).alias("kind"))
     fresh = rows.where(~F.col("settled")).drop("settled").withColumn("fresh", F.lit(1))
     if history is not None:
-        keys = fresh.select("g").distinct()
-        fresh = fresh.unionByName(history.hint("merge").join(keys, "g", "left_semi").withColumn("fresh", F.lit(0)))
+        keys = W.store(fresh.select("g").distinct(), "keys")
+        fresh = fresh.unionByName(history.join(W.bounded(keys), "g", "left_semi").withColumn("fresh", F.lit(0)))
     marked = F.broadcast(heavy.select(F.col("g").alias("heavy")))
     dealt = fresh.join(marked, F.col("g") == F.col("heavy"), "left").withColumn("part", F.when(F.col("heavy").isNotNull(), F.col("sh")).otherwise(0))
     left, right = F.shiftright("core", 32), F.col("core").bitwiseAND(0xFFFFFFFF)
