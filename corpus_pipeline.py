@@ -4,9 +4,10 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 it as Parquet to the shared folder and hands what it reads back to the next
 stage. All but the last return the columns of ``documents``.
 
-Nulls and repeats: a null text fails the quality rules; of rows that share a
-``doc_id`` all stay or all go in every filtering stage but near-dedup, which
-keeps that with the least text; columns beyond the usual ones pass through. An empty table runs
+Nulls and repeats: a null text fails the quality rules; rows that share a
+``doc_id`` are judged one by one, but near-dedup keeps one of them, that with
+the least text; rows with a null ``doc_id`` are no duplicates of any; columns
+beyond the usual ones pass through, whatever their names. An empty table runs
 through to an empty packing.
 """
 
@@ -49,7 +50,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The same documents, each secret replaced by a mark; ``n_chars`` follows the text."""
     columns = docs.columns
-    found = secrets.redact(secrets.scan(docs))
+    into = W.free_name(docs, "secrets")
+    found = secrets.redact(secrets.scan(docs, into=into), into=into)
     if "n_chars" in columns:
         found = found.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return found.select(*(F.col(f"`{c}`") for c in columns))
