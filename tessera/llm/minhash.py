@@ -180,9 +180,10 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 
     shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / SHARE).alias("shares"))
-    members = pairs.join(shares, "a").withColumn("share", F.pmod(F.xxhash64("b"), "shares")).join(sets, F.col("b") == F.col("id")).select("a", "share", "b", "big", "grams")
-    heads = shares.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1))).join(sets, F.col("a") == F.col("id")).select("a", "share", F.lit(None).cast("long").alias("b"), F.lit(False).alias("big"), "grams")
-    dealt = heads.unionAll(members).repartition("a", "share").sortWithinPartitions("a", "share", "b")
+    members = pairs.join(shares, "a").select("a", F.pmod(F.xxhash64("b"), "shares").alias("share"), "b", "big", F.col("b").alias("of"))
+    heads = shares.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"), F.lit(None).cast("long").alias("b"), F.lit(False).alias("big"), F.col("a").alias("of"))
+    wanted = W.store(heads.unionAll(members), "comparisons")
+    dealt = sets.join(W.bounded(wanted), F.col("id") == F.col("of")).select("a", "share", "b", "big", "grams").repartition("a", "share").sortWithinPartitions("a", "share", "b")
     return dealt.select("a", "b", "grams", "big").mapInArrow(run, "a long, b long, linked boolean, found array<long>, looks array<long>, diff int, n int")
 
 
@@ -225,13 +226,17 @@ def groups(documents: DataFrame, k: int = 2) -> DataFrame:
     rows, shared = _standing(signed)
     known = rows.where("n > 0 and doc_id is not null")
     classes = W.store(known.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
-    keys = classes.select("rep", "n", F.explode("bands").alias("key"))
-    shared_keys = W.store(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "keys")
-    met = W.store(keys.join(W.bounded(shared_keys), "key").select("key", "size", "rep", "n"), "members")
+    keys = classes.select("rep", F.explode("bands").alias("key"))
+    buckets = W.store(keys.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("size > 1"), "buckets")
+    # Most buckets hold two: these are known from their ends, and only larger ones ask for the keys again.
+    two = buckets.where("size = 2").select("key", "size", F.explode(F.array("lo", "hi")).alias("rep"))
+    large = W.store(buckets.where("size > 2").select("key", "size"), "large-buckets")
+    met = two.unionByName(keys.join(W.bounded(large), "key").select("key", "size", "rep"))
+    met = W.store(met.join(classes.select("rep", "n"), "rep").select("key", "size", "rep", "n"), "members")
     shares = met.groupBy("rep").agg(F.sum("size").alias("shares"))
     pivots = met.join(shares, "rep").groupBy("key").agg(F.max(F.struct("shares", (-F.col("rep")).alias("r"), "n")).alias("p"))
     members = W.store(met.join(pivots.select("key", (-F.col("p.r")).alias("pivot"), F.col("p.n").alias("pivot_n")), "key"), "members")
-    W.drop(met, shared_keys)
+    W.drop(met, buckets, large)
     wanted = W.store(members.select(F.col("rep").alias("id")).distinct().join(classes.select(F.col("rep").alias("id"), F.col("d1").alias("of")), "id"), "wanted")
     sets = _sets(documents, wanted, k)
     if shared:
