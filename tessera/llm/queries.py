@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import _work as W
-from tessera.llm import audit, decontam, html_text, minhash, packing, quality, secrets, substring, suffix, urls, warc
+from tessera.llm import align, audit, decontam, html_text, minhash, packing, quality, secrets, substring, suffix, urls, warc
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +50,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(W.documents(spark, sf_dir))
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment_digest(W.documents(spark, sf_dir))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(W.documents(spark, sf_dir), W.labels(spark, sf_dir))
 
@@ -67,6 +71,7 @@ QUERIES = {
         op8_warc,
         op9_benchmark_decontamination,
         op10_best_fit_packing,
+        op11_cross_tokenizer_alignment,
         op13_filter_audit,
     )
 }
