@@ -5,33 +5,21 @@ permutation to a place in a ring of 2**32. Another permutation is laid on the
 ring, and the j-th coordinate of the signature is its least value over the
 set's places shifted by j: two permutations give every coordinate. Coordinates
 are banded; documents that share a band are candidates, and candidates are
-confirmed on their full sets.
-
-Documents with equal sets are one class from the start. In each bucket the
-classes are compared with one *pivot*, the member that shares most bands with
-others: in a group of near copies that is the text they were made from. Members
-of small buckets (``SMALL`` at most) that then still lie in different
-components are compared with each other. In larger buckets, a member x that is
-not linked to the pivot B can only be linked to y if their differences from B
-overlap: with a = |x ^ B|, b = |y ^ B| and s = |x| + |y|, a link needs
-|(x ^ B) & (y ^ B)| >= (a + b - s/9) / 2, which is more than half of y's
-difference. So a prefix of each difference, added shingles first, is enough to
-find all partners, and a group of n near copies costs about n comparisons
-instead of n squared. Every pair of a bucket is thus compared, excluded by the
-bound, or joined by other links: no link between components is lost.
+confirmed on their full sets, pivot by pivot (``_linking``).
 
 With bands of ``ROWS`` coordinates a pair at the threshold 0.8 misses all
 ``BANDS`` with probability (1 - 0.8**4)**28 = 4e-7; more similar pairs less.
 
 Defined results: null and wordless texts have an empty set and stay alone;
 texts of fewer than k words are one shingle; a null ``doc_id`` is in no group
-and kept; rows that share a ``doc_id`` are one document, for which the set with
-the least digest stands (each row reports its own set's size). Ties go to the
-smallest ``doc_id``. Other columns are ignored. An empty table gives an empty result.
+and kept; rows that share a ``doc_id`` are one document with the links of all
+their sets (each row reports its own set's size). Ties go to the smallest
+``doc_id``. Other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,13 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import _hashing as H
+from tessera.llm import _linking as L
 from tessera.llm import _work as W
 
 BANDS, ROWS = 28, 4
-#: Members of a bucket that are compared with each other.
-SMALL = 12
-#: Members of a pivot that one share compares.
-SHARE = 128
 #: Similarity of a link, in hundredths.
 LINK = 80
 _RING = np.uint32
@@ -99,14 +84,6 @@ def bands_of(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return key
 
 
-def _digest(g: np.ndarray) -> tuple[int, int]:
-    """128 bits that tell sets apart; no order of the shingles matters."""
-    if not len(g):
-        return 0, 0
-    other = np.bitwise_xor.reduce(H.mix64(g ^ np.uint64(0x5851F42D4C957F2D)), keepdims=True)
-    return int(H.signed(H.mix64(g).sum(keepdims=True))[0]), int(H.signed(other)[0])
-
-
 _SIGNED = "doc_id long, n long, d1 long, d2 long, bands array<long>"
 _SIGNED_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
@@ -120,158 +97,72 @@ def signatures(documents: DataFrame, k: int) -> DataFrame:
             for t in b.column("text"):
                 g = shingles(t.as_py(), k)
                 n.append(len(g))
-                one, two = _digest(g)
+                one, two = L.digest(g)
                 d1.append(one)
                 d2.append(two)
                 bands.append(H.signed(bands_of(signature(g))) if len(g) else [])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], schema=_SIGNED_ARROW)
 
-    return documents.select("doc_id", "text").mapInArrow(run, _SIGNED)
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _SIGNED)
 
 
-def _sets(documents: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """The full shingle sets, as sorted 64-bit integers, of the wanted documents (id, d1)."""
-    schema = pa.schema([("id", pa.int64()), ("d1", pa.int64()), ("grams", pa.binary())])
+def candidates(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The different sets, and the buckets of those that share a band."""
+    nodes = L.nodes_of(signed, F.first("bands").alias("bands"))
+    return nodes, L.buckets_of(nodes.select("node", F.explode("bands").alias("key")), nodes)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingles(t.as_py(), k) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([_digest(g)[0] for g in sets], pa.int64()), pa.array([g.tobytes() for g in sets], pa.binary())], schema=schema)
 
-    rows = W.with_ids(documents.select("doc_id", "text"), wanted.select("id"), "left_semi")
-    return rows.mapInArrow(run, "id long, d1 long, grams binary")
+def groups(documents: DataFrame, k: int = 2) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row."""
+    return L.components_of_rows(*linked(documents, k))
 
 
-def _prefixes(base: np.ndarray, other: np.ndarray, both: np.ndarray, linked: bool) -> tuple[np.ndarray, np.ndarray, int]:
-    """Of ``other``'s difference from ``base``: the prefix that any partner of an unlinked member must meet, and, if unlinked itself, the longer one it looks with; and the difference's size."""
-    diff = np.concatenate((other[~both], np.setdiff1d(base, other, assume_unique=True)))
-    n = len(diff)
-    least = (9 * n + len(base) - len(other)) // 18 + 1
-    found = diff[: max(n - least + 1, 0)]
-    if linked:
-        return found, diff[:0], n
-    own = max(1, n - len(other) // 4)
-    return found, diff[: n - own + 1], n
+def linked(documents: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every row's set (doc_id, n, d1, d2), the different sets, and the component of each that has links; all stored."""
+    signed = W.store(signatures(documents, k), "signatures")
+    nodes, buckets = candidates(signed)
+    wanted = buckets.select("node").distinct().join(nodes.select("node", "rep", "d1"), "node")
+    sets = L.sets_of(documents, wanted, shingles, k)
+    roots = L.link(buckets, sets, LINK, L.same_document(signed, nodes))
+    return signed, nodes, roots
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, whether their sets are similar enough, and for ``big`` pairs the prefixes of b's difference from a.
+def keep_one(documents: DataFrame, k: int) -> DataFrame:
+    """The rows without near duplicates: of each group of linked texts the one with the smallest ``doc_id`` stays.
 
-    The members of each a are dealt out over shares of ``SHARE``, and a's own
-    set goes once to every share, ahead of them.
+    Here every text stands for itself: rows that share a ``doc_id`` are linked
+    only where their texts are similar. Rows with a null ``doc_id`` or without
+    words stay. Of rows that repeat an id and a text, one stays.
     """
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_()), ("found", pa.list_(pa.int64())), ("looks", pa.list_(pa.int64())), ("diff", pa.int32()), ("n", pa.int32())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = None
-        for batch in batches:
-            out = []
-            for a, b, grams, big in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("grams"), batch.column("big").to_pylist()):
-                other = np.frombuffer(grams.as_py(), dtype=np.uint64)
-                if b is None:
-                    mine = other
-                    continue
-                hit = mine[np.minimum(np.searchsorted(mine, other), len(mine) - 1)] == other
-                both = int(hit.sum())
-                good = 100 * both >= LINK * (len(mine) + len(other) - both)
-                found, looks, diff = _prefixes(mine, other, hit, good) if big else (mine[:0], mine[:0], 0)
-                out.append((a, b, good, H.signed(found), H.signed(looks), diff, len(other)))
-            columns = list(zip(*out)) if out else [[]] * len(schema)
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
-
-    shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / SHARE).alias("shares"))
-    members = pairs.join(shares, "a").select("a", F.pmod(F.xxhash64("b"), "shares").alias("share"), "b", "big", F.col("b").alias("of"))
-    heads = shares.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"), F.lit(None).cast("long").alias("b"), F.lit(False).alias("big"), F.col("a").alias("of"))
-    wanted = W.store(heads.unionAll(members), "comparisons")
-    dealt = sets.join(W.bounded(wanted), F.col("id") == F.col("of")).select("a", "share", "b", "big", "grams").repartition("a", "share").sortWithinPartitions("a", "share", "b")
-    return dealt.select("a", "b", "grams", "big").mapInArrow(run, "a long, b long, linked boolean, found array<long>, looks array<long>, diff int, n int")
-
-
-def components(links: DataFrame) -> DataFrame:
-    """(id, root): the smallest id that each linked id reaches.
-
-    Labels sink along links and then jump to their label's label, so paths
-    halve each turn; every turn is stored.
-    """
-    both = W.store(links.select("a", "b").unionAll(links.select("b", "a")).distinct(), "links")
-    labels = W.store(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("a"), F.min("b")).alias("root")), "labels")
-    while True:
-        near = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("root").alias("near"))
-        sunk = labels.join(near, F.col("id") == F.col("a")).select("id", "root", F.least("root", "near").alias("new"))
-        old, sunk = labels, W.store(sunk, "sunk")
-        ends = sunk.select(F.col("id").alias("at"), F.col("new").alias("further"))
-        jumped = W.store(sunk.join(ends, F.col("new") == F.col("at"), "left").select("id", F.col("root").alias("was"), F.least("new", F.coalesce("further", "new")).alias("root")), "labels")
-        W.drop(old, sunk)
-        labels = jumped.select("id", "root")
-        labels.stored_at = jumped.stored_at
-        if not jumped.where("was <> root").limit(1).count():
-            W.drop(both)
-            return labels
-
-
-def _standing(signed: DataFrame) -> tuple[DataFrame, bool]:
-    """The signed rows with one set for each doc_id, and whether any doc_id has several rows."""
-    ids = signed.where("n > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.min("d1").alias("least"), F.count("*").alias("rows"))
-    shared = W.store(ids.where("rows > 1").drop("rows"), "shared")
+    signed = W.store(signatures(documents, k), "signatures")
+    nodes, buckets = candidates(signed)
+    wanted = buckets.select("node").distinct().join(nodes.select("node", "rep", "d1"), "node")
+    roots = L.link(buckets, L.sets_of(documents, wanted, shingles, k), LINK)
+    placed = nodes.join(roots, F.col("node") == F.col("id"), "left").select("d1", "d2", "rep", F.coalesce("root", "node").alias("root"))
+    keepers = placed.groupBy("root").agg(F.min(F.struct("rep", "d1", "d2")).alias("k")).select(F.col("k.rep").alias("doc_id"), "k.d1", "k.d2")
+    keepers = W.store(keepers, "keepers")
+    named = signed.where("doc_id is not null")
+    shared = W.store(named.groupBy("doc_id").count().where("count > 1").select("doc_id"), "shared")
+    lost = W.store(named.where("n > 0").select("doc_id", "d1", "d2").join(keepers, ["doc_id", "d1", "d2"], "left_anti").select("doc_id").distinct(), "lost")
     if not shared.limit(1).count():
-        return signed, False
-    one = shared.join(signed, (F.col("doc_id") == F.col("id")) & (F.col("d1") == F.col("least"))).groupBy("id").agg(F.first("least").alias("s1"), F.min("d2").alias("s2"), F.first("bands").alias("s_bands"))
-    stands = signed.join(one, (F.col("doc_id") == F.col("id")) & (F.col("n") > 0), "left")
-    return stands.select("doc_id", "n", *(F.coalesce(f"s{i}", f"d{i}").alias(f"d{i}") for i in (1, 2)), F.coalesce("s_bands", "bands").alias("bands")), True
+        return W.with_ids(documents, lost, "left_anti")
 
-
-def groups(documents: DataFrame, k: int = 2) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row."""
-    signed = W.store(signatures(documents, k), "signatures")
-    rows, shared = _standing(signed)
-    known = rows.where("n > 0 and doc_id is not null")
-    classes = W.store(known.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
-    keys = classes.select("rep", F.explode("bands").alias("key"))
-    buckets = W.store(keys.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("size > 1"), "buckets")
-    # Most buckets hold two: these are known from their ends, and only larger ones ask for the keys again.
-    two = buckets.where("size = 2").select("key", "size", F.explode(F.array("lo", "hi")).alias("rep"))
-    large = W.store(buckets.where("size > 2").select("key", "size"), "large-buckets")
-    met = two.unionByName(keys.join(W.bounded(large), "key").select("key", "size", "rep"))
-    met = W.store(met.join(classes.select("rep", "n"), "rep").select("key", "size", "rep", "n"), "members")
-    shares = met.groupBy("rep").agg(F.sum("size").alias("shares"))
-    pivots = met.join(shares, "rep").groupBy("key").agg(F.max(F.struct("shares", (-F.col("rep")).alias("r"), "n")).alias("p"))
-    members = W.store(met.join(pivots.select("key", (-F.col("p.r")).alias("pivot"), F.col("p.n").alias("pivot_n")), "key"), "members")
-    W.drop(met, buckets, large)
-    wanted = W.store(members.select(F.col("rep").alias("id")).distinct().join(classes.select(F.col("rep").alias("id"), F.col("d1").alias("of")), "id"), "wanted")
-    sets = _sets(documents, wanted, k)
-    if shared:
-        sets = sets.join(wanted, "id").where("d1 = of").dropDuplicates(["id"])
-    sets = W.store(sets.select("id", "grams"), "sets")
-
-    near = lambda x, y: 100 * F.least(x, y) >= LINK * F.greatest(x, y)  # noqa: E731  sizes that a link allows
-    big = F.col("size") > SMALL
-    pairs = W.store(members.where((F.col("rep") != F.col("pivot")) & (big | near(F.col("n"), F.col("pivot_n")))).groupBy(F.col("pivot").alias("a"), F.col("rep").alias("b")).agg(F.max(big).alias("big")), "pairs")
-    judged = W.store(_confirm(pairs, sets), "judged")
-    links = judged.where("linked").select("a", "b")
-    roots = components(links)
-    # Small buckets: members that are not in one component yet, each with each.
-    placed = members.where((F.col("size") > 2) & ~big).join(roots, F.col("rep") == F.col("id"), "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("root"))
-    apart = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    placed = W.store(placed.join(apart, "key", "left_semi"), "apart")
-    other = placed.select("key", F.col("rep").alias("y"), F.col("n").alias("y_n"), F.col("root").alias("y_root"))
-    each = placed.join(other, "key").where((F.col("rep") < F.col("y")) & (F.col("root") != F.col("y_root")) & near(F.col("n"), F.col("y_n"))).select(F.col("rep").alias("a"), F.col("y").alias("b"))
-    # Large ones: members that are not linked to the pivot, with those whose differences meet theirs.
-    # The first element they meet in, at places i and j of their differences, must leave room for enough others.
-    joined = judged.join(roots, F.col("b") == F.col("id"), "left").withColumn("root", F.coalesce("root", "b"))
-    side = lambda c, name: joined.select("a", F.col("root").alias(f"{name}_root"), F.col("b").alias(name), F.col("diff").alias(f"{name}_d"), F.col("n").alias(f"{name}_n"), F.posexplode(c).alias(f"{name}_i", "e"))
-    looks, found = side("looks", "x"), W.store(side("found", "y"), "found")
-    # An element that only one component holds joins nothing new, however many of its members hold it.
-    several = found.groupBy("a", "e").agg(F.min("y_root").alias("lo"), F.max("y_root").alias("hi"))
-    looks = looks.join(several, ["a", "e"]).where((F.col("lo") < F.col("hi")) | (F.col("lo") != F.col("x_root"))).drop("lo", "hi")
-    room = F.least(F.col("x_d") - F.col("x_i"), F.col("y_d") - F.col("y_i"))
-    enough = 18 * room >= 9 * (F.col("x_d") + F.col("y_d")) - (F.col("x_n") + F.col("y_n"))
-    meet = looks.join(found, ["a", "e"]).where((F.col("x_root") != F.col("y_root")) & enough & near(F.col("x_n"), F.col("y_n"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    fresh = W.store(each.unionByName(meet).distinct().withColumn("big", F.lit(False)), "pairs")
-    more = _confirm(fresh, sets).where("linked").select("a", "b")
-    every = W.store(links.unionByName(more), "links")
-    W.drop(members, sets, pairs, judged, placed, found, fresh)
-    roots = components(every)
-    whole = classes.join(roots, F.col("rep") == F.col("id"), "left").select("d1", "d2", F.coalesce("root", "rep").alias("component"))
-    component = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    out = rows.select("doc_id", "n", "d1", "d2").join(whole, ["d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            sets = [shingles(t, k) for t in texts]
+            said = [hashlib.sha256(t.encode()).hexdigest() if t is not None else "" for t in texts]
+            one, two = zip(*map(L.digest, sets)) if sets else ((), ())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(said), pa.array([len(g) for g in sets], pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64())], names=["doc_id", "said", "n", "d1", "d2"])
+
+    several = W.with_ids(documents, shared, "left_semi")
+    texts = several.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, said string, n long, d1 long, d2 long")
+    stay = texts.where("n > 0").join(keepers, ["doc_id", "d1", "d2"], "left_semi").groupBy("doc_id").agg(F.min("said").alias("said"))
+    stay = W.store(stay.unionByName(texts.where("n = 0").select("doc_id", "said").distinct()).select(F.col("doc_id").alias("stay_id"), F.col("said").alias("stay_text")), "stay")
+    whole = F.struct(*(F.col(f"`{c}`") for c in documents.columns))
+    said = F.when(F.col("text").isNull(), "").otherwise(F.sha2("text", 256))
+    rows = several.select(whole.alias("r"), F.col("doc_id").alias("in_id"), said.alias("in_text"))
+    rows = rows.join(W.bounded(stay), (F.col("in_id") == F.col("stay_id")) & (F.col("in_text") == F.col("stay_text")))
+    one = rows.groupBy("in_id", "in_text").agg(F.min_by("r", F.to_json("r")).alias("r")).select("r.*")
+    plain = W.with_ids(documents, W.store(lost.unionByName(shared).distinct(), "lost-or-shared"), "left_anti")
+    return plain.unionByName(one.select(*(F.col(f"`{c}`") for c in documents.columns)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import _work as W
-from tessera.llm import align, audit, decontam, html_text, minhash, packing, quality, secrets, substring, suffix, urls, warc
+from tessera.llm import align, audit, decontam, html_text, minhash, ngram_join, packing, quality, secrets, substring, suffix, urls, warc
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFram
     return align.alignment_digest(W.documents(spark, sf_dir))
 
 
+def op12_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_documents(W.documents(spark, sf_dir))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(W.documents(spark, sf_dir), W.labels(spark, sf_dir))
 
@@ -72,6 +76,7 @@ QUERIES = {
         op9_benchmark_decontamination,
         op10_best_fit_packing,
         op11_cross_tokenizer_alignment,
+        op12_ngram_jaccard_join,
         op13_filter_audit,
     )
 }

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import _segments, bwt, decontam, html_text, minhash, packing, quality, secrets, substring, suffix, urls, warc
+from tessera.llm import _linking, _segments, bwt, decontam, html_text, minhash, packing, quality, secrets, substring, suffix, urls, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -141,9 +141,7 @@ def test_bwt_repeats(shard):
         assert {(docs[i], who[i], starts[i] + j) for i, j in zip(of.tolist(), at.tolist())} == late
 
 
-@pytest.mark.parametrize("small", [2, 12])
-def test_near_dedup(docs, empty, small, monkeypatch):
-    monkeypatch.setattr(minhash, "SMALL", small)
+def test_near_dedup(docs, empty):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.groups(docs.where("doc_id is not null")).collect()}
     sets = {}
     for i, t in fixture_texts():
@@ -167,10 +165,9 @@ def test_near_dedup(docs, empty, small, monkeypatch):
     assert minhash.groups(empty).count() == 0
 
 
-@pytest.mark.parametrize("small, share", [(2, 3), (12, 128)])
-def test_near_dedup_large_buckets(spark, small, share, monkeypatch):
-    monkeypatch.setattr(minhash, "SMALL", small)
-    monkeypatch.setattr(minhash, "SHARE", share)
+@pytest.mark.parametrize("share", [3, 128])
+def test_near_dedup_large_buckets(spark, share, monkeypatch):
+    monkeypatch.setattr(_linking, "SHARE", share)
     rng = random.Random(12)
     rows = []
     for family in range(3):
@@ -202,12 +199,27 @@ def test_near_dedup_large_buckets(spark, small, share, monkeypatch):
 
 
 def test_near_dedup_repeated_ids(spark):
-    a, b = (" ".join(f"{c}{i}" for i in range(50)) for c in "ab")
-    rows = [(1, a), (1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, "other text"), (None, a), (1, None)]
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(50)) for x in "abcd")
+    rows = [(1, a), (1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, "other text"), (None, a), (1, None), (6, c), (7, c + " z"), (7, d), (9, d), (9, ""), (None, None)]
     got = minhash.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert len(got) == 8 and sorted(r["n_shingles"] for r in got if r["doc_id"] == 1) == [0, 49, 49, 49]
-    assert {r["component_id"] for r in got if r["doc_id"] == 1} == {1} and all(r["kept"] for r in got if r["doc_id"] in (1, 4, None))
-    assert sorted(r["component_id"] for r in got if r["doc_id"] in (2, 3)) in ([1, 3], [1, 2])  # one text stands for id 1
+    assert len(got) == len(rows) and sorted(r["n_shingles"] for r in got if r["doc_id"] == 1) == [0, 49, 49, 49]
+    # Two rows of id 1 (and of 7) have different texts: the id has the links of both, and so have its rows without a text.
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(1, 1), (2, 1), (3, 1), (4, 4), (6, 6), (7, 6), (9, 6), (None, None)}
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
+
+
+def test_keep_one_of_shared_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a, "p"), (1, b, "q"), (2, a + " x", "r"), (3, b.upper(), "s"), (4, c, "t"), (4, c + " y", "u"), (4, c, "v"), (5, c + " y", "w"), (6, None, "x"), (6, None, "x"), (1, None, "y"), (None, a, "z"), (None, a, "z"), (7, "", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, extra string").selectExpr("*", "map('k', doc_id) as m", "1 as said", "2 as rep").repartition(4)
+    kept = minhash.keep_one(df, 5)
+    assert kept.columns == df.columns
+    got = sorted(map(repr, kept.select("doc_id", "text").collect()))
+    assert len(got) == 9  # 1 twice, one of 4, the rows without a text that differ, null ids, 7
+    named = {(r["doc_id"], (r["text"] or "")[:1]) for r in kept.collect()}
+    assert named == {(1, "a"), (1, "b"), (4, "c"), (6, ""), (1, ""), (None, "a"), (7, "")}
+    plain = spark.createDataFrame([r for r in rows if r[0] in (2, 3, 5)] + [(8, a, "")], "doc_id long, text string, extra string")
+    assert sorted(r["doc_id"] for r in minhash.keep_one(plain, 5).collect()) == [2, 3, 5]
 
 
 def test_signature_estimates_similarity():
