@@ -9,7 +9,7 @@ from tessera.plans.scoring_queries import flagship
 
 __all__ = ["flagship", "oracles", "queries"]
 
-MODULES = ("scoring_queries", "metric_queries", "policy_queries", "training_queries", "geometry_queries", "conversation_queries", "source_queries", "dataset_queries", "streaming_queries")
+MODULES = ("scoring_queries", "metric_queries", "policy_queries", "training_queries", "geometry_queries", "conversation_queries", "source_queries", "dataset_queries", "streaming_queries", "calls_queries")
 
 
 def _registries():
