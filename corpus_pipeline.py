@@ -5,15 +5,15 @@ it as Parquet to the shared folder and hands what it reads back to the next
 stage. All but the last return the columns of ``documents``.
 
 Nulls and repeats: a null text fails the quality rules; rows that share a
-``doc_id`` are judged one by one, but near-dedup keeps one of them, that with
-the least text; rows with a null ``doc_id`` are no duplicates of any; columns
-beyond the usual ones pass through, whatever their names. An empty table runs
-through to an empty packing.
+``doc_id`` are judged one by one, and near-dedup drops one of them only where
+its own text is linked to one that stays; rows with a null ``doc_id`` are no
+duplicates of any; columns beyond the usual ones pass through, whatever their
+names. An empty table runs through to an empty packing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import _work as W
@@ -29,17 +29,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: that with the smallest id."""
-    judged = W.store(minhash.groups(docs, k=SHINGLE).where("doc_id is not null").select(F.col("doc_id").alias("id"), "kept"), "judged")
-    lost = W.store(judged.where(~F.col("kept")).select("id").distinct(), "lost")
-    left = W.with_ids(docs, lost, "left_anti")
-    shared = W.store(judged.groupBy("id").count().where("count > 1").select("id"), "shared")
-    if not shared.limit(1).count():
-        return left
-    place = W.free_name(docs, "place")
-    one = Window.partitionBy("doc_id").orderBy("text", F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns))))
-    several = W.with_ids(left, shared, "left_semi").withColumn(place, F.row_number().over(one)).where(F.col(place) == 1).drop(place)
-    return W.with_ids(left, shared, "left_anti").unionByName(several)
+    """One text of each near-duplicate group: that with the smallest id."""
+    return minhash.keep_one(docs, SHINGLE)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
