@@ -1,8 +1,8 @@
 """Answer scoring as Column expressions; arrays of texts are handled without UDFs.
 
 Two functions stay outside Catalyst because they run a parser: symbolic
-equality, which needs an optional library and is "not verified" (0) without
-it, and Python-literal evaluation (see ``operators.convert``).
+equality, by an optional library or by ``functions.algebra``, and
+Python-literal evaluation (see ``operators.convert``).
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions import algebra
+
 # Words that count for a choice near them.
 CHOICE_KEYWORDS = ("答案", "选择", "正确", "是", "对", "answer", "correct", "choose", "select", "right", "认为", "应该", "觉得", "think", "believe", "should")
 CHOICE = r"(?<![A-Z])([A-Z])(?=[.,?!:;]|$)"
@@ -310,11 +312,11 @@ def iou_reward(boxes: Column, gold: Column, how: str = "last") -> Column:
 
 
 def symbolic_verdicts(answer: Column, golds: Column) -> Column:
-    """Symbolic equality with each gold answer by the optional verifier library; NULL ("not verified") where it is not installed."""
+    """Symbolic equality with each gold answer: by the optional verifier library, or by identity testing where it is not installed. NULL is "not verified"."""
     import importlib.util
 
     if importlib.util.find_spec("math_verify") is None:
-        return F.lit(None).cast("array<boolean>")
+        return algebra.verdicts(answer, golds)
 
     @F.pandas_udf("array<boolean>")
     def verify(a: pd.Series, b: pd.Series) -> pd.Series:

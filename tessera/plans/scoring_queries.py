@@ -125,6 +125,29 @@ def r_math(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", S.math_score(F.col("a"), F.col("gold"), F.col("verified")).alias("score"))
 
 
+@registry.query("""
+SELECT o_orderkey, (CASE WHEN o_orderkey % 8 = 7 THEN NULL ELSE o_custkey % 3 <> 0 END) AS verified,
+  (CASE WHEN o_orderkey % 8 <> 7 AND o_custkey % 3 <> 0 THEN 1.0 ELSE 0.0 END)::DOUBLE AS score FROM orders""")
+def r_math_symbolic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers that are written otherwise than the gold ones; every third customer's is off by one, and sums in words are not read."""
+    k, off = F.col("o_orderkey") % 8, (F.col("o_custkey") % 3 == 0).cast("long")
+    a, b = F.col("o_custkey") % 50 + 2, F.col("o_orderkey") % 7 + 2
+    say = lambda shape, *parts: F.format_string(shape.replace("%", "%%").replace("#", "%d"), *parts)
+    pairs = [
+        (say("\\boxed{\\dfrac{#}{#}}", 3 * a + off, 3 * b), say("\\frac{#}{#}", a, b)),
+        (say("\\boxed{x^2+#x+#}", 2 * a + off, a * a), say("(x+#)^2", a)),
+        (say("$#.5$", a + off), say("\\frac{#}{2}", 2 * a + 1)),
+        (say("\\boxed{#\\sqrt{2}}", a + off), say("\\sqrt{#}", 2 * a * a)),
+        (say("\\boxed{(#,\\,#)}", a, b + off), say("\\left(\\frac{#}{2}, #\\right)", 2 * a, b)),
+        (say("\\boxed{2^{#}\\cdot 2^{n}}", b + off), say("2^{n+#}", b)),
+        (say("\\boxed{\\{#, #\\}}", b + off, a + 100), say("\\{#,#\\}", a + 100, b)),
+        (say("\\boxed{# and a half}", a), say("\\frac{#}{2}", 2 * a + 1)),
+    ]
+    pick = lambda side: F.element_at(F.array(*(p[side] for p in pairs)), (k + 1).cast("int"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", pick(0).alias("a"), pick(1).alias("gold"))
+    return rows.withColumn("verified", S.symbolic_equal(F.col("a"), F.col("gold"))).select("o_orderkey", "verified", S.math_score(F.col("a"), F.col("gold"), F.col("verified")).alias("score"))
+
+
 @registry.query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '\\boxed{a{' || o_custkey || '}}' WHEN 1 THEN NULL WHEN 2 THEN '\\fbox{' || o_custkey || '}' ELSE '\\boxed ' || o_custkey END AS box, CASE o_orderkey % 4 WHEN 0 THEN 'a{' || o_custkey || '}' WHEN 3 THEN '' || o_custkey END AS inside FROM orders")
 def f_last_boxed(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, c = F.col("o_orderkey") % 4, F.col("o_custkey").cast("string")
