@@ -1,9 +1,10 @@
 """Main-text extraction from flat text blocks.
 
 A page is flattened into its text blocks. Each block is described by its word
-count and link density, those of the blocks before and after it, and whether
-the tags it stands in say article or surroundings; a decision tree says which
-blocks are text. It is trained on a small table, measured on labelled pages that
+count and link density, those of the blocks before and after it, whether it
+stands in an article, and how much of the page's text lies outside the element
+around it that names itself surroundings: of a side bar nearly all, of a form or
+a layout that wraps the page nothing. A decision tree says which blocks are text. It is trained on a small table, measured on labelled pages that
 this module builds, some of which name their parts and some of which do not.
 Kept blocks are joined in page order.
 
@@ -39,6 +40,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Tags of the surroundings, and of the text itself.
 AROUND = frozenset("nav aside footer form menu dialog fieldset".split())
 TEXT = frozenset("article main".split())
+#: Tags and attributes that are believed however much text they hold.
+SURE_TAGS = frozenset("nav aside footer menu dialog".split())
 AROUND_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 # Words in class and id that mark surroundings.
 AROUND_WORDS = frozenset(
@@ -61,7 +64,7 @@ class Block:
     text: str
     words: int
     linked: int
-    around: bool
+    marks: tuple[int, ...]
     within: bool
     heading: bool
 
@@ -77,20 +80,22 @@ def _names_around(name: str, in_text: bool) -> bool:
     return any(w in AROUND_WORDS and not (in_text and w == "header") for w in words)
 
 
-def _marks_around(tag: str, attrs: str, in_text: bool) -> bool:
-    if tag in AROUND or tag == "header" and not in_text:
-        return True
+def _marks_around(tag: str, attrs: str, in_text: bool) -> int:
+    """Whether an element names itself surroundings: 0 not, 1 it says so, 2 for sure."""
+    if tag in SURE_TAGS:
+        return 2
+    said = int(tag in AROUND or tag == "header" and not in_text)
     if not attrs or tag in ("html", "body", "article", "main"):
-        return False
+        return said
     for name, a, b, c in _ATTR.findall(attrs):
         name, value = name.lower(), (a or b or c).lower()
         if name in ("class", "id") and any(_names_around(x, in_text) for x in value.split()):
-            return True
+            said = 1
         if name == "role" and value in AROUND_ROLES:
-            return True
+            said = max(said, 1 if value in ("form", "search") else 2)
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-    return False
+            return 2
+    return said
 
 
 def blocks(page: str) -> list[Block]:
@@ -98,8 +103,10 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
     links: list[str] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, silent, around, within
-    silent = around = within = False
+    stack: list[tuple[str, bool, tuple[int, ...], bool]] = []  # tag, silent, marks, within
+    silent = within = False
+    marks: tuple[int, ...] = ()  # numbers of the elements around that name themselves surroundings, negative where that is sure
+    marked = 0
     anchors = heading = 0
     at, size = 0, len(page)
 
@@ -108,7 +115,7 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                out.append(Block(text, len(_WORD.findall(text)), len(_WORD.findall(html.unescape("".join(links)))), around, within, bool(heading)))
+                out.append(Block(text, len(_WORD.findall(text)), len(_WORD.findall(html.unescape("".join(links)))), marks, within, bool(heading)))
         parts, links = [], []
 
     def take(text: str) -> None:
@@ -118,9 +125,9 @@ def blocks(page: str) -> list[Block]:
                 links.append(text)
 
     def pop(to: int) -> None:
-        nonlocal silent, around, within
+        nonlocal silent, marks, within
         del stack[to:]
-        silent, around, within = stack[-1][1:] if stack else (False, False, False)
+        silent, marks, within = stack[-1][1:] if stack else (False, (), False)
 
     while at < size:
         m = _TOKEN.search(page, at)
@@ -182,10 +189,12 @@ def blocks(page: str) -> list[Block]:
         elif re.fullmatch(r"h[1-6]", tag):
             heading = 1
         silent = silent or tag in SILENT
-        around = around or _marks_around(tag, m[4], within)
+        if said := _marks_around(tag, m[4], within):
+            marked += 1
+            marks = (*marks, marked if said == 1 else -marked)
         within = within or tag in TEXT
-        if tag not in ("a",) and not re.fullmatch(r"(b|i|em|strong|span|font|u|small|code)", tag) or around or silent:
-            stack.append((tag, silent, around, within))
+        if tag not in ("a",) and not re.fullmatch(r"(b|i|em|strong|span|font|u|small|code)", tag) or marks or silent:
+            stack.append((tag, silent, marks, within))
     close()
     return out
 
@@ -239,6 +248,14 @@ def labelled_pages() -> list[str]:
             out.append(page(f"<div>{other(3, 'div')}{links(head, 2, 'div')}</div>{text(6, 'h2')}{text(18)}{text(35)}{text(3)}{text(50)}<div>{other(4, 'h3')}{links(tail, 6, 'div')}</div><div>{other(9, 'div')}{links(2, 1, 'div')}</div>"))
         out.append(page(f"<div>{links(4)}</div>{text(4, 'h1')}{text(30)}{text(22)}<div>{words(3)} <a href='/'>{words(9)}</a></div><div>{words(2)} <a href='/'>{words(12)}</a></div><div>{other(6, 'div')}</div>"))
     out += [page(text(8)), page(text(2)), page(f"{text(3, 'h1')}{text(5)}"), page(f"<article>{text(1)}</article>"), page(f"<div>{links(3)}</div>")]
+    # All of a page inside an element that has the name of surroundings, and comments or notices longer than the text.
+    wraps = ("<form id='main-form'>{}</form>", "<div class='layout sidebar-left'>{}</div>", "<div id='search-results'>{}</div>", "<section class='commentary'>{}</section>", "<div class='page-header'><fieldset>{}</fieldset></div>")
+    out += [p.replace("<body>", "<body>" + w.split("{}")[0]).replace("</body>", w.split("{}")[1] + "</body>") for i, p in enumerate(out) if (w := wraps[i % len(wraps)])]
+    for _ in range(3):
+        many = "".join(f"<div class='comment'>{other(30)}{other(9)}</div>" for _ in range(12))
+        out.append(page(f"{menu()}<div>{text(9, 'h1')}{text(40)}{text(25)}</div><div id='comments'>{many}</div>{foot()}"))
+        out.append(page(f"{menu()}<article>{text(30)}{text(12)}</article><div class='comments'>{other(200)}{other(30)}</div>"))
+        out.append(page(f"<form id='f'>{menu()}<div>{text(6, 'h1')}{body(3)}</div><div class='newsletter'>{other(14)}</div><div id='comments'>{many}</div></form>"))
     return out
 
 
@@ -284,11 +301,32 @@ def default_tree() -> Node:
     return grow(table[:, :-1], table[:, -1], depth=8)
 
 
+def outside(found: list[Block]) -> list[float]:
+    """For each block, the share of unlinked words outside the element around it that names itself surroundings; 0 without one, 1 where it is sure.
+
+    Words of other surroundings do not count as outside. Of several elements
+    around a block the one with most outside counts.
+    """
+    paths: dict[tuple[int, ...], int] = {}  # unlinked words of the blocks with the same marks
+    for b in found:
+        paths[b.marks] = paths.get(b.marks, 0) + b.words - b.linked
+
+    def share(path: tuple[int, ...]) -> float:
+        inside = sum(n for other, n in paths.items() if other[: len(path)] == path)
+        out = sum(n for other, n in paths.items() if len(other) < len(path) and path[: len(other)] == other)
+        return out / (out + inside) if out else 0.0
+
+    known = {(): 0.0}
+    for path in sorted(paths, key=len):
+        known[path] = 1.0 if any(m < 0 for m in path) else max((share(path[: i + 1]) for i in range(len(path))), default=0.0)
+    return [known[b.marks] for b in found]
+
+
 def features(found: list[Block]) -> list[tuple[float, ...]]:
     any_within = float(any(b.within for b in found))
-    empty = Block("", 0, 0, False, False, False)
+    empty = Block("", 0, 0, (), False, False)
     padded = [empty, *found, empty]
-    return [(b.words, b.density, p.words, p.density, n.words, n.density, float(b.around), float(b.within), any_within, float(b.heading)) for p, b, n in zip(padded, found, padded[2:])]
+    return [(b.words, b.density, p.words, p.density, n.words, n.density, around, float(b.within), any_within, float(b.heading)) for p, b, n, around in zip(padded, found, padded[2:], outside(found))]
 
 
 def keeps(tree: Node, row: tuple[float, ...]) -> bool:
