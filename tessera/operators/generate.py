@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions import geometry as G
 from tessera.operators.numbering import numbered
+from tessera.operators.pinned import scratch
 from tessera.operators.policy import draw
 
 # The axes of the grid configurations and the texts of the questions.
 SIZES, GRIDS = (1024, 2048, 4096, 8192), (1, 2, 4, 8, 16)
 PREAMBLE = "In the image you see a grid, whose cells are numbered from left to right and top to bottom. In each cell, the cell's index is printed in the upper left corner. "
+#: Least side of a free-floating box.
+MIN_SIDE = 28
 CLASSES = ("Muffin", "Chihuahua")
 OUTLIER = "In all cells except one you see a Chihuahua. Which cell does not contain a Chihuahua, but a Muffin?\nAnswer only with the cell number."
 
@@ -80,24 +84,25 @@ def _bbox() -> Column:
     return G.cell_box(F.col("cell"), F.col("grid_size"), F.floor(F.col("big_image_size") / F.col("grid_size")).cast("int"))
 
 
-def candidates(rows: DataFrame, key: str, ref: str, width: str, height: str, target: float, tries: int, seed: int = 0) -> DataFrame:
+def candidates(rows: DataFrame, key: str, ref: str, width: str, height: str, target: float, tries: int, seed: int = 0, min_side: int = MIN_SIDE) -> DataFrame:
     """``tries`` candidate boxes a row that aim at an IoU of ``target`` with the reference box.
 
-    For a target of 0 boxes float freely (sides of 2 pixels to 60 % of the
-    image); else the size is drawn around the reference, the overlap's width is
+    For a target of 0 boxes float freely (sides of ``min_side`` pixels to 60 %
+    of the image); else the size is drawn around the reference, the overlap's width is
     drawn, its height solved, and the box laid to a drawn side.
     """
     tried = rows.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
-    return _proposed(tried, key, ref, width, height, target, seed).where("cand is not null")
+    return _proposed(tried, key, ref, width, height, target, seed, min_side).where("cand is not null")
 
 
-def _proposed(tried: DataFrame, key: str, ref: str, width: str, height: str, target: float, seed: int) -> DataFrame:
+def _proposed(tried: DataFrame, key: str, ref: str, width: str, height: str, target: float, seed: int, min_side: int) -> DataFrame:
     """The candidate of each row's ``attempt``, NULL where it is rejected."""
     r = F.col(ref)
     w, h = F.col(width), F.col(height)
     u = lambda name: draw(f"{seed}{name}", key, "attempt")
     if target == 0:
-        side = lambda size, d: (2 + F.floor(d * (F.greatest(F.lit(2), (size * 0.6).cast("int")) - 1))).cast("int")
+        least = lambda size: F.greatest(F.lit(2), F.least(F.lit(min_side), size))
+        side = lambda size, d: (least(size) + F.floor(d * (F.greatest(least(size), (size * 0.6).cast("int")) - least(size) + 1))).cast("int")
         tried = tried.withColumn("_w", side(w, u("w"))).withColumn("_h", side(h, u("h")))
         x, y = F.floor(u("x") * (w - F.col("_w") + 1)).cast("int"), F.floor(u("y") * (h - F.col("_h") + 1)).cast("int")
         return tried.withColumn("cand", G.box(x, y, x + F.col("_w"), y + F.col("_h"))).drop("_w", "_h")
@@ -122,7 +127,7 @@ def _proposed(tried: DataFrame, key: str, ref: str, width: str, height: str, tar
 
 
 def negative_boxes(
-    rows: DataFrame, key: str, ref: str, width: str, height: str, target: float, tolerance: float = 0.05, tries: int = 64, seed: int = 0, others: str | None = None, threshold: float = 0.05, max_tries: int = 5000
+    rows: DataFrame, key: str, ref: str, width: str, height: str, target: float, tolerance: float = 0.05, tries: int = 8, seed: int = 0, others: str | None = None, threshold: float = 0.05, max_tries: int = 5000, min_side: int = MIN_SIDE
 ) -> DataFrame:
     """The best candidate of each row: first one within tolerance, else the nearest to the target.
 
@@ -133,9 +138,22 @@ def negative_boxes(
     candidate within tolerance allows it. Rows without such a candidate among
     ``tries`` go through further, larger rounds, up to ``max_tries``: the
     result is the same as that of all tries at once. Keys are unique.
+
+    At a target of 0 only boxes that do not overlap the reference box are within
+    tolerance, and no side is below ``min_side`` pixels. Beside a reference box
+    that is the whole image there is no room: it gets a box of ``min_side``.
     """
     if target == -1:
         return rows.select(key, F.col(ref).alias("bbox"), F.lit(0.0).alias("error"))
+    if target == 0:
+        r = F.col(ref)
+        whole = F.coalesce((r["x1"] <= 0) & (r["y1"] <= 0) & (r["x2"] >= F.col(width)) & (r["y2"] >= F.col(height)), F.lit(False))
+        least = F.struct(*(F.least(F.lit(min_side), F.col(c)) for c in (width, height)))
+        u = lambda name: draw(f"{seed}{name}", key, "attempt")
+        corner = rows.where(whole).withColumn("attempt", F.lit(0)).withColumn("_s", least)
+        x, y = F.floor(u("x") * (F.col(width) - F.col("_s.col1") + 1)).cast("int"), F.floor(u("y") * (F.col(height) - F.col("_s.col2") + 1)).cast("int")
+        corner = corner.withColumn("cand", G.box(x, y, x + F.col("_s.col1"), y + F.col("_s.col2"))).select(key, F.col("cand").alias("bbox"), G.overlap_int(F.col(ref), F.col("cand")).alias("error"))
+        rows, tolerance = rows.where(~whole), 0.0
     error = F.abs(G.overlap_int(F.col(ref), F.col("cand")) - target)
     digits = F.lit(0)
     for c in ("x1", "y1", "x2", "y2"):
@@ -147,19 +165,24 @@ def negative_boxes(
         (~ok).cast("int").alias("o"), F.when(ok, (digits > 0).cast("int")).otherwise(0).alias("d"), F.when(ok, 0.0).otherwise(error).alias("e"), F.col("attempt").alias("t"), F.col("cand").alias("bbox"), error.alias("error")
     )
     kept = list(dict.fromkeys([ref, width, height, *([others] if others else [])]))
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number stays: the rows are few, their candidates many
-    state, best, first, size = rows.select(key, *kept).repartition(parts, key), None, 0, tries
-    while first < max_tries:
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a given number stays: the rows are few, their candidates many
+    best = T.StructType([T.StructField("o", T.IntegerType()), T.StructField("d", T.IntegerType()), T.StructField("e", T.DoubleType()), T.StructField("t", T.IntegerType()), T.StructField("bbox", rows.schema[ref].dataType), T.StructField("error", T.DoubleType())])
+    left, out, first, size = rows.select(key, *kept, F.lit(None).cast(best).alias("_best")), None, 0, tries
+    while True:
         last = min(first + size, max_tries) - 1
-        attempts = F.sequence(F.lit(first), F.lit(last))
-        if best is not None:
-            # A later attempt cannot beat a found one; one is tried so that the row stays.
-            found = F.coalesce((F.col("_best.o") == 0) & (F.col("_best.d") == 0), F.lit(False))
-            attempts = F.when(found, F.array(F.lit(first))).otherwise(attempts)
-        tried = _proposed(state.withColumn("attempt", F.explode(attempts)), key, ref, width, height, target, seed)
-        tried = tried.withColumn("_new", F.when(F.col("cand").isNotNull(), made))
-        new = F.min("_new")
-        best = new if best is None else F.least(F.any_value("_best"), new)
-        state = tried.groupBy(key).agg(*(F.any_value(c).alias(c) for c in kept), best.alias("_best"))
-        first, size = last + 1, size * 9
-    return state.select(key, "_best.bbox", "_best.error")
+        tried = left.repartition(parts, key).withColumn("attempt", F.explode(F.sequence(F.lit(first), F.lit(last))))
+        tried = _proposed(tried, key, ref, width, height, target, seed, min_side).withColumn("_new", F.when(F.col("cand").isNotNull(), made))
+        state = tried.groupBy(key).agg(*(F.any_value(c).alias(c) for c in kept), F.least(F.any_value("_best"), F.min("_new")).alias("_best"))
+        path = scratch(spark, "boxes")
+        state.write.parquet(path)
+        state = spark.read.schema(state.schema).parquet(path)
+        first, size = last + 1, size * 4
+        # Only boxes that are still open are carried on: a later attempt cannot beat a found one.
+        found = F.coalesce((F.col("_best.o") == 0) & (F.col("_best.d") == 0), F.lit(False))
+        left = state.where(~found)
+        over = first >= max_tries or not left.limit(1).count()
+        part = (state if over else state.where(found)).select(key, "_best.bbox", "_best.error")
+        out = part if out is None else out.unionByName(part)
+        if over:
+            return out if target else out.unionByName(corner)

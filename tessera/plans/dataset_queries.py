@@ -341,6 +341,23 @@ def b_negative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.negative_boxes(rows, "k", "ref", "w", "h", 0.3, others="others").select("k", "bbox.*", F.round("error", 6).alias("error"))
 
 
+@query(f"""
+WITH {_REFS}, t AS (SELECT k, px, py, unnest(range(400))::INT AS attempt FROM refs WHERE k % 10 <> 0),
+s AS (SELECT *, 28 + floor({_u("w")} * 573)::INT AS w2, 28 + floor({_u("h")} * 453)::INT AS h2, {_u("x")} AS ux, {_u("y")} AS uy FROM t),
+p AS (SELECT k, px, py, attempt, floor(ux * (1001 - w2))::INT AS x1, floor(uy * (801 - h2))::INT AS y1, floor(ux * (1001 - w2))::INT + w2 AS x2, floor(uy * (801 - h2))::INT + h2 AS y2 FROM s),
+e AS (SELECT *, {_shared("px")} AS error, length('' || px) <> length('' || x1) OR length('' || py) <> length('' || y1) OR length('' || (px + 200)) <> length('' || x2) OR length('' || (py + 150)) <> length('' || y2) AS digits FROM p),
+b AS (SELECT k, min({{'o': (error > 0)::INT, 'd': (error = 0 AND digits)::INT, 'e': error, 't': attempt, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}) AS b FROM e GROUP BY k),
+w AS (SELECT k, floor({_u("x")} * 973)::INT AS x1, floor({_u("y")} * 773)::INT AS y1 FROM (SELECT k, 0 AS attempt FROM refs WHERE k % 10 = 0))
+SELECT k, b.x1, b.y1, b.x2, b.y2, round(b.e, 6) AS error FROM b UNION ALL SELECT k, x1, y1, x1 + 28, y1 + 28, round(784 / 800000.0::DOUBLE, 6) FROM w""")
+def b_negative_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes that do not overlap the reference box; every tenth of these is the whole image."""
+    from tessera.functions import geometry as G
+
+    whole = G.box(F.lit(0), F.lit(0), F.col("w"), F.col("h"))
+    rows = _refs(spark, sf_dir).withColumn("ref", F.when(F.col("k") % 10 == 0, whole).otherwise(F.col("ref")))
+    return N.negative_boxes(rows, "k", "ref", "w", "h", 0.0, max_tries=400).select("k", "bbox.*", F.round("error", 6).alias("error"))
+
+
 def _refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.functions import geometry as G
 
