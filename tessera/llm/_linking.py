@@ -4,18 +4,26 @@ Equal sets are one *node* from the start. Candidates come as buckets: nodes that
 share a key. Every pair of a bucket has to be compared, unless other links join
 it or a bound excludes it; comparing all of them would cost the square of a
 bucket's size. Each round compares a bucket's *pivot*, its member of the first
-rank, with all others. What then still lies in several components goes on:
-for x and y that share a bucket with pivot B, and are not in one component, at
-least one, say x, is not similar to B. Write a = |x ^ B|, b = |y ^ B| and
-s = |x| + |y|. A link at T hundredths needs
-
-    |(x ^ B) & (y ^ B)| >= (a + b - s * (100 - T) / (100 + T)) / 2
-
-which is more than half of y's difference, and at least a - |x| * (100 - T) / T
-of x's. So a prefix of each difference, added members first, must meet. Nodes
-whose prefixes share a member are a bucket of the next round, keyed by B and
-that member. Its pivot ranks behind B, so rounds end; groups of n near copies
-cost about n comparisons, and no link between components is lost.
+rank, with all others. What then still lies in several components goes on by
+its differences from a *centre* C, the majority of some of the pivot's members:
+near copies of one text differ from it in their own edits only.
+
+With p = 100 - T, q = 100 + T and T the threshold in hundredths, x and y are
+similar if q * |x ^ y| <= p * (|x| + |y|). Write g(x) = q * |x ^ C| - p * |x|;
+as |x ^ y| = |x ^ C| + |y ^ C| - 2 m, with m = |(x ^ C) & (y ^ C)|, that is
+g(x) + g(y) <= 2 q m. Let o be the member of the least g.
+
+* If g(x) + g(o) <= 0, x is similar to o without a look at their sets.
+* Any other x needs m >= (g(x) + g(o)) / 2q > 0 with every partner y, and y
+  needs m > (g(y) - g(o)) / 2q with every such x. So prefixes of both
+  differences, in one order, must meet.
+
+Members whose prefixes share an element are compared with each other where they
+are at most ``DIRECT``, so that a member meets no more than that many others by
+it. Where more share an element they are a bucket of the next round. They rank
+behind the pivot and agree on that element, so the next centre has it too:
+rounds end after as many steps as edits were made upon edits, groups of n near
+copies cost about n comparisons, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -30,8 +38,10 @@ from pyspark.sql import functions as F
 from tessera.llm import _hashing as H
 from tessera.llm import _work as W
 
-#: Members of a pivot that one share compares.
-SHARE = 128
+#: Members of a pivot that one share compares, and about how many settle a centre.
+SHARE, VOTES = 128, 48
+#: Members that share an element and are compared with each other.
+DIRECT = 256
 
 
 def digest(grams: np.ndarray) -> tuple[int, int]:
@@ -69,13 +79,15 @@ def sets_of(documents: DataFrame, wanted: DataFrame, shingles, k: int) -> DataFr
     return W.store(stored.join(W.bounded(twice), "node", "left_anti").unionByName(one), "sets")
 
 
-def _dealt(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Rows (a, b, grams) of ``sets``: a's own set once ahead of every share of the b that it is compared with."""
+def _dealt(pairs: DataFrame, sets: DataFrame, centres: DataFrame | None = None) -> DataFrame:
+    """Rows (a, b, grams): the sets of each a's members b, in shares, and ahead of every share a's own set, or its centre (a, grams)."""
     shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / SHARE).alias("shares"))
     members = pairs.join(shares, "a").select("a", F.pmod(F.xxhash64("b"), "shares").alias("share"), "b", F.col("b").alias("of"))
     heads = shares.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"), F.lit(None).cast("long").alias("b"), F.col("a").alias("of"))
-    wanted = W.store(heads.unionAll(members), "comparisons")
+    wanted = W.store(members if centres is not None else heads.unionAll(members), "comparisons")
     dealt = sets.join(W.bounded(wanted), F.col("node") == F.col("of")).select("a", "share", "b", "grams")
+    if centres is not None:
+        dealt = dealt.unionByName(heads.join(centres, "a").select("a", "share", "b", "grams"))
     return dealt.repartition("a", "share").sortWithinPartitions("a", "share", "b").select("a", "b", "grams")
 
 
@@ -89,7 +101,8 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int
             if b is None:
                 mine = other
             else:
-                out.append((a, b, mine, other, mine[np.minimum(np.searchsorted(mine, other), len(mine) - 1)] == other))
+                hit = mine[np.minimum(np.searchsorted(mine, other), len(mine) - 1)] == other if len(mine) else np.zeros(len(other), dtype=bool)
+                out.append((a, b, mine, other, hit))
         yield out
 
 
@@ -109,33 +122,64 @@ def links_of(pairs: DataFrame, sets: DataFrame, link: int) -> DataFrame:
     return _dealt(pairs, sets).mapInArrow(run, "a long, b long")
 
 
-def prefixes(base: np.ndarray, other: np.ndarray, both: np.ndarray, linked: bool, link: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of ``other``'s difference from ``base``: the prefix that any partner not similar to base must meet, and, if ``other`` itself is not, the one it must meet a partner with."""
-    diff = np.concatenate((other[~both], np.setdiff1d(base, other, assume_unique=True)))
-    n, p, q = len(diff), 100 - link, 100 + link
-    least = max(1, (q * n + p * (len(base) - len(other))) // (2 * q) + 1)
-    found = diff[: max(n - least + 1, 0)]
-    if linked:
-        return found, diff[:0]
-    own = max(1, n - p * len(other) // link)
-    return found, diff[: n - own + 1]
+def _centres(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, grams): what most of some ``VOTES`` members of a have; stored."""
+    schema = pa.schema([("a", pa.int64()), ("grams", pa.binary())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, held = None, []
+
+        def vote() -> pa.RecordBatch:
+            grams, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array([of]), pa.array([grams[2 * n > len(held)].tobytes()], pa.binary())], schema=schema)
+
+        for batch in batches:
+            for a, grams in zip(batch.column("a").to_pylist(), batch.column("grams")):
+                if a != of and held:
+                    yield vote()
+                    held = []
+                of = a
+                held.append(np.frombuffer(grams.as_py(), dtype=np.uint64))
+        if held:
+            yield vote()
+
+    shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / VOTES).alias("shares"), F.min("b").alias("first"))
+    some = pairs.join(shares, "a").where((F.pmod(F.xxhash64("b"), "shares") == 0) | (F.col("b") == F.col("first"))).select("a", "b")
+    voters = W.store(some, "voters")
+    dealt = sets.join(W.bounded(voters), F.col("node") == F.col("b")).select("a", "b", "grams").repartition("a").sortWithinPartitions("a", "b")
+    return W.store(dealt.select("a", "grams").mapInArrow(run, "a long, grams binary"), "centres")
 
-def _meeting(pairs: DataFrame, sets: DataFrame, link: int) -> DataFrame:
-    """(a, e, node, looks): members e of the prefixes of each b's difference from a."""
-    schema = pa.schema([("a", pa.int64()), ("e", pa.int64()), ("node", pa.int64()), ("looks", pa.bool_())])
+
+def _differences(pairs: DataFrame, sets: DataFrame, link: int) -> DataFrame:
+    """(a, node, e, i, size, g): the elements of each b's difference from a's centre in order, its size, and g. Members without one have a row of place -1. Stored."""
+    schema = pa.schema([("a", pa.int64()), ("node", pa.int64()), ("e", pa.int64()), ("i", pa.int64()), ("size", pa.int64()), ("g", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _compared(batches):
             out = []
-            for a, b, x, y, hit in rows:
-                found, looks = prefixes(x, y, hit, similar(x, y, int(hit.sum()), link), link)
-                e = found if len(found) >= len(looks) else looks  # one is a prefix of the other
-                out.append((np.full(len(e), a), H.signed(e), np.full(len(e), b), np.arange(len(e)) < len(looks)))
+            for a, b, centre, x, hit in rows:
+                diff = np.concatenate((x[~hit], np.setdiff1d(centre, x, assume_unique=True)))
+                n = len(diff)
+                full = lambda v: np.full(n + 1, v, dtype=np.int64)  # noqa: B023,E731
+                out.append((full(a), full(b), np.append(H.signed(diff), 0), np.append(np.arange(n), -1), full(n), full((100 + link) * n - (100 - link) * len(x))))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], schema=schema)
 
-    return _dealt(pairs, sets).mapInArrow(run, "a long, e long, node long, looks boolean")
+    return W.store(_dealt(pairs, sets, _centres(pairs, sets)).mapInArrow(run, "a long, node long, e long, i long, size long, g long"), "differences")
+
+
+def _prefixes(differences: DataFrame, link: int) -> tuple[DataFrame, DataFrame]:
+    """(a, e, node, i, size, g, looks): the prefixes that partners must meet in; and (a, b): links that follow from the differences' sizes."""
+    q2 = 2 * (100 + link)
+    ends = differences.where("i = -1").select("a", "node", "g")
+    first = W.store(ends.groupBy("a").agg(F.min(F.struct("g", "node")).alias("o")).select("a", F.col("o.g").alias("g0"), F.col("o.node").alias("o")), "nearest")
+    placed = differences.where("i >= 0").join(W.bounded(first), "a")
+    far = F.col("g") + F.col("g0") > 0
+    looks = far & (F.col("i") <= F.col("size") + F.floor(-(F.col("g") + F.col("g0")) / q2))
+    found = F.col("i") < F.col("size") - F.floor((F.col("g") - F.col("g0")) / q2)
+    met = placed.where(looks | found).select("a", "e", "node", "i", "size", "g", looks.alias("looks"))
+    sure = ends.join(W.bounded(first), "a").where(~far & (F.col("node") != F.col("o"))).select(F.col("o").alias("a"), F.col("node").alias("b"))
+    return met, sure
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -175,7 +219,7 @@ def buckets_of(keys: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def link(buckets: DataFrame, sets: DataFrame, least: int, given: DataFrame | None = None) -> DataFrame:
     """(id, root) of every node that has links, at ``least`` hundredths, or ``given`` ones (a, b); stored."""
-    sizes = buckets.select("node", "n", "shares").distinct()
+    sizes = W.store(buckets.select("node", "n", "shares").distinct(), "sizes")
     near = 100 * F.least("n", "p.n") >= least * F.greatest("n", "p.n")  # sizes that a link allows
     roots, links = None, given
     while True:
@@ -196,14 +240,28 @@ def link(buckets: DataFrame, sets: DataFrame, least: int, given: DataFrame | Non
         W.drop(*(x for x in (members, asked, before) if x is not None and x is not given))
         if not left.limit(1).count():
             return roots
-        meeting = W.store(_meeting(left, sets, least), "meeting")
-        placed = meeting.join(roots, F.col("node") == F.col("id"), "left").withColumn("root", F.coalesce("root", "node"))
-        apart = placed.groupBy("a", "e").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("looks").alias("looks")).where("lo < hi and looks").select("a", "e")
-        new = meeting.join(apart, ["a", "e"], "left_semi").select(F.xxhash64("a", "e").alias("key"), "node")
+        differences = _differences(left, sets, least)
+        meeting, sure = _prefixes(differences, least)
+        meeting = W.store(meeting, "meeting")
+        sure = W.store(sure, "sure")
+        W.drop(differences)
+        placed = meeting.join(roots, F.col("node") == F.col("id"), "left").withColumn("root", F.coalesce("root", "node")).drop("id")
+        apart = placed.groupBy("a", "e").agg(F.count("*").alias("members"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("looks").alias("looks")).where("lo < hi and looks").select("a", "e", "members")
+        apart = W.store(apart, "apart")
+        few = W.store(placed.join(W.bounded(apart.where(F.col("members") <= DIRECT)), ["a", "e"]), "few")
+        side = lambda n: few.select("a", "e", *(F.col(c).alias(f"{n}_{c}") for c in ("node", "i", "size", "g", "root", "looks")))
+        # The first element they share must leave room for all that they need.
+        room = 2 * (100 + least) * F.least(F.col("x_size") - F.col("x_i"), F.col("y_size") - F.col("y_i")) >= F.col("x_g") + F.col("y_g")
+        met = side("x").where("x_looks").join(side("y"), ["a", "e"]).where((F.col("x_root") != F.col("y_root")) & room)
+        fresh = W.store(met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct(), "pairs")
+        more = links_of(fresh, sets, least)
+        before, links = links, W.store(links.unionByName(more).unionByName(sure), "links")
+        W.drop(before, few, fresh, sure)
+        new = meeting.join(W.bounded(apart.where(F.col("members") > DIRECT)), ["a", "e"]).select(F.xxhash64("a", "e").alias("key"), "node")
         old, buckets = buckets, W.store(new.join(sizes, "node").select("key", "node", "n", "shares"), "buckets")
-        W.drop(left, meeting)
+        W.drop(old, left, meeting, apart)
         if not buckets.limit(1).count():
-            return roots
+            return components(links)
 
 
 def same_document(rows: DataFrame, nodes: DataFrame) -> DataFrame | None:

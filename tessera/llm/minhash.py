@@ -157,7 +157,7 @@ def keep_one(documents: DataFrame, k: int) -> DataFrame:
 
     several = W.with_ids(documents, shared, "left_semi")
     texts = several.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, said string, n long, d1 long, d2 long")
-    stay = texts.where("n > 0").join(keepers, ["doc_id", "d1", "d2"], "left_semi").groupBy("doc_id").agg(F.min("said").alias("said"))
+    stay = texts.where("n > 0").join(keepers, ["doc_id", "d1", "d2"], "left_semi").groupBy("doc_id", "d1", "d2").agg(F.min("said").alias("said")).select("doc_id", "said")
     stay = W.store(stay.unionByName(texts.where("n = 0").select("doc_id", "said").distinct()).select(F.col("doc_id").alias("stay_id"), F.col("said").alias("stay_text")), "stay")
     whole = F.struct(*(F.col(f"`{c}`") for c in documents.columns))
     said = F.when(F.col("text").isNull(), "").otherwise(F.sha2("text", 256))

@@ -158,9 +158,10 @@ def candidates(documents: DataFrame, signed: DataFrame, k: int = WORDS, link: in
     least, from_, rare = least_to_link(link), long_from(link), RARE
     nodes = L.nodes_of(signed)
     seen = token_rows(signed, link).groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
-    shared = seen.where("lo < hi").select(F.lit(True).alias("several"), F.col("token").alias("of"), F.lit(0).alias("long_index"), "n")
-    alone = seen.where("lo = hi").groupBy(F.col("lo").alias("of"), F.col("token").bitwiseAND(1).cast("int").alias("long_index")).agg(F.count("*").alias("n")).select(F.lit(False).alias("several"), "of", "long_index", "n")
-    told = W.store(shared.unionByName(alone), "tokens")
+    several = F.col("lo") < F.col("hi")
+    # A token of several sets stays; those of one set alone are counted by its digest. One pass over the tokens does both.
+    named = seen.select(several.alias("several"), F.when(several, F.col("token")).otherwise(F.col("lo")).alias("of"), F.when(several, 0).otherwise(F.col("token").bitwiseAND(1).cast("int")).alias("long_index"), F.when(several, F.col("n")).otherwise(1).alias("n"))
+    told = W.store(named.groupBy("several", "of", "long_index").agg(F.sum("n").alias("n")), "tokens")
     shared, alone = told.where("several").select(F.col("of").alias("token"), F.col("n").alias("times")), told.where("not several").select("of", "long_index", F.col("n").alias("own"))
     # A set is open in an index unless it has more than d tokens of its own there.
     fits = F.when(F.col("long_index") == 0, F.col("n") <= SHORT).otherwise(F.col("n") >= from_)
