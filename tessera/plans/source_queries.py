@@ -6,12 +6,15 @@ import io
 import zipfile
 
 import pandas as pd
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.pinned import scratch
 from tessera.plans.registry import Registry, table
+from tessera.sources import datasets as D
 from tessera.sources import readers as R
+from tessera.sources import units as U
 
 registry = Registry()
 query = registry.query
@@ -142,3 +145,45 @@ def exist_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
         written = R.write_output(part.select("n_nationkey", (F.col("n_regionkey") + 100).alias("v")), path, "skip" if skip else "overwrite")
         parts.append(spark.read.parquet(path).withColumn("skipped", F.lit(not written)))
     return parts[0].unionByName(parts[1])
+
+
+@query("""
+SELECT 'unit ' || n_regionkey || '/é' AS unit, count(*) AS n, count(*) AS marked, sum(n_nationkey)::BIGINT AS keys, 0::BIGINT AS after_failure, n_regionkey = 0 AS first FROM nation GROUP BY n_regionkey""")
+def unit_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A job that fails on one unit's last row leaves no marker; then one unit is written, then those that are missing."""
+    unit = F.concat(F.lit("unit "), F.col("n_regionkey"), F.lit("/é"))
+    rows, path = table(spark, sf_dir, "nation").select(unit.alias("unit"), "n_nationkey", "n_name").repartition(4, "n_nationkey"), scratch(spark, "units")
+    broken = rows.withColumn("n_name", F.when((F.col("unit") == "unit 3/é") & (F.col("n_nationkey") > 20), F.raise_error(F.lit("lost")).cast("string")).otherwise(F.col("n_name")))
+    try:
+        U.write_units(broken, path, "unit")
+        raise AssertionError("the broken job has ended well")
+    except PySparkException:
+        after = U.done_units(spark, path).count()
+    U.write_units(rows.where("unit = 'unit 0/é'"), path, "unit")
+    first = U.done_units(spark, path).select("unit", F.lit(True).alias("first"))
+    U.write_missing(rows, path, "unit")
+    back = U.read_units(spark, path, "unit string, n_nationkey long, n_name string").groupBy("unit").agg(F.count("*").alias("n"), F.sum("n_nationkey").alias("keys"))
+    marked = U.done_units(spark, path).select("unit", F.col("rows").alias("marked"))
+    return back.join(marked, "unit").join(first, "unit", "left").select("unit", "n", "marked", "keys", F.lit(after).cast("long").alias("after_failure"), F.coalesce("first", F.lit(False)).alias("first"))
+
+
+@query("""
+SELECT 'hr_bench_4k' AS dataset, count(*) AS n, min(source) AS image, min(lang) AS solution FROM (SELECT source, 'A' AS lang FROM documents)
+UNION ALL SELECT 'mme_lite', count(*), min(source), min(lang) FROM documents WHERE doc_id % 4 < 3
+UNION ALL SELECT 'visual_probe_train', count(*), 'root/data/' || min(source), min(lang) FROM documents""")
+def dataset_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One dataset of each layout, from files made of the documents; of the sharded one three of four shards."""
+    docs, root = table(spark, sf_dir, "documents"), scratch(spark, "datasets")
+    docs.selectExpr("concat('q', doc_id) AS question", "lang AS A", "source AS B", "doc_id AS C", "CAST(NULL AS STRING) AS D", "source AS image", "'A' AS answer").write.parquet(f"{root}/hr/images.parquet")
+    for i in range(D.KNOWN["mme_lite"].shards):
+        part = docs.where(F.col("doc_id") % 4 == i)
+        part.selectExpr("concat('q', doc_id) AS question", "array(lang, source) AS `multi-choice options`", "source AS image", "lang AS answer").write.parquet(f"{root}/mme/images_{i}.parquet")
+        part.selectExpr("concat('q', doc_id) AS question", "array(source) AS image", "lang AS answer").agg(F.to_json(F.collect_list(F.struct("question", "image", "answer")))).coalesce(1).write.mode("append").text(f"{root}/probe/train.json")
+    out = None
+    for name, folder in (("hr_bench_4k", "hr"), ("mme_lite", "mme"), ("visual_probe_train", "probe")):
+        schema = "question string, image array<string>, answer string" if folder == "probe" else None
+        rows = D.load(spark, name, f"{root}/{folder}", 3, schema)
+        image, solution = (F.get(c, 0) if rows.schema[c].dataType.typeName() == "array" else F.col(c) for c in ("image", "solution"))
+        part = rows.agg(F.lit(name).alias("dataset"), F.count("*").alias("n"), F.min(image).alias("image"), F.min(solution).alias("solution"))
+        out = part if out is None else out.unionByName(part)
+    return out.withColumn("image", F.replace("image", F.lit(f"{root}/probe"), F.lit("root")))
