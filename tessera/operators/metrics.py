@@ -209,4 +209,4 @@ def any_all_zero(mask: str) -> Column:
 def the_only(values: Column, what: str) -> Column:
     """The value that all rows of a group share; raises where they differ."""
     one = F.count_distinct(values) == 1
-    return F.when(one, F.first(values)).otherwise(F.raise_error(F.lit(f"The implicit {what} is ambiguous. Please specify it explicitly.")))
+    return F.when(one, F.first(values)).otherwise(F.raise_error(F.lit(f"rows disagree on the {what}; name the one that is meant")))

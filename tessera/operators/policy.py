@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.operators.numbering import numbered
 from tessera.operators.pinned import pin
@@ -250,15 +251,35 @@ def split(rows: DataFrame, key: str, test_share: float, seed: int = 0) -> DataFr
     return rows.withColumn("part", F.when(draw(seed, key) < test_share, "validation").otherwise("train"))
 
 
+def _cut(rows: DataFrame, column: str, k: int, last: bool) -> tuple[DataFrame, int]:
+    """Rows that surely hold the ``k`` first (or last) by a number column, few more than these, and how many rows there are in all.
+
+    A quantile sketch gives the cut; where it proves too tight, or the column
+    is no number, all rows stay.
+    """
+    n = rows.count()
+    if k >= n or not isinstance(rows.schema[column].dataType, T.NumericType):
+        return rows, n
+    share = k / n
+    at = F.percentile_approx(column, F.lit(max(0.0, 1 - share - 0.002) if last else min(1.0, share + 0.002)), F.lit(2000))
+    bound = rows.agg(at.alias("_bound")).first()[0]
+    kept = rows.where(F.col(column) >= bound if last else F.col(column) <= bound)
+    return (kept if kept.count() >= k else rows), n
+
+
 def weighted_sample(rows: DataFrame, key: str, weight: str, k: int, alpha: float = 1.0, seed: int = 0) -> DataFrame:
     """k rows without replacement, weight**alpha each; all-zero weights draw uniformly.
 
-    Exponential keys: the k least of -ln(u) / w, a distributed top-k.
+    Exponential keys: the k least of -ln(u) / w. A quantile sketch cuts off
+    nearly all others, and what is left is ranked over range partitions: no
+    task holds k rows.
     """
     powered = rows.withColumn("_w", F.when(F.col(weight) > 0, F.pow(F.col(weight), F.lit(alpha))).otherwise(0.0))
     any_weight = powered.agg((F.coalesce(F.max("_w"), F.lit(0.0)) > 0).alias("_any"))
     keyed = powered.crossJoin(F.broadcast(any_weight)).withColumn("_w", F.when(F.col("_any"), F.col("_w")).otherwise(1.0)).where("_w > 0")
-    return keyed.withColumn("_key", -F.log(F.greatest(draw(seed, key), F.lit(1e-15))) / F.col("_w")).orderBy("_key", key).limit(k).drop("_w", "_any", "_key")
+    drawn = keyed.withColumn("_key", -F.log(F.greatest(draw(seed, key), F.lit(1e-15))) / F.col("_w")).drop("_w", "_any")
+    few, _ = _cut(drawn, "_key", k, False)
+    return numbered(few, "_key", key).where(F.col("rn") <= k).drop("rn", "_key")
 
 
 def weighted_draws(rows: DataFrame, key: str, weight: str, k: int, seed: int = 0) -> DataFrame:
@@ -290,13 +311,14 @@ def weighted_draws(rows: DataFrame, key: str, weight: str, k: int, seed: int = 0
 def ring_buffer(rows: DataFrame, order: str, capacity: int) -> DataFrame:
     """What a ring of ``capacity`` slots holds after all writes: the last row of each slot.
 
-    Row n goes to slot (n - 1) % capacity. The held rows are the last
-    ``capacity``, a distributed top-k; only their number comes from a count.
+    Row n goes to slot (n - 1) % capacity. The last ``capacity`` rows are cut
+    off by a quantile sketch and numbered over range partitions: no task holds
+    all of them. Values of ``order`` are distinct and not null.
     """
-    n = rows.agg(F.count("*").alias("_total"))
-    last = rows.orderBy(F.desc(order)).limit(capacity)
-    back = last.withColumn("_back", F.row_number().over(Window.orderBy(F.desc(order))))
-    return back.crossJoin(F.broadcast(n)).withColumn("slot", (F.col("_total") - F.col("_back")) % capacity).drop("_back", "_total")
+    few, n = _cut(rows, order, capacity, True)
+    before = n - few.count()
+    placed = numbered(few, order).withColumn("rn", F.col("rn") + before)
+    return placed.where(F.col("rn") > n - capacity).withColumn("slot", (F.col("rn") - 1) % capacity).drop("rn")
 
 
 def sync_buffers(buffers: DataFrame, rank: str, slot: str, begin: int, end: int, capacity: int) -> DataFrame:

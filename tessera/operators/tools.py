@@ -46,10 +46,6 @@ def show_image(arguments: Column, path: Column, width: Column, height: Column) -
     return path
 
 
-def select_frames(arguments: Column, path: Column, width: Column, height: Column) -> Column:
-    raise NotImplementedError("frames of videos cannot be selected")
-
-
 def default_tools(padding: float = 0.1) -> Tools:
     out = Tools()
     out.register("zoom_in", convert.ZOOM_SCHEMA, zoom_in, padding=padding)

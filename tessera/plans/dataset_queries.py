@@ -128,10 +128,10 @@ def make_conversation(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TASKS = ("rec", "no_think", "pr_adapted", "no_tool", "unknown")
 
 
-@query("SELECT doc_id, length(CASE doc_id % 5 " + " ".join(f"WHEN {i} THEN '{V.template(t).replace('{tool_name}', 'crop_image').replace(chr(39), chr(39) * 2)}'" for i, t in enumerate(_TASKS)) + " END) AS n FROM documents")
+@query("SELECT doc_id, CASE doc_id % 5 " + " ".join(f"WHEN {i} THEN '{V.template(t).replace('{tool_name}', 'crop_image').replace(chr(39), chr(39) * 2)}'" for i, t in enumerate(_TASKS)) + " END AS prompt FROM documents")
 def prompt_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     task = F.element_at(F.array(*map(F.lit, _TASKS)), (F.col("doc_id") % 5 + 1).cast("int"))
-    return _docs(spark, sf_dir).select("doc_id", F.length(V.name_tools(V.template_column(task), ["crop_image_normalized"])).cast("long").alias("n"))
+    return _docs(spark, sf_dir).select("doc_id", V.name_tools(V.template_column(task), ["crop_image_normalized"]).alias("prompt"))
 
 
 @query("SELECT doc_id, E'\\nHere is the cropped image (Image Size: ' || n_chars || 'x' || doc_id || '):' AS message FROM documents")

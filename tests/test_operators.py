@@ -101,9 +101,6 @@ def test_plugins_by_name(spark):
         rewards.columns(spark.range(1), ["two"])
     kit = tools.default_tools()
     assert kit.schema("show_image")["function"]["name"] == "show_image" and kit.schema("zoom_in")["function"]["name"] == "zoom_in"
-    kit.register("select_frames", {}, tools.select_frames)
-    with pytest.raises(NotImplementedError):
-        kit.call(F.lit("zoom_in"), F.lit(None), F.lit("p"), F.lit(1), F.lit(1))
 
 
 def test_guards_raise(spark):
@@ -112,7 +109,7 @@ def test_guards_raise(spark):
         policy.sync_buffers(rows, "rank", "slot", 0, 2, 2).collect()
     with pytest.raises(ValueError):
         policy.sync_buffers(rows, "rank", "slot", 2, 2, 2)
-    with pytest.raises(Exception, match="ambiguous"):
+    with pytest.raises(Exception, match="disagree"):
         rows.agg(metrics.the_only(F.col("slot"), "prompt_type")).collect()
 
 
@@ -137,3 +134,17 @@ def test_accuracy_uses_the_verifier_where_there_is_one(spark, tmp_path):
         sys.modules.pop("math_verify", None)
         importlib.invalidate_caches()
     assert plain[1] == 0 and checked == plain | {1: 1.0}
+
+
+def test_selection_in_parts_is_the_whole_sort(spark):
+    rows = spark.range(0, 3000, 1, 5).selectExpr("id", "CAST(id % 7 AS DOUBLE) AS w", "id * 2 AS n")
+    for k in (0, 1, 40, 2500, 2572, 5000):
+        got = {r["id"] for r in policy.weighted_sample(rows, "id", "w", k, seed=4).collect()}
+        drawn = rows.where("w > 0").withColumn("k", -F.log(F.greatest(policy.draw(4, "id"), F.lit(1e-15))) / F.col("w"))
+        assert got == {r["id"] for r in drawn.orderBy("k", "id").limit(k).collect()}
+    for capacity in (1, 64, 2999, 3000, 4000):
+        got = {r["slot"]: r["id"] for r in policy.ring_buffer(rows, "n", capacity).collect()}
+        assert got == {i % capacity: i for i in range(3000)}
+    assert policy.ring_buffer(rows.limit(0), "n", 5).count() == 0 and policy.weighted_sample(rows.limit(0), "id", "w", 5).count() == 0
+    names = rows.selectExpr("lpad(CAST(id AS STRING), 5, '0') AS n", "id")
+    assert {r["id"] for r in policy.ring_buffer(names, "n", 10).collect()} == set(range(2990, 3000))
