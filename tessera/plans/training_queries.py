@@ -99,3 +99,26 @@ def buffer_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
 def refill_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steps that make new rollouts: every 40th, and those that find the buffer empty."""
     return table(spark, sf_dir, "events").select("event_id", P.generates(F.col("event_id"), 40, F.col("event_id") % 7).alias("generates"))
+
+
+@query("""
+WITH r AS (SELECT l_orderkey, l_linenumber, (l_quantity > 25)::INT::DOUBLE AS acc, l_tax AS style, l_linenumber % 3 AS uses, l_linenumber % 3 + l_partkey % 2 AS tries, l_extendedprice AS len FROM lineitem),
+w AS (SELECT *, 2.0::DOUBLE * acc + 0.5::DOUBLE * style AS reward FROM r),
+a AS (SELECT *, (reward - avg(reward) OVER g) / (stddev_samp(reward) OVER g + 1e-4) AS adv FROM w WINDOW g AS (PARTITION BY l_orderkey)),
+g AS (SELECT avg(uses) AS m FROM r GROUP BY l_orderkey)
+SELECT count(*) AS rows, round(avg(acc), 6) AS acc_mean, round(coalesce(avg(nullif(style, 0)), -1), 6) AS style_nonzero_mean,
+  count(*) FILTER (acc > 0.5 AND uses > 0) AS correct_tool, count(*) FILTER (acc <= 0.5 AND uses = 0) AS wrong_no_tool,
+  (SELECT round(stddev_pop(m), 6) FROM g) AS tool_group_std, round(coalesce(avg(CASE WHEN tries <> 0 THEN uses / tries::DOUBLE END), -1), 6) AS tool_success_rate,
+  count(*) FILTER (len >= 50000) AS truncated, round(max(adv), 5) AS advantage_max, round(avg(len), 4) AS length_mean, count(*) FILTER (adv > 0.001) AS written_above
+FROM a""")
+def step_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metrics that the job observed which wrote rewards and advantages, beside a count over what it wrote."""
+    from tessera.operators.pinned import scratch
+    from tessera.operators.step import score_step
+
+    rows = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_tax", "CAST(l_quantity > 25 AS DOUBLE) AS acc", "l_linenumber % 3 AS uses", "l_linenumber % 3 + l_partkey % 2 AS tries", "l_extendedprice AS len")
+    path = scratch(spark, "step")
+    got = score_step(rows, "l_orderkey", {"acc": F.col("acc"), "style": F.col("l_tax")}, {"acc": 2.0, "style": 0.5}, "acc", "uses", "tries", "len", 50000, path)
+    names = {"rows": None, "acc_mean": 6, "style_nonzero_mean": 6, "correct_tool": None, "wrong_no_tool": None, "tool_group_std": 6, "tool_success_rate": 6, "truncated": None, "advantage_max": 5, "length_mean": 4}
+    observed = [F.lit(got[n]).alias(n) if d is None else F.round(F.lit(got[n]), d).alias(n) for n, d in names.items()]
+    return spark.read.parquet(path).agg(F.count_if(F.col("advantage") > 0.001).alias("written_above")).select(*observed, "written_above")
