@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tessera.operators.pinned import scratch
 from tessera.plans.registry import Registry, table
 from tessera.sources import datasets as D
+from tessera.sources import mirrors as X
 from tessera.sources import readers as R
 from tessera.sources import units as U
 
@@ -187,3 +188,32 @@ def dataset_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
         part = rows.agg(F.lit(name).alias("dataset"), F.count("*").alias("n"), F.min(image).alias("image"), F.min(solution).alias("solution"))
         out = part if out is None else out.unionByName(part)
     return out.withColumn("image", F.replace("image", F.lit(f"{root}/probe"), F.lit("root")))
+
+
+@query("""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages)
+SELECT page_id, CASE WHEN page_id % 11 <> 0 THEN sha256(html) END AS name, CASE WHEN page_id % 11 <> 0 THEN strlen(html) END::BIGINT AS size,
+  CASE WHEN page_id % 11 = 0 THEN NULL WHEN page_id % 3 = 0 THEN 0 ELSE 1 END::INT AS mirror, CASE WHEN page_id % 2 = 0 AND page_id % 11 <> 0 THEN 1 ELSE 2 END::INT AS call, page_id % 11 = 0 AS failed FROM p""")
+def fetch_mirrors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages from two mirrors, the first of which has every third file and neither every eleventh: the even ones, then all that are missing."""
+    root = scratch(spark, "mirrors")
+    system, folder = U._at(root)
+    for name in ("a", "b"):
+        system.create_dir(f"{folder}/{name}")
+
+    def put(batches):
+        for batch in batches:
+            for i, html in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist()):
+                for name in (("a", "b") if i % 3 == 0 else ("b",)) if i % 11 else ():
+                    with U._at(root)[0].open_output_stream(f"{folder}/{name}/{i}.html") as out:
+                        out.write((html or "").encode())
+            yield batch.select(["page_id"])
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    pages.mapInArrow(put, "page_id long").write.format("noop").mode("overwrite").save()
+    places = F.array(*(F.concat(F.lit(f"{root}/{name}/"), "page_id", F.lit(".html")) for name in ("a", "b")))
+    rows = pages.select("page_id", places.alias("urls"))
+    # Of the even pages those that fail are tried again by the second call, whose outcome counts.
+    first = X.fetch(rows.where("page_id % 2 = 0"), "page_id", "urls", f"{root}/out").where("error is null").withColumn("call", F.lit(1))
+    second = X.fetch(rows, "page_id", "urls", f"{root}/out").withColumn("call", F.lit(2))
+    return first.unionByName(second).select(F.col("key").cast("long").alias("page_id"), "name", "size", "mirror", "call", F.col("error").isNotNull().alias("failed"))
