@@ -10,6 +10,7 @@ from tessera.operators import conversation as C
 from tessera.operators import metrics as M
 from tessera.operators import policy as P
 from tessera.operators import tools as T
+from tessera.plans.conversation_queries import _CALLS, _calls
 from tessera.plans.registry import Registry, table
 
 registry = Registry()
@@ -39,16 +40,17 @@ def tool_plugins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select("n_nationkey", known.call(tool, arguments, F.concat("n_name", F.lit(".jpg")), F.lit(1000), F.lit(1000)).alias("result"))
 
 
-_OVER = """
-r AS (SELECT conv_id, turn, role, turn % 3 < 2 AND role = 'assistant' AS ok FROM conversations),
+_OVER = f"""
+{_CALLS}, r AS (SELECT v.conv_id, v.turn, coalesce(k IN (0, 1, 4), false) AS ok FROM conversations v LEFT JOIN c ON c.conv_id = v.conv_id AND c.turn = v.turn),
 n AS (SELECT *, sum(ok::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM r), b AS (SELECT *, coalesce(lag(n) OVER (PARTITION BY conv_id ORDER BY turn), 0) AS before FROM n)"""
 
 
-@query(f"WITH {_OVER} SELECT conv_id, turn, ok AND n <= 2 AS successful FROM b WHERE before <= 2")
+@query(f"WITH {_OVER} SELECT conv_id, turn, ok AND n <= 1 AS successful FROM b WHERE before <= 1")
 def trim_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """At most two good calls a conversation: the third is un-counted, and what follows it dropped."""
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", ((F.col("turn") % 3 < 2) & (F.col("role") == "assistant")).alias("successful"))
-    return C.trim_over_limit(turns, "conv_id", "turn", 2)
+    """At most one good call a conversation, parsed from the turns' texts: the second is un-counted, and what follows it dropped."""
+    calls = _calls(spark, sf_dir).select("conv_id", "turn", C.names_tool(C.extract_tool(F.col("text"))["name"], ["zoom_in", "crop_image_normalized"]).alias("successful"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn").join(calls, ["conv_id", "turn"], "left").fillna(False, "successful")
+    return C.trim_over_limit(turns, "conv_id", "turn", 1)
 
 
 @query("SELECT conv_id, max(turn) % 2 = 0 AS finished FROM conversations GROUP BY conv_id")
