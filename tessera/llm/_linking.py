@@ -82,7 +82,8 @@ def sets_of(documents: DataFrame, wanted: DataFrame, shingles, k: int) -> DataFr
 def _dealt(pairs: DataFrame, sets: DataFrame, centres: DataFrame | None = None) -> DataFrame:
     """Rows (a, b, grams): the sets of each a's members b, in shares, and ahead of every share a's own set, or its centre (a, grams)."""
     shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / SHARE).alias("shares"))
-    members = pairs.join(shares, "a").select("a", F.pmod(F.xxhash64("b"), "shares").alias("share"), "b", F.col("b").alias("of"))
+    small = F.broadcast if W.is_few(pairs) else lambda df: df
+    members = pairs.join(small(shares), "a").select("a", F.pmod(F.xxhash64("b"), "shares").alias("share"), "b", F.col("b").alias("of"))
     heads = shares.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"), F.lit(None).cast("long").alias("b"), F.col("a").alias("of"))
     wanted = W.store(members if centres is not None else heads.unionAll(members), "comparisons")
     dealt = sets.join(W.bounded(wanted), F.col("node") == F.col("of")).select("a", "share", "b", "grams")
@@ -144,7 +145,8 @@ def _centres(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield vote()
 
     shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / VOTES).alias("shares"), F.min("b").alias("first"))
-    some = pairs.join(shares, "a").where((F.pmod(F.xxhash64("b"), "shares") == 0) | (F.col("b") == F.col("first"))).select("a", "b")
+    small = F.broadcast if W.is_few(pairs) else lambda df: df
+    some = pairs.join(small(shares), "a").where((F.pmod(F.xxhash64("b"), "shares") == 0) | (F.col("b") == F.col("first"))).select("a", "b")
     voters = W.store(some, "voters")
     dealt = sets.join(W.bounded(voters), F.col("node") == F.col("b")).select("a", "b", "grams").repartition("a").sortWithinPartitions("a", "b")
     return W.store(dealt.select("a", "grams").mapInArrow(run, "a long, grams binary"), "centres")
@@ -190,12 +192,14 @@ def components(links: DataFrame) -> DataFrame:
     """
     both = W.store(links.select("a", "b").unionAll(links.select("b", "a")).distinct(), "links")
     labels = W.store(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("a"), F.min("b")).alias("root")), "labels")
+    # All tables of a turn have a row for each linked node: few, and the joins need no shuffle.
+    small = F.broadcast if W.is_few(labels) else lambda df: df
     while True:
-        near = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("root").alias("near"))
-        sunk = labels.join(near, F.col("id") == F.col("a")).select("id", "root", F.least("root", "near").alias("new"))
+        near = both.join(small(labels), F.col("b") == F.col("id")).groupBy("a").agg(F.min("root").alias("near"))
+        sunk = labels.join(small(near), F.col("id") == F.col("a")).select("id", "root", F.least("root", "near").alias("new"))
         old, sunk = labels, W.store(sunk, "sunk")
         ends = sunk.select(F.col("id").alias("at"), F.col("new").alias("further"))
-        jumped = W.store(sunk.join(ends, F.col("new") == F.col("at"), "left").select("id", F.col("root").alias("was"), F.least("new", F.coalesce("further", "new")).alias("root")), "labels")
+        jumped = W.store(sunk.join(small(ends), F.col("new") == F.col("at"), "left").select("id", F.col("root").alias("was"), F.least("new", F.coalesce("further", "new")).alias("root")), "labels")
         W.drop(old, sunk)
         labels = jumped.select("id", "root")
         labels.stored_at = jumped.stored_at
@@ -221,20 +225,21 @@ def link(buckets: DataFrame, sets: DataFrame, least: int, given: DataFrame | Non
     """(id, root) of every node that has links, at ``least`` hundredths, or ``given`` ones (a, b); stored."""
     sizes = W.store(buckets.select("node", "n", "shares").distinct(), "sizes")
     near = 100 * F.least("n", "p.n") >= least * F.greatest("n", "p.n")  # sizes that a link allows
-    roots, links = None, given
+    roots, placing, links = None, None, given
     while True:
         heads = buckets.groupBy("key").agg(F.min(F.struct((-F.col("shares")).alias("rank"), "node", "n")).alias("p"))
         members = W.store(buckets.join(heads, "key").where(F.col("node") != F.col("p.node")).select("key", F.col("p.node").alias("a"), "node", near.alias("near")), "members")
         asked = members.where("near").select("a", F.col("node").alias("b")).distinct()
         if roots is not None:
-            mine = lambda c, name: roots.select(F.col("id").alias(c), F.col("root").alias(name))
+            mine = lambda c, name: placing.select(F.col("id").alias(c), F.col("root").alias(name))
             placed = asked.join(mine("a", "ra"), "a", "left").join(mine("b", "rb"), "b", "left")
             asked = placed.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
         asked = W.store(asked, "pairs")
         more = links_of(asked, sets, least)
         before, links = links, W.store(more if links is None else links.unionByName(more), "links")
         roots = components(links)
-        rest = members.join(roots, F.col("node") == F.col("id"), "left").select("key", "a", "node", F.coalesce("root", "node").alias("root"))
+        placing = W.bounded(roots)
+        rest = members.join(placing, F.col("node") == F.col("id"), "left").select("key", "a", "node", F.coalesce("root", "node").alias("root"))
         several = rest.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
         left = W.store(rest.join(several, "key", "left_semi").select("a", F.col("node").alias("b")).distinct(), "left")
         W.drop(*(x for x in (members, asked, before) if x is not None and x is not given))
@@ -245,14 +250,15 @@ def link(buckets: DataFrame, sets: DataFrame, least: int, given: DataFrame | Non
         meeting = W.store(meeting, "meeting")
         sure = W.store(sure, "sure")
         W.drop(differences)
-        placed = meeting.join(roots, F.col("node") == F.col("id"), "left").withColumn("root", F.coalesce("root", "node")).drop("id")
+        placed = meeting.join(placing, F.col("node") == F.col("id"), "left").withColumn("root", F.coalesce("root", "node")).drop("id")
         apart = placed.groupBy("a", "e").agg(F.count("*").alias("members"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("looks").alias("looks")).where("lo < hi and looks").select("a", "e", "members")
         apart = W.store(apart, "apart")
         few = W.store(placed.join(W.bounded(apart.where(F.col("members") <= DIRECT)), ["a", "e"]), "few")
         side = lambda n: few.select("a", "e", *(F.col(c).alias(f"{n}_{c}") for c in ("node", "i", "size", "g", "root", "looks")))
         # The first element they share must leave room for all that they need.
         room = 2 * (100 + least) * F.least(F.col("x_size") - F.col("x_i"), F.col("y_size") - F.col("y_i")) >= F.col("x_g") + F.col("y_g")
-        met = side("x").where("x_looks").join(side("y"), ["a", "e"]).where((F.col("x_root") != F.col("y_root")) & room)
+        once = ~F.col("y_looks") | (F.col("x_node") < F.col("y_node"))
+        met = side("x").where("x_looks").join(side("y"), ["a", "e"]).where((F.col("x_root") != F.col("y_root")) & once & room)
         fresh = W.store(met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct(), "pairs")
         more = links_of(fresh, sets, least)
         before, links = links, W.store(links.unionByName(more).unionByName(sure), "links")
